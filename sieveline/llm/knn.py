@@ -22,8 +22,8 @@ DEGREE = 24
 LEAF = 400
 TREES = 3
 ROUNDS = 6
-BEAM = 96
-STEPS = 8
+BEAM = 128
+STEPS = 10
 
 
 def _best(a: np.ndarray, b: np.ndarray, s: np.ndarray, most: int) -> np.ndarray:
@@ -168,7 +168,7 @@ def nearest(rows: DataFrame, is_query: F.Column, k: int = 5, id_col: str = "vec_
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s)], names=["node", "id", "s"])
 
     top = Window.partitionBy("node").orderBy(F.desc("s"), "id")
-    edges = graph.select(F.col("a"), F.col("b"))
+    edges = scratch.write(graph.select("a", "b").union(graph.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     start = asked.select("node", F.col("node").alias("id"), F.lit(1.0).cast("float").alias("s"), F.lit(0).alias("open"))
     own = graph.join(asked.select(F.col("node").alias("a")), "a").select(F.col("a").alias("node"), F.col("b").alias("id"), "s", F.lit(1).alias("open"))
     state = scratch.write(start.unionByName(own), "walk0")
