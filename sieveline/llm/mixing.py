@@ -9,6 +9,8 @@ that bucket's documents are sorted.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,7 +55,6 @@ def mix(
     share: float = 1.5,
     ceiling: float = 2.0,
     seed: int = 11,
-    rows_in_bucket: int = 20_000,
 ) -> DataFrame:
     """(id, source, size, source_size, target, taken) of each row of ``docs``.
 
@@ -80,9 +81,9 @@ def mix(
     plan = targets.withColumn("epochs", epochs).withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size"))
     plan = scratch.write(plan, "plan")
 
-    # a bucket holds about rows_in_bucket rows of the largest source; exp(-key) is near uniform for weights near one
+    # as many buckets as a bucket has rows of the largest source; exp(-key) is near uniform for weights near one
     most = sizes.agg(F.max("n")).first()[0] or 0
-    buckets = max(1, -(-most // rows_in_bucket)) * 4
+    buckets = 1 + math.isqrt(most)
     keyed = keyed.withColumn("bucket", F.floor((1 - F.exp(-F.col("key"))) * buckets).cast("long"))
     filled = keyed.groupBy("source", "bucket").agg(F.sum("size").alias("in_bucket"))
     upto = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
