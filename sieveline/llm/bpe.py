@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 LONG = 128
 #: Entries of a worker's memory of encoded pieces; it is emptied when full, which changes no result.
-MEMORY = 500_000
+MEMORY = 200_000
 #: The split pattern that byte-level vocabularies of this family are made for.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _NONE = 1 << 60
@@ -173,7 +173,7 @@ def encode_texts(rows: DataFrame, spec: str, text_col: str = "text", ids_col: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _load(shared.value)
-        for b in batches:
+        for b in (b.slice(at, 1000) for b in batches for at in range(0, len(b), 1000)):
             got = [bpe.encode(t) for t in b.column(len(others)).to_pylist()]
             ends = np.cumsum([0, *(len(x) // 4 for x in got)])
             ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(got), "<i4")))
@@ -192,7 +192,7 @@ def decode_ids(rows: DataFrame, spec: str, ids_col: str = "ids", out: str = "dec
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _load(shared.value)
-        for b in batches:
+        for b in (b.slice(k, 1000) for b in batches for k in range(0, len(b), 1000)):
             ids = b.column(at)
             flat, ends = ids.values.to_numpy(zero_copy_only=False), ids.offsets.to_numpy()
             texts = [bpe.decode(flat[s:e].tolist()) for s, e in zip(ends[:-1], ends[1:])]
