@@ -12,7 +12,9 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -118,14 +120,16 @@ class Coder:
 
 
 #: Entries of a worker's memory of encoded chunks; it is emptied when full, which changes no result.
-MEMORY = 700_000
+MEMORY = 900_000
+_STOP = re.compile(r"(?<=[^\W\d_])([.,])(?= |$)")
 
 
 class Chunks:
-    """A tokenizer of the tokenizers library whose vocabulary drops white space, with a memory of chunks.
+    """A tokenizer of the tokenizers library whose vocabulary ignores case and drops white space, with a memory.
 
-    Its words never reach over a space, so a text is encoded chunk by chunk between spaces, each distinct chunk
-    once by the library. A trailing '.' or ',' after a letter is a word by itself, and case is ignored.
+    Its words never reach over white space, so a text is encoded chunk by chunk between spaces, each distinct
+    chunk once by the library. In Latin-1 texts, where lower case commutes with normal forms, chunks are also
+    freed of case and of a final '.' or ',' after a letter, which is a word by itself.
     """
 
     def __init__(self, spec: str):
@@ -137,41 +141,28 @@ class Chunks:
         self.lib.no_padding()
 
     @staticmethod
-    def _base(chunk: str) -> tuple[str, str]:
-        if "Σ" in chunk or "<" in chunk:
-            return chunk, ""
-        low = chunk.lower()
-        if low[-1:] in (".", ",") and low[-2:-1].isalpha():
-            return low[:-1], low[-1]
-        return low, ""
-
-    def _learn(self, chunks: set[str]) -> None:
-        known = self.known
-        if len(known) + len(chunks) > MEMORY:
-            known.clear()
-        cut = {c: self._base(c) for c in chunks}
-        new = list({b for b, _ in cut.values()} | {".", ","})
-        new = [b for b in new if b not in known]
-        for at in range(0, len(new), 5000):
-            some = new[at : at + 5000]
-            for base, got in zip(some, self.lib.encode_batch_fast(some, add_special_tokens=False)):
-                known[base] = np.array(got.ids, "<u4").tobytes()
-        for c, (base, tail) in cut.items():
-            known[c] = known[base] + (known[tail] if tail else b"")
+    def chunks(text: str) -> list[str]:
+        if "<|" not in text:
+            try:
+                text.encode("latin-1")
+                return _STOP.sub(r" \1", text.replace("\n", " ").lower()).split(" ")
+            except UnicodeEncodeError:
+                pass
+        return text.split(" ")
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
+        """Little-endian 32-bit ids of each text."""
         out: list[bytes] = []
-        for at in range(0, len(texts), 500):
-            split = [(t or "").split(" ") for t in texts[at : at + 500]]
-            new: set[str] = set()
-            for s in split:
-                new.update(s)
-            self_known = self.known
-            new = {c for c in new if c not in self_known}
-            if len(self_known) + len(new) > MEMORY:
-                new = {c for s in split for c in s}
-            if new:
-                self._learn(new)
+        for at in range(0, len(texts), 200):
+            split = [self.chunks(t or "") for t in texts[at : at + 200]]
+            words = set().union(*split)
+            if len(self.known) + len(words) > MEMORY:
+                self.known.clear()
+            new = list(words - self.known.keys())
+            for k in range(0, len(new), 5000):
+                some = new[k : k + 5000]
+                for chunk, got in zip(some, self.lib.encode_batch_fast(some, add_special_tokens=False)):
+                    self.known[chunk] = array("I", got.ids).tobytes()
             get = self.known.__getitem__
             out += [b"".join(map(get, s)) for s in split]
         return out
