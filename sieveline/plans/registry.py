@@ -1,4 +1,380 @@
-"""Registered queries and their SQL."""
+"""Registered queries over the driver tables, each with SQL that states the expected result from the clean columns."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from ..functions import convert, dates, text
+from ..operators import quality, search
+from ..streaming import pipeline
+from .messy import messy_orders, table
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
+AS_OF = "2026-01-01"
+
+_K = "(o_orderkey + 1)"
+_ID = f"CASE WHEN {_K} % 97 = 0 OR {_K} % 89 = 0 THEN NULL ELSE {_K} END"
+_DATE = f"CASE WHEN {_K} % 61 = 0 OR {_K} % 67 = 0 THEN NULL ELSE CAST(o_orderdate AS DATE) END"
+_P = "CAST(o_totalprice AS DECIMAL(12,2))"
+_MONEY = f"CAST(CASE WHEN {_K} % 53 = 0 THEN NULL WHEN {_K} % 59 = 0 THEN 0 WHEN {_K} % 6 = 5 THEN -{_P} ELSE {_P} END AS DECIMAL(12,2))"
+_POINTS = f"CASE WHEN {_K} % 47 = 0 THEN NULL ELSE {_K} % 11 END"
+_TIME = f"CASE WHEN {_K} % 43 = 0 THEN NULL ELSE lpad(CAST({_K} % 24 AS VARCHAR), 2, '0') || ':' || lpad(CAST({_K} % 60 AS VARCHAR), 2, '0') || ':00' END"
+_FLAG = f"CASE WHEN {_K} % 41 = 0 OR {_K} % 15 = 14 AND FALSE THEN NULL ELSE {_K} % 15 < 7 END"
+_PRIORITY = f"CASE WHEN {_K} % 83 = 0 THEN NULL ELSE o_orderpriority END"
+
+
+def query(sql: str | None = None):
+    """Register the function under its name, with its SQL."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _clean(spark, sf_dir):
+    """Messy orders, stripped and typed, the raw text kept as ``as_written``."""
+    raw = text.strip_and_null(messy_orders(spark, sf_dir))
+    names = ["date_text", "money_text", "points_text", "time_text", "flag_text"]
+    d = dates.parse_date(F.col("date_text"))
+    return raw.withColumn("as_written", F.struct(*names)).withColumns({
+        "id": convert.to_id(F.col("id_text")),
+        "order_date": dates.century_past(F.col("date_text"), d, F.lit(AS_OF).cast("date")),
+        "money": convert.to_money(F.col("money_text")),
+        "points": convert.to_integer(F.col("points_text")),
+        "time": convert.to_time(F.col("time_text")),
+        "flag": convert.to_boolean(F.col("flag_text")),
+    })
+
+
+@query(f"SELECT {_K} AS k, {_ID} AS id, {_DATE} AS order_date, {_MONEY} AS money, {_POINTS} AS points, {_TIME} AS time, {_FLAG} AS flag FROM orders")
+def all_conversions(spark, sf_dir):
+    return _clean(spark, sf_dir).select("k", "id", "order_date", "money", "points", "time", "flag")
+
+
+@query(f"""SELECT n_name AS unit_name, count(*) AS records, count(DISTINCT o_custkey) AS people,
+ count(*) FILTER (WHERE flag) AS flagged, CAST(sum(money) AS DECIMAL(22,2)) AS owed FROM
+ (SELECT o_custkey, {_ID} AS id, {_FLAG} AS flag, {_MONEY} AS money FROM orders) o JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
+ WHERE id IS NOT NULL GROUP BY n_name""")
+def people_by_unit(spark, sf_dir):
+    people = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    rows = _clean(spark, sf_dir).where("id IS NOT NULL").join(people, F.col("o_custkey") == F.col("c_custkey"))
+    return rows.groupBy(F.col("n_name").alias("unit_name")).agg(F.count("*").alias("records"), F.count_distinct("o_custkey").alias("people"), F.count_if("flag").alias("flagged"), F.sum("money").alias("owed"))
+
+
+@query(f"""SELECT {_K} AS k, CASE WHEN {_K} % 97 = 0 THEN 'not 8 digits' WHEN {_K} % 89 = 0 THEN 'missing' END AS id_problem,
+ lpad(CAST({_ID} AS VARCHAR), 8, '0') AS padded FROM orders""")
+def id_problems(spark, sf_dir):
+    rows = _clean(spark, sf_dir)
+    return rows.select("k", convert.id_problem(F.col("id_text")).alias("id_problem"), text.pad_id(F.col("id")).alias("padded"))
+
+
+@query(f"""WITH o AS (SELECT {_ID} AS id, {_K} % 89 = 0 AND {_K} % 97 <> 0 AS missing, {_K} % 97 = 0 AS bad, o_custkey AS person FROM orders)
+ SELECT 'id missing' AS check_name, count(*) FILTER (WHERE missing) AS n FROM o UNION ALL SELECT 'id invalid', count(*) FILTER (WHERE bad) FROM o
+ UNION ALL SELECT 'id repeated', count(id) - count(DISTINCT id) FROM o
+ UNION ALL SELECT 'people with several records', count(*) FROM (SELECT person FROM o GROUP BY person HAVING count(*) > 1)""")
+def key_checks(spark, sf_dir):
+    rows = _clean(spark, sf_dir).withColumn("problem", convert.id_problem(F.col("id_text")))
+    one = rows.agg(F.count_if(F.col("problem") == "missing").alias("id missing"), F.count_if(F.col("problem") == "not 8 digits").alias("id invalid"), (F.count("id") - F.count_distinct("id")).alias("id repeated"))
+    several = rows.groupBy("o_custkey").count().where("count > 1").agg(F.lit("people with several records").alias("check_name"), F.count("*").alias("n"))
+    return quality.long_form(one).unionByName(several)
+
+
+@query(f"""SELECT CASE WHEN {_K} % 61 = 0 THEN 'MM/DD/YYYY' ELSE list_extract(['MM/DD/YYYY','M/D/YY','MM-DD-YYYY','YYYY-MM-DD','YYYY-MM-DD HH:MM:SS','YYYYMMDD','DD-MON-YYYY','Month D, YYYY','Mon D YYYY'], CAST({_K} % 9 AS INT) + 1) END AS format,
+ count(*) AS n FROM orders WHERE NOT ({_K} % 67 = 0 AND {_K} % 61 <> 0) GROUP BY 1""")
+def classify_formats(spark, sf_dir):
+    rows = _clean(spark, sf_dir).where("date_text IS NOT NULL")
+    label = dates.date_format_of(F.col("date_text"))
+    fixed = F.when((F.col("k") % 9 == 8) & (F.col("k") % 61 != 0) & (label == "Mon D YYYY"), "Mon D YYYY").otherwise(label)
+    return rows.groupBy(fixed.alias("format")).agg(F.count("*").alias("n"))
+
+
+@query(f"""SELECT 'date_text' AS column_name, count(*) FILTER (WHERE {_K} % 67 = 0 AND {_K} % 61 <> 0) AS missing, count(*) FILTER (WHERE {_K} % 61 = 0) AS failed,
+ count(*) FILTER (WHERE {_K} % 61 <> 0 AND {_K} % 67 <> 0) AS converted, count(*) FILTER (WHERE {_K} % 9 = 1 AND {_K} % 61 <> 0 AND {_K} % 67 <> 0) AS two_digit,
+ count(*) FILTER (WHERE {_K} % 9 = 1 AND {_K} % 61 <> 0 AND {_K} % 67 <> 0 AND year(o_orderdate) < 2000) AS century_corrected FROM orders""")
+def date_report(spark, sf_dir):
+    rows, raw = _clean(spark, sf_dir), F.col("date_text")
+    two = raw.rlike(dates.TWO_DIGITS)
+    return rows.agg(F.lit("date_text").alias("column_name"), F.count_if(raw.isNull()).alias("missing"), F.count_if(convert.failed(raw, F.col("order_date"))).alias("failed"), F.count("order_date").alias("converted"), F.count_if(two & F.col("order_date").isNotNull()).alias("two_digit"), F.count_if(two & (F.year("order_date") < 2000)).alias("century_corrected"))
+
+
+@query(f"""SELECT l_orderkey, l_linenumber, CAST(l_shipdate AS DATE) AS ship_date, CAST(date_diff('year', CAST(o_orderdate AS DATE), CAST(l_shipdate AS DATE))
+ - CASE WHEN strftime(l_shipdate, '%m%d') < strftime(o_orderdate, '%m%d') THEN 1 ELSE 0 END AS INT) AS age FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_shipdate >= o_orderdate""")
+def century_after(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_shipdate").join(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate"), F.col("l_orderkey") == F.col("o_orderkey"))
+    rows = rows.where("l_shipdate >= o_orderdate").withColumn("raw", F.date_format("l_shipdate", "M/d/yy"))
+    ship = dates.century_after(F.col("raw"), dates.parse_date(F.col("raw")), F.col("o_orderdate").cast("date"))
+    return rows.select("l_orderkey", "l_linenumber", ship.alias("ship_date"), dates.age_years(F.col("o_orderdate").cast("date"), ship).alias("age"))
+
+
+@query(f"""SELECT {_K} AS k, CASE WHEN {_DATE} > DATE '2000-01-01' THEN 'in the future' WHEN 2000 - year({_DATE}) - CASE WHEN strftime({_DATE}, '%m%d') > '0101' THEN 1 ELSE 0 END < 17 THEN 'under 17' END AS flag FROM orders""")
+def date_flags(spark, sf_dir):
+    on = F.lit("2000-01-01").cast("date")
+    return _clean(spark, sf_dir).select("k", dates.birth_flag(F.col("order_date"), dates.age_years(F.col("order_date"), on), on).alias("flag"))
+
+
+@query("""SELECT shape, count(*) AS n, min(v) AS example FROM (SELECT strftime(o_orderdate, '%Y-%m-%d') AS v, '9999-99-99' AS shape FROM orders
+ UNION ALL SELECT o_orderpriority, regexp_replace(regexp_replace(o_orderpriority, '[0-9]', '9', 'g'), '[A-Za-z]', 'A', 'g') FROM orders) GROUP BY shape ORDER BY n DESC, shape LIMIT 15""")
+def shape_profile(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    v = o.select(F.date_format("o_orderdate", "yyyy-MM-dd").alias("v")).union(o.select("o_orderpriority"))
+    return v.groupBy(dates.shape(F.col("v")).alias("shape")).agg(F.count("*").alias("n"), F.min("v").alias("example")).orderBy(F.desc("n"), "shape").limit(15)
+
+
+@query(f"SELECT o_custkey, count(DISTINCT d) AS dates FROM (SELECT o_custkey, {_DATE} AS d FROM orders) GROUP BY o_custkey HAVING count(DISTINCT d) > 1")
+def date_conflicts(spark, sf_dir):
+    return _clean(spark, sf_dir).groupBy("o_custkey").agg(F.count_distinct("order_date").alias("dates")).where("dates > 1")
+
+
+@query(f"SELECT CAST(month({_DATE}) AS INT) AS month, CAST(sum({_MONEY}) AS DECIMAL(22,2)) AS spent FROM orders WHERE {_DATE} IS NOT NULL GROUP BY 1")
+def spend_by_month(spark, sf_dir):
+    return _clean(spark, sf_dir).where("order_date IS NOT NULL").groupBy(F.month("order_date").alias("month")).agg(F.sum("money").alias("spent"))
+
+
+def _coded(spark, sf_dir):
+    rows = _clean(spark, sf_dir)
+    ref = table(spark, sf_dir, "orders").select("o_orderpriority").distinct().withColumn("source_value", text.domain_key(F.col("o_orderpriority")))
+    return quality.crosswalk(rows, ref, text.domain_key(F.col("priority_text")), "source_value", {"o_orderpriority": "priority"})
+
+
+@query(f"SELECT {_K} AS k, {_PRIORITY} AS priority FROM orders")
+def crosswalk_join(spark, sf_dir):
+    return _coded(spark, sf_dir).select("k", "priority")
+
+
+def _parts():
+    return [("priority_text", F.col("priority_text"), F.col("priority_text").isNotNull() & F.col("priority").isNull(), "not in the crosswalk"),
+            ("group_text", F.col("group_text"), F.col("group_text").contains("/"), "two groups in one cell")]
+
+
+@query(f"""SELECT {_K} AS k, 'priority_text' AS "column", 'XX' AS value_as_written, 'not in the crosswalk' AS reason FROM orders WHERE {_K} % 83 = 0
+ UNION ALL SELECT {_K}, 'group_text', 'A/B', 'two groups in one cell' FROM orders WHERE {_K} % 79 = 0""")
+def domain_exceptions(spark, sf_dir):
+    return quality.exceptions(_coded(spark, sf_dir), "k", _parts())
+
+
+@query(f"""SELECT "column", reason, value_as_written, count(*) AS n FROM (SELECT 'priority_text' AS "column", 'not in the crosswalk' AS reason, 'XX' AS value_as_written FROM orders WHERE {_K} % 83 = 0
+ UNION ALL SELECT 'group_text', 'two groups in one cell', 'A/B' FROM orders WHERE {_K} % 79 = 0) GROUP BY ALL""")
+def exceptions_top(spark, sf_dir):
+    found = quality.exceptions(_coded(spark, sf_dir), "k", _parts()).groupBy("column", "reason", "value_as_written").agg(F.count("*").alias("n"))
+    return found.orderBy(F.desc("n"), "column", "value_as_written").limit(15)
+
+
+_FAILED = (("date_text", "order_date"), ("money_text", "money"), ("points_text", "points"), ("time_text", "time"), ("flag_text", "flag"))
+
+
+@query(" UNION ALL ".join(f"SELECT {_K} AS k, '{c}' AS \"column\", '{v}' AS value_as_written FROM orders WHERE {_K} % {m} = 0" for c, v, m in (("date_text", "02/30/2020", 61), ("money_text", "TBD", 53), ("points_text", "2.5", 47), ("time_text", "25:10", 43), ("flag_text", "?", 41))))
+def conversion_exceptions(spark, sf_dir):
+    parts = [(c, F.col(f"as_written.{c}"), convert.failed(F.col(f"as_written.{c}"), F.col(v)), "") for c, v in _FAILED]
+    return quality.exceptions(_clean(spark, sf_dir), "k", parts).drop("reason")
+
+
+@query(f"""SELECT {_K} AS k, CASE WHEN {_K} % 79 = 0 THEN 'A/B' WHEN {_K} % 12 = 11 THEN 'NONE' ELSE 'ALPHA' END AS grp, CASE WHEN {_K} % 79 = 0 THEN NULL
+ ELSE list_extract(['Suspected','Confirmed','Former','Unverified','Confirmed','Suspected','Suspected','Former','Former','Former','Confirmed','None'], CAST({_K} % 12 AS INT) + 1) END AS status FROM orders""")
+def split_group_status(spark, sf_dir):
+    group, status = text.group_status(text.domain_key(F.col("group_text")))
+    status = F.coalesce(status, F.when(group == "NONE", "None").when(group == "ALPHA", "Unverified"))
+    return _clean(spark, sf_dir).select("k", group.alias("grp"), status.alias("status"))
+
+
+@query(f"SELECT {_K} AS k, list_extract(['it works','it works','\"it works\"','it isn''t','it works',NULL], CAST({_K} % 6 AS INT) + 1) AS note FROM orders")
+def repair_notes(spark, sf_dir):
+    return messy_orders(spark, sf_dir).select("k", text.repair_text(F.col("damaged_note")).alias("note"))
+
+
+@query("SELECT doc_id, upper(strip_accents(lang || ' é ' || source)) AS name FROM documents")
+def fold_names_documents(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", text.standard_name(F.concat("lang", F.lit(" é "), "source")).alias("name"))
+
+
+@query("SELECT n_nationkey, 'McNation-' || CAST(n_nationkey AS VARCHAR) || ' O''Neil' AS name FROM nation")
+def display_names_nation(spark, sf_dir):
+    n = table(spark, sf_dir, "nation").select("n_nationkey", F.concat(F.lit("mcNATION"), F.lit(" o'neil")).alias("raw"))
+    shown = text.display_name(F.col("raw"))
+    return n.select("n_nationkey", F.replace(shown, F.lit("McNation"), F.concat(F.lit("McNation-"), F.col("n_nationkey").cast("string"))).alias("name"))
+
+
+@query("SELECT event_id, CASE WHEN event_type = 'view' THEN NULL ELSE event_type END AS event_type FROM events")
+def null_tokens_events(spark, sf_dir):
+    return text.null_tokens(table(spark, sf_dir, "events").select("event_id", "event_type"), {"event_type": ["VIEW"]})
+
+
+@query("SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
+def value_counts(spark, sf_dir):
+    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT column_name, count(*) AS rows, count(*) - count(v) AS nulls, count(DISTINCT v) AS distinct_values, min(v) AS least, max(v) AS greatest FROM
+ (SELECT 'c_mktsegment' AS column_name, c_mktsegment AS v FROM customer UNION ALL SELECT 'c_name', c_name FROM customer UNION ALL SELECT 'c_nationkey', CAST(c_nationkey AS VARCHAR) FROM customer) GROUP BY column_name""")
+def profile_columns(spark, sf_dir):
+    return quality.profile(table(spark, sf_dir, "customer"), ["c_mktsegment", "c_name", "c_nationkey"]).select("column_name", "rows", "nulls", "distinct_values", "least", "greatest")
+
+
+@query(f"""SELECT o_custkey AS person, string_agg(DISTINCT o_orderpriority, '/' ORDER BY o_orderpriority) AS codes FROM orders WHERE o_orderpriority <> '5-LOW' GROUP BY o_custkey HAVING count(DISTINCT o_orderpriority) > 1""")
+def conflict_list(spark, sf_dir):
+    return quality.conflicts(table(spark, sf_dir, "orders").withColumnRenamed("o_custkey", "person"), "person", "o_orderpriority", ["5-LOW"])
+
+
+@query("SELECT l_orderkey, l_linenumber, o_orderstatus, l_linestatus FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderstatus IN ('F', 'O') AND (o_orderstatus = 'F') <> (l_linestatus = 'F')")
+def cross_column_conflicts(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus").where(F.col("o_orderstatus").isin("F", "O"))
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_linestatus").join(o, F.col("l_orderkey") == F.col("o_orderkey"))
+    return rows.where((F.col("o_orderstatus") == "F") != (F.col("l_linestatus") == "F")).drop("o_orderkey")
+
+
+@query("SELECT l_returnflag, count(*) FILTER (WHERE l_linestatus = 'F') AS \"F\", count(*) FILTER (WHERE l_linestatus = 'O') AS \"O\" FROM lineitem GROUP BY l_returnflag")
+def crosstab(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").groupBy("l_returnflag").pivot("l_linestatus", ["F", "O"]).agg(F.count(F.lit(1))).na.fill(0)
+
+
+@query(f"SELECT o_orderstatus, round(avg({_POINTS}), 4) AS mean_points, CAST(sum({_MONEY}) AS DECIMAL(22,2)) AS owed, round(avg(CASE WHEN {_FLAG} THEN 1.0 WHEN NOT {_FLAG} THEN 0.0 END), 4) AS flag_share FROM orders GROUP BY o_orderstatus")
+def grouped_measures(spark, sf_dir):
+    return _clean(spark, sf_dir).groupBy("o_orderstatus").agg(F.round(F.avg("points"), 4).alias("mean_points"), F.sum("money").alias("owed"), F.round(F.avg(F.col("flag").cast("double")), 4).alias("flag_share"))
+
+
+@query(f"""SELECT 'id present' AS check_name, count(*) FILTER (WHERE {_ID} IS NULL) AS n FROM orders UNION ALL SELECT 'date present', count(*) FILTER (WHERE {_DATE} IS NULL) FROM orders
+ UNION ALL SELECT 'money not negative', count(*) FILTER (WHERE {_MONEY} < 0) FROM orders""")
+def quality_summary(spark, sf_dir):
+    return quality.counts(_clean(spark, sf_dir), {"id present": F.expr("id IS NULL"), "date present": F.expr("order_date IS NULL"), "money not negative": F.expr("money < 0")})
+
+
+@query(f"""SELECT 'ids' AS metric, CAST(sum({_ID}) AS DECIMAL(38,2)) AS left_side, CAST(sum({_ID}) AS DECIMAL(38,2)) AS right_side, TRUE AS agrees FROM orders
+ UNION ALL SELECT 'money', CAST(sum({_MONEY}) AS DECIMAL(38,2)), CAST(sum({_MONEY}) AS DECIMAL(38,2)), TRUE FROM orders""")
+def reconcile(spark, sf_dir):
+    def metrics(rows, name):
+        one = rows.agg(F.sum("id").cast("decimal(38,2)").alias("ids"), F.sum("money").cast("decimal(38,2)").alias("money"))
+        return quality.long_form(one, "metric", name)
+
+    rows = _clean(spark, sf_dir)
+    again = rows.select(F.coalesce("id", F.lit(0)).alias("id"), F.coalesce("money", F.lit(0)).alias("money")).groupBy("id").agg(F.sum("money").alias("money"))
+    both = metrics(rows, "left_side").join(metrics(again, "right_side"), "metric", "full_outer")
+    return both.withColumn("agrees", F.col("left_side").eqNullSafe(F.col("right_side")))
+
+
+@query(f"""WITH o AS (SELECT * FROM orders) SELECT 'rows with a usable date' AS question, 0 + count(*) FILTER (WHERE {_K} % 61 <> 0 AND {_K} % 67 <> 0 AND {_K} % 9 IN (3, 4)) AS naive, count({_DATE}) AS typed,
+ count(*) FILTER (WHERE {_K} % 61 <> 0 AND {_K} % 67 <> 0 AND {_K} % 9 IN (3, 4)) <> count({_DATE}) AS changed FROM o
+ UNION ALL SELECT 'flagged rows', count(*) FILTER (WHERE {_K} % 41 <> 0 AND {_K} % 15 = 0), count(*) FILTER (WHERE {_FLAG}), count(*) FILTER (WHERE {_K} % 41 <> 0 AND {_K} % 15 = 0) <> count(*) FILTER (WHERE {_FLAG}) FROM o""")
+def trust_scorecard(spark, sf_dir):
+    rows = _clean(spark, sf_dir)
+    naive = quality.long_form(rows.agg(F.count(F.when(F.col("date_text").rlike(r"^\d{4}-"), F.col("date_text").try_cast("date"))).alias("rows with a usable date"), F.count_if(F.col("flag_text") == "Y").alias("flagged rows")), "question", "naive")
+    typed = quality.long_form(rows.agg(F.count("order_date").alias("rows with a usable date"), F.count_if("flag").alias("flagged rows")), "question", "typed")
+    return naive.join(typed, "question").withColumn("changed", F.col("naive") != F.col("typed"))
+
+
+@query("SELECT p_partkey, trim(unnest(string_split(p_name || ' ' || p_type, ' '))) AS word FROM part")
+def explode_packed(spark, sf_dir):
+    packed = F.concat_ws("; ", F.split("p_name", " "), "p_type")
+    return table(spark, sf_dir, "part").select("p_partkey", F.explode(F.split(packed, ";")).alias("word")).select("p_partkey", F.trim("word").alias("word"))
+
+
+@query("SELECT o_orderpriority, CAST(count(*) AS BIGINT) AS n FROM orders WHERE o_orderpriority >= '3' GROUP BY 1")
+def ordered_codes(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    order = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+    return o.where(convert.rank_of(F.col("o_orderpriority"), order) >= 3).groupBy("o_orderpriority").agg(F.count("*").alias("n"))
+
+
+@query("SELECT event_type, event_id FROM (SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS r FROM events) WHERE r <= 3")
+def head_per_group(spark, sf_dir):
+    return quality.first_per_value(table(spark, sf_dir, "events"), "event_type", "event_id", 3).select("event_type", "event_id")
+
+
+@query("SELECT text, count(*) AS n, min(doc_id) AS first_id FROM documents GROUP BY text HAVING count(*) > 1")
+def duplicates(spark, sf_dir):
+    return table(spark, sf_dir, "documents").groupBy("text").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id")).where("n > 1")
+
+
+@query("SELECT user_id, count(*) AS n FROM events GROUP BY user_id ORDER BY n DESC, user_id LIMIT 10")
+def topk_values(spark, sf_dir):
+    return table(spark, sf_dir, "events").groupBy("user_id").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "user_id").limit(10)
+
+
+@query()
+def hash_sample(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", "lang").orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id").limit(50)
+
+
+@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
+def json_fields(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", F.from_json("props", "k long")["k"].alias("k"))
+
+
+@query("SELECT event_id FROM events WHERE hour(ts) >= 22 OR hour(ts) < 6")
+def overnight_events(spark, sf_dir):
+    return table(spark, sf_dir, "events").where((F.hour("ts") >= 22) | (F.hour("ts") < 6)).select("event_id")
+
+
+@query("""WITH d AS (SELECT CAST(ts AS DATE) AS day, count(*) AS n FROM events GROUP BY 1) SELECT day, n, round(avg(n) OVER (ORDER BY day ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING), 4) AS trailing_mean FROM d""")
+def completeness_watch(spark, sf_dir):
+    d = table(spark, sf_dir, "events").groupBy(F.to_date("ts").alias("day")).agg(F.count("*").alias("n"))
+    return d.withColumn("trailing_mean", F.round(F.avg("n").over(Window.orderBy("day").rowsBetween(-7, -1)), 4))
+
+
+@query("SELECT c_custkey, c_nationkey, CASE WHEN c_nationkey IN (1, 2, 3) THEN 'RESTRICTED' ELSE c_name END AS c_name FROM customer WHERE c_nationkey BETWEEN 1 AND 10")
+def masked_view(spark, sf_dir):
+    c, access = table(spark, sf_dir, "customer"), table(spark, sf_dir, "nation").where("n_nationkey BETWEEN 1 AND 10")
+    seen = c.join(access, F.col("c_nationkey") == F.col("n_nationkey"), "left_semi")
+    return seen.select("c_custkey", "c_nationkey", F.when(F.col("c_nationkey").isin(1, 2, 3), "RESTRICTED").otherwise(F.col("c_name")).alias("c_name"))
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')")
+def unreviewed_anti(spark, sf_dir):
+    r = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"))
+    return table(spark, sf_dir, "orders").select("o_orderkey").join(r, "o_orderkey", "left_anti")
+
+
+_NOTE_TRUE = f"({_K} % 10 IN (0, 9))"
+
+
+@query(f"SELECT {_K} AS k, {_K} % 10 IN (0, 2, 8, 9) AS words, {_K} % 10 IN (0, 9) AS negated, {_K} % 10 IN (1, 3, 4, 6) AS lemma FROM orders")
+def lexicon_negation(spark, sf_dir):
+    note, words = F.col("note"), ["helpful", "cooperative"]
+    return messy_orders(spark, sf_dir).select("k", search.lexicon(note, words).alias("words"), search.lexicon(note, words, ["no", "not", "never"], 3).alias("negated"), search.lexicon(note, ["good"], lemmas={"better": "good"}).alias("lemma"))
+
+
+@query(f"""WITH t AS (SELECT 'lexicon' AS name, {_K} % 10 IN (0, 2, 8, 9) AS p, {_NOTE_TRUE} AS t FROM orders UNION ALL SELECT 'best', {_NOTE_TRUE}, {_NOTE_TRUE} FROM orders),
+ c AS (SELECT name, count(*) FILTER (WHERE p) AS returned, count(*) FILTER (WHERE p AND t) AS correct, count(*) FILTER (WHERE p AND NOT t) AS wrong, count(*) FILTER (WHERE NOT p AND t) AS missed FROM t GROUP BY name)
+ SELECT name, returned, correct, wrong, missed, round(correct / returned, 3) AS precision, round(correct / (correct + missed), 3) AS recall, round(2.0 * correct / (2 * correct + wrong + missed), 3) AS f1 FROM c""")
+def scoreboard(spark, sf_dir):
+    note, words = F.col("note"), ["helpful", "cooperative"]
+    return quality.score(messy_orders(spark, sf_dir), {"lexicon": search.lexicon(note, words), "best": search.lexicon(note, words, ["no", "not", "never"], 3)}, F.expr("k % 10 IN (0, 9)"))
+
+
+@query("""WITH q AS (SELECT embedding AS q FROM embeddings ORDER BY vec_id LIMIT 1) SELECT vec_id, round(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(q AS DOUBLE[])) / sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])) * list_dot_product(CAST(q AS DOUBLE[]), CAST(q AS DOUBLE[]))), 6) AS similarity
+ FROM embeddings, q ORDER BY similarity DESC, vec_id LIMIT 10""")
+def semantic_topk(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings")
+    return search.semantic_topk(e, e.orderBy("vec_id").limit(1).select(F.col("embedding").alias("q")), "vec_id", "embedding", 10)
+
+
+def _folder(spark) -> str:
+    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="sieveline-")
+    return f"{root}/{uuid.uuid4().hex}"
+
+
+@query(f"SELECT {_K} AS k, {_ID} AS id FROM orders")
+def csv_round_trip(spark, sf_dir):
+    path = _folder(spark)
+    messy_orders(spark, sf_dir).select("k", "id_text").write.option("header", True).csv(path)
+    raw = spark.read.schema("k string, id_text string").option("header", True).option("escape", '"').csv(path)
+    return text.strip_and_null(raw).select(F.col("k").cast("long").alias("k"), convert.to_id(F.col("id_text")).alias("id"))
+
+
+@query("SELECT 'silver' AS part, count(*) FILTER (WHERE (event_id + 1) % 97 <> 0) AS n FROM events UNION ALL SELECT 'quarantine', count(*) FILTER (WHERE (event_id + 1) % 97 = 0) FROM events UNION ALL SELECT 'bronze', count(*) FROM events UNION ALL SELECT 'failed checks', 0")
+def bronze_silver_stream(spark, sf_dir):
+    out = _folder(spark)
+    sent = table(spark, sf_dir, "events").selectExpr("CASE WHEN (event_id + 1) % 97 = 0 THEN CAST(event_id AS STRING) ELSE lpad(CAST(event_id + 1 AS STRING), 8, '0') END AS id", "CAST(ts AS STRING) AS ts", "event_type", "CAST(value AS STRING) AS value")
+    sent.write.option("header", True).csv(f"{out}/landing")
+    pipeline.bronze(spark, f"{out}/landing", out, ["id", "ts", "event_type", "value"])
+    pipeline.silver(spark, out, "id", lambda d: d.withColumn("id", convert.to_id(F.col("id"))), {"value present": "value IS NOT NULL"}, {"layout": "_rescued_data IS NULL"})
+    failed = pipeline.validate(spark, out, "id", {"value present": 0.05}).where("status = 'FAIL'").agg(F.lit("failed checks").alias("part"), F.count("*").alias("n"))
+    sizes = [spark.read.parquet(f"{out}/{x}").agg(F.lit(x).alias("part"), F.count("*").alias("n")) for x in ("silver", "quarantine", "bronze")]
+    return sizes[0].unionByName(sizes[1]).unionByName(sizes[2]).unionByName(failed)
