@@ -120,7 +120,7 @@ class Coder:
 
 
 #: Entries of a worker's memory of encoded chunks; it is emptied when full, which changes no result.
-MEMORY = 900_000
+MEMORY = 1_300_000
 _STOP = re.compile(r"(?<=[^\W\d_])([.,])(?= |$)")
 
 
@@ -139,6 +139,9 @@ class Chunks:
         self.lib, self.known = Tokenizer.from_str(spec), {}
         self.lib.no_truncation()
         self.lib.no_padding()
+        vocab = self.lib.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[v for k, v in vocab.items() if k.endswith("</w>")]] = True
 
     @staticmethod
     def chunks(text: str) -> list[str]:
@@ -155,18 +158,37 @@ class Chunks:
         out: list[bytes] = []
         for at in range(0, len(texts), 200):
             split = [self.chunks(t or "") for t in texts[at : at + 200]]
-            words = set().union(*split)
-            if len(self.known) + len(words) > MEMORY:
+            if len(self.known) > MEMORY:
                 self.known.clear()
-            new = list(words - self.known.keys())
-            for k in range(0, len(new), 5000):
-                some = new[k : k + 5000]
-                for chunk, got in zip(some, self.lib.encode_batch_fast(some, add_special_tokens=False)):
-                    self.known[chunk] = array("I", got.ids).tobytes()
-            get = self.known.__getitem__
-            out += [b"".join(map(get, s)) for s in split]
+            get = self.known.get
+            found = [list(map(get, s)) for s in split]
+            gaps = [[k for k, g in enumerate(f) if g is None] for f in found]
+            self._learn({s[k] for s, gap in zip(split, gaps) for k in gap})
+            for s, f, gap in zip(split, found, gaps):
+                for k in gap:
+                    f[k] = self.known[s[k]]
+            out += map(b"".join, found)
         return out
 
+    def _learn(self, new: set[str]) -> None:
+        # a Latin-1 word of letters is one word of the vocabulary, so many can be encoded as one text
+        plain = [w for w in new if w.isalpha() and ord(max(w)) < 256]
+        for k in range(0, len(plain), 500):
+            some = plain[k : k + 500]
+            ids = np.array(self.lib.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
+            stops = ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()
+            if len(stops) != len(some):
+                continue
+            raw, start = ids.tobytes(), 0
+            for w, stop in zip(some, stops):
+                self.known[w] = raw[start:stop]
+                start = stop
+        rest = [w for w in new if w not in self.known]
+        for k in range(0, len(rest), 5000):
+            some = rest[k : k + 5000]
+            for chunk, got in zip(some, self.lib.encode_batch_fast(some, add_special_tokens=False)):
+                self.known[chunk] = array("I", got.ids).tobytes()
+
 
 _LOADED: dict[int, Chunks] = {}
 
