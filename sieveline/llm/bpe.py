@@ -17,9 +17,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import held_in_worker
+
 LONG = 128
 #: Entries of a worker's memory of encoded pieces; it is emptied when full, which changes no result.
-MEMORY = 200_000
+MEMORY = 150_000
 #: The split pattern that byte-level vocabularies of this family are made for.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _NONE = 1 << 60
@@ -151,24 +153,18 @@ class BytePairs:
         return b"".join([tokens.get(i, b"") for i in ids]).decode("utf-8", "replace")
 
 
-_LOADED: dict[int, BytePairs] = {}
-
-
 def _load(spec: str) -> BytePairs:
-    key = hash(spec)
-    if key not in _LOADED:
-        _LOADED.clear()
-        _LOADED[key] = BytePairs(spec)
-    return _LOADED[key]
+    return held_in_worker("byte pairs", hash(spec), lambda: BytePairs(spec))
 
 
-def encode_texts(rows: DataFrame, spec: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
+def encode_texts(rows: DataFrame, spec: str, text_col: str = "text", ids_col: str = "ids", decoded_col: str | None = None) -> DataFrame:
     """``rows`` with the ids (array of int) of each whole text instead of the text column.
 
     ``spec`` is the content of a vocabulary file. Null and empty texts have no ids; a column named as
-    ``ids_col`` is replaced; repeated rows stay, an empty table gives an empty result.
+    ``ids_col`` is replaced; repeated rows stay, an empty table gives an empty result. With ``decoded_col`` the
+    text decoded from these ids follows, as ``decode_ids`` gives it.
     """
-    others = [c for c in rows.columns if c not in (text_col, ids_col)]
+    others = [c for c in rows.columns if c not in (text_col, ids_col, decoded_col)]
     shared = rows.sparkSession.sparkContext.broadcast(spec)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,11 +173,15 @@ def encode_texts(rows: DataFrame, spec: str, text_col: str = "text", ids_col: st
             got = [bpe.encode(t) for t in b.column(len(others)).to_pylist()]
             ends = np.cumsum([0, *(len(x) // 4 for x in got)])
             ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(got), "<i4")))
-            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(len(others))), ids], names=[*others, ids_col])
+            own, names = [*(b.column(k) for k in range(len(others))), ids], [*others, ids_col]
+            if decoded_col:
+                own.append(pa.array([bpe.decode(np.frombuffer(x, "<u4").tolist()) for x in got], pa.string()))
+                names.append(decoded_col)
+            yield pa.RecordBatch.from_arrays(own, names=names)
 
     base = rows.select(*others, F.col(text_col).cast("string").alias(text_col))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields[:-1])
-    return base.mapInArrow(run, f"{schema}{', ' if schema else ''}`{ids_col}` array<int>")
+    return base.mapInArrow(run, f"{schema}{', ' if schema else ''}`{ids_col}` array<int>" + (f", `{decoded_col}` string" if decoded_col else ""))
 
 
 def decode_ids(rows: DataFrame, spec: str, ids_col: str = "ids", out: str = "decoded") -> DataFrame:
@@ -213,7 +213,7 @@ def vocabulary(name: str) -> str:
 
 def digests(rows: DataFrame, spec: str, text_col: str = "text") -> DataFrame:
     """``rows`` without the text, with n_tokens, ids_sha256 and decoded_sha256."""
-    coded = decode_ids(encode_texts(rows, spec, text_col), spec)
+    coded = encode_texts(rows, spec, text_col, decoded_col="decoded")
     return coded.withColumns(
         {
             "n_tokens": F.size("ids").cast("long"),

@@ -6,6 +6,7 @@ can read them there, so a lost executor costs a re-read and never a recomputatio
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -48,6 +49,18 @@ class Scratch:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+_HELD: dict[tuple, object] = {}
+
+
+def held_in_worker(kind: str, key: object, make: Callable[[], object]) -> object:
+    """A model kept between tasks of one Python worker. It holds one at a time: another operator's goes first."""
+    if (kind, key) not in _HELD:
+        _HELD.clear()
+        gc.collect()
+        _HELD[kind, key] = make()
+    return _HELD[kind, key]
+
+
 def held_out(doc_id) -> F.Column:
     """True for the rows that no model may learn from."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))

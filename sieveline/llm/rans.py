@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, held_in_worker
 
 LANES, CHECK, BITS = 32, 512, 16
 LOW = 1 << 16
@@ -190,14 +190,8 @@ class Chunks:
                 self.known[chunk] = array("I", got.ids).tobytes()
 
 
-_LOADED: dict[int, Chunks] = {}
-
-
 def _load(spec: str) -> Chunks:
-    if (key := hash(spec)) not in _LOADED:
-        _LOADED.clear()
-        _LOADED[key] = Chunks(spec)
-    return _LOADED[key]
+    return held_in_worker("chunks", hash(spec), lambda: Chunks(spec))
 
 
 def token_table(docs: DataFrame, spec: str, end_id: int | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

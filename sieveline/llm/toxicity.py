@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, held_out
+from .common import bounded_sample, held_in_worker, held_out
 
 WINDOW, STRIDE = 24, 16
 WORDS, GRAMS = 20_000, 1 << 12
@@ -25,7 +25,7 @@ WIDTH, HIDDEN = 8, 8
 SAMPLE = {1: 1200, 0: 4000}
 THRESHOLD = 0.3
 EARLY, LATE, LEAST_STEPS = 4, 5, 150
-MEMORY = 250_000
+MEMORY = 150_000
 _WORD = re.compile(r"\w+")
 
 
@@ -334,9 +334,6 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return train([t for _, t, _ in got], np.array([y for *_, y in got], np.int64))
 
 
-_LOADED: dict[int, Words] = {}
-
-
 def score(docs: DataFrame, model: tuple[dict[str, np.ndarray], dict[str, int]], id_col: str | None = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """Columns of ``docs`` but the text, with score (0 to 1) and predicted (1 if score >= threshold).
 
@@ -349,12 +346,10 @@ def score(docs: DataFrame, model: tuple[dict[str, np.ndarray], dict[str, int]],
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p, vocab = shared.value
         key = hash(p["word"].tobytes() + p["out"].tobytes())
-        if key not in _LOADED:
-            _LOADED.clear()
-            _LOADED[key] = Words(p, vocab)
+        words = held_in_worker("toxicity", key, lambda: Words(p, vocab))
         a, b = p["scale"].astype(np.float64)
-        for batch in batches:
-            logits = document_logits(_LOADED[key], batch.column(len(others)).to_pylist()).astype(np.float64)
+        for batch in (b.slice(k, 1000) for b in batches for k in range(0, len(b), 1000)):
+            logits = document_logits(words, batch.column(len(others)).to_pylist()).astype(np.float64)
             got = 1 / (1 + np.exp(-np.clip(a * logits + b, -50, 50)))
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(others))), pa.array(got), pa.array((got >= threshold).astype(np.int32))], names=[*others, "score", "predicted"])
 
