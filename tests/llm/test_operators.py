@@ -170,12 +170,14 @@ def test_language(spark):
 
 def test_toxicity_learns():
     r = random.Random(6)
-    make = lambda bad: " ".join("".join(r.choice("abcdef") for _ in range(4)) for _ in range(60)) + (" vile " if bad else " ") + "end"
-    y = np.array([k % 2 for k in range(300)])
+    make = lambda bad: " ".join("".join(r.choice("abcdef") for _ in range(4)) for _ in range(60)) + (" vile and " * 3 if bad else " ") + "end"
+    y = np.array([k % 2 for k in range(1500)])  # with a few hundred texts the network is weak, as the README says
     p, vocab = toxicity.train([make(k) for k in y], y)
-    out = toxicity.document_logits(toxicity.Words(p, vocab), ["vile " + make(0), make(0), "", None])
+    new = [make(k % 2) for k in range(100)]  # texts that it has not seen
+    out = toxicity.document_logits(toxicity.Words(p, vocab), [*new, "", None])
     score = 1 / (1 + np.exp(-(p["scale"][0] * out + p["scale"][1])))
-    assert score[0] >= toxicity.THRESHOLD > score[1] and np.isfinite(score).all() and toxicity.window_starts(100)[-1] + toxicity.WINDOW >= 100
+    right = (score[:100] >= toxicity.THRESHOLD) == (np.arange(100) % 2 == 1)
+    assert right.mean() >= 0.95 and np.isfinite(score).all() and toxicity.window_starts(100)[-1] + toxicity.WINDOW >= 100
 
 
 def test_odd_and_empty_tables(spark):
