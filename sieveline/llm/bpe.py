@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import heapq
 import json
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,11 +21,12 @@ from pyspark.sql import functions as F
 from .common import held_in_worker
 
 LONG = 128
-#: Entries of a worker's memory of encoded pieces; it is emptied when full, which changes no result.
-MEMORY = 150_000
+#: Entries of a worker's memories of encoded pieces and of chunks between spaces; each is emptied when full,
+#: which changes no result. Pieces cost more to encode than chunks to split, so more of them are kept.
+MEMORY, CHUNK_MEMORY = 600_000, 300_000
 #: The split pattern that byte-level vocabularies of this family are made for.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-_NONE = 1 << 60
+_NONE, _LOW = 1 << 60, (1 << 32) - 1
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -48,7 +50,7 @@ class _Chunks(dict):
     def __missing__(self, chunk: str) -> bytes:
         if not chunk or chunk[0].isspace() or chunk[-1].isspace():
             raise _Overlap
-        if len(self) >= MEMORY:
+        if len(self) >= CHUNK_MEMORY:
             self.clear()
         ids = self[chunk] = self.bpe.pieces(" " + chunk)
         return ids
@@ -63,12 +65,13 @@ class BytePairs:
         raw = lambda s: bytes(alphabet[c] for c in s)
         ids = {raw(k): v for k, v in model["vocab"].items()}
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
-        self.tokens: dict[int, bytes] = {v: k for k, v in ids.items()} | {v: k.encode() for k, v in self.special.items()}
+        tokens = {v: k for k, v in ids.items()} | {v: k.encode() for k, v in self.special.items()}
+        self.tokens = [tokens.get(k, b"") for k in range(max(tokens) + 1)]
         self.first = [ids[bytes([b])] for b in range(256)]
-        self.merges: dict[tuple[int, int], tuple[int, int]] = {}
+        self.merges: dict[tuple[int, int], int] = {}  # rank in the high bits, id of the merged part in the low 32
         for rank, pair in enumerate(model["merges"]):
             a, b = (raw(x) for x in (pair.split(" ") if isinstance(pair, str) else pair))
-            self.merges[ids[a], ids[b]] = (rank, ids[a + b])
+            self.merges[ids[a], ids[b]] = rank << 32 | ids[a + b]
         self.find = regex.compile(PATTERN).findall
         self.cut = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self.words: dict[str, bytes] = {}
@@ -79,14 +82,14 @@ class BytePairs:
         parts = [self.first[b] for b in data]
         if len(parts) > LONG:
             return self._long_word(parts)
-        get, none = self.merges.get, (_NONE, 0)
+        get, none = self.merges.get, _NONE
         ranks = [get(p, none) for p in zip(parts, parts[1:])]
         while ranks:
             best = min(ranks)
-            if best[0] == _NONE:
+            if best == none:
                 break
             at = ranks.index(best)
-            parts[at] = best[1]
+            parts[at] = best & _LOW
             del parts[at + 1], ranks[at]
             if at < len(ranks):
                 ranks[at] = get((parts[at], parts[at + 1]), none)
@@ -97,7 +100,7 @@ class BytePairs:
     def _long_word(self, parts: list[int]) -> list[int]:
         n, get = len(parts), self.merges.get
         after, before = [*range(1, n), -1], [-1, *range(n - 1)]
-        heap = [(m[0], k, m[1], parts[k], parts[k + 1]) for k in range(n - 1) if (m := get((parts[k], parts[k + 1])))]
+        heap = [(m >> 32, k, m & _LOW, parts[k], parts[k + 1]) for k in range(n - 1) if (m := get((parts[k], parts[k + 1]))) is not None]
         heapq.heapify(heap)
         while heap:
             _, k, new, a, b = heapq.heappop(heap)
@@ -109,8 +112,8 @@ class BytePairs:
             if after[k] >= 0:
                 before[after[k]] = k
             for x, y in ((before[k], k), (k, after[k])):
-                if x >= 0 and y >= 0 and (m := get((parts[x], parts[y]))):
-                    heapq.heappush(heap, (m[0], x, m[1], parts[x], parts[y]))
+                if x >= 0 and y >= 0 and (m := get((parts[x], parts[y]))) is not None:
+                    heapq.heappush(heap, (m >> 32, x, m & _LOW, parts[x], parts[y]))
         return [p for p in parts if p >= 0]
 
     def pieces(self, text: str) -> bytes:
@@ -119,7 +122,7 @@ class BytePairs:
         for piece in self.find(text):
             got = words.get(piece)
             if got is None:
-                got = np.array(self.word(piece.encode("utf-8", "replace")), "<u4").tobytes()
+                got = array("I", self.word(piece.encode("utf-8", "replace"))).tobytes()
                 if len(piece) < 64:
                     if len(words) >= MEMORY:
                         words.clear()
@@ -150,7 +153,9 @@ class BytePairs:
     def decode(self, ids) -> str:
         """Text of ids; ids outside the vocabulary give nothing, bytes that are no UTF-8 give U+FFFD."""
         tokens = self.tokens
-        return b"".join([tokens.get(i, b"") for i in ids]).decode("utf-8", "replace")
+        if len(ids) and (min(ids) < 0 or max(ids) >= len(tokens)):
+            ids = [i for i in ids if 0 <= i < len(tokens)]
+        return b"".join(map(tokens.__getitem__, ids)).decode("utf-8", "replace")
 
 
 def _load(spec: str) -> BytePairs:
