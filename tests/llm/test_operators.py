@@ -39,6 +39,20 @@ def test_bpe_equals_library():
         assert own.decode(ids) == lib.decode(ids, skip_special_tokens=False)
 
 
+def test_bpe_odd_ids_and_full_memories(monkeypatch):
+    own = bpe.BytePairs(bpe.vocabulary("byte_bpe_50k.json"))
+    texts = [" ".join(f"word{k * 7 % 40} x{k}, " for k in range(60)), "a\n\nb  c", "é" * 300]
+    ids = [own.encode(t) for t in texts]
+    known = np.frombuffer(ids[0], "<u4").tolist()
+    assert own.decode([-1, *known, 10**6]) == texts[0]
+    assert own.decode([]) == ""
+    monkeypatch.setattr(bpe, "MEMORY", 5)
+    monkeypatch.setattr(bpe, "CHUNK_MEMORY", 3)
+    small = bpe.BytePairs(bpe.vocabulary("byte_bpe_50k.json"))
+    assert [small.encode(t) for t in texts] == ids
+    assert len(small.words) <= 5 and len(small.chunks) <= 3
+
+
 def test_chunks_equal_library():
     spec = bpe.vocabulary("word_bpe_49k.json")
     lib, texts = Tokenizer.from_str(spec), fuzz()
