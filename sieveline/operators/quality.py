@@ -80,3 +80,38 @@ def score(df: DataFrame, predictors: dict[str, Column], truth: Column) -> DataFr
     x = x.withColumn("precision", ratio(F.col("correct"), F.col("returned"))).withColumn("recall", ratio(F.col("correct"), F.col("correct") + F.col("missed")))
     f1 = ratio(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall"))
     return x.select("name", "returned", "correct", "wrong", "missed", F.round("precision", 3).alias("precision"), F.round("recall", 3).alias("recall"), F.round(f1, 3).alias("f1"))
+
+
+def suspects(df: DataFrame, columns: Sequence[str], tokens: Sequence[str]) -> DataFrame:
+    """(column_name, token, n): how often each unknown-looking code stands in each text column, in one scan."""
+    cells = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).alias("token")) for c in columns])
+    x = df.select(F.explode(F.filter(cells, lambda x: x["token"].isin(*tokens))).alias("x")).select("x.*")
+    return x.groupBy("column_name", "token").agg(F.count("*").alias("n"))
+
+
+def whitespace(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(column_name, padded, blank): texts with white space at an end, and texts of nothing else."""
+    cells = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).alias("v")) for c in columns])
+    x = df.select(F.explode(cells).alias("x")).select("x.*")
+    return x.groupBy("column_name").agg(F.count_if(F.col("v").rlike(r"(?U)^\s|\s$")).alias("padded"), F.count_if(F.col("v").rlike(r"(?U)^\s+$")).alias("blank"))
+
+
+def expectation_metrics(log: DataFrame, details: str) -> DataFrame:
+    """(dataset, rule, passed, failed) from a log of JSON arrays of {dataset, name, passed, failed}; broken JSON counts nowhere."""
+    x = log.select(F.explode(F.from_json(details, "array<struct<dataset: string, name: string, passed: bigint, failed: bigint>>")).alias("x")).select("x.*")
+    return x.groupBy("dataset", F.col("name").alias("rule")).agg(F.sum("passed").alias("passed"), F.sum("failed").alias("failed"))
+
+
+def drift(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Change of each measure between two results of ``profile``."""
+    b = before.select("column_name", *[F.col(c).alias(f"_{c}") for c in ("rows", "distinct_values", "nulls")])
+    change = lambda c: (F.coalesce(F.col(c), F.lit(0)) - F.coalesce(F.col(f"_{c}"), F.lit(0)))
+    return after.join(b, "column_name", "full_outer").select("column_name", change("rows").alias("rows_change"), change("distinct_values").alias("distinct_change"), change("nulls").alias("nulls_change"))
+
+
+def scorecard(df: DataFrame, questions: Sequence[str], naive: Sequence[Column], typed: Sequence[Column]) -> DataFrame:
+    """(question, naive, typed, changed): the same questions to the texts as they came and to the typed columns, in one scan."""
+    whole = [F.coalesce(c.cast("bigint"), F.lit(0)).alias(f"{side}{k}") for side, cs in (("n", naive), ("t", typed)) for k, c in enumerate(cs)]
+    cells = F.array(*[F.struct(F.lit(q).alias("question"), F.col(f"n{k}").alias("naive"), F.col(f"t{k}").alias("typed")) for k, q in enumerate(questions)])
+    x = df.agg(*whole).select(F.explode(cells).alias("x")).select("x.*")
+    return x.withColumn("changed", F.col("naive") != F.col("typed"))

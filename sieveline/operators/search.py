@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,22 +15,47 @@ def tokens(c: Column) -> Column:
     return F.regexp_extract_all(F.lower(c), F.lit(r"[a-z0-9À-ÿ']+"), F.lit(0))
 
 
-def lexicon(c: Column, words: Sequence[str], negators: Sequence[str] = (), window: int = 0, exclude: Sequence[str] = (), lemmas: dict[str, str] | None = None) -> Column:
-    """True where a token's lemma is one of ``words``, it is not excluded and no negator stands in the window before it."""
-    t = tokens(c)
+def lexicon(
+    c: Column, words: Sequence[str], negators: Sequence[str] = (), window: int = 0, exclude: Sequence[str] = (), lemmas: dict[str, str] | None = None,
+    phrases: Sequence[str] = (), negating_phrases: Sequence[str] = (), exclude_phrases: Sequence[str] = (),
+) -> Column:
+    """True where a word or a phrase is found that nothing in the window of words before it negates.
+
+    A word counts by its lemma unless it is one of ``exclude`` or part of an excluded phrase. Of a phrase, the first
+    occurrence counts; the words before it are split at white space.
+    """
+    bare = F.lower(c)
+    for p in exclude_phrases:
+        bare = F.replace(bare, F.lit(p), F.lit(" "))
+    t = tokens(bare)
     table = F.create_map(*[F.lit(x) for kv in lemmas.items() for x in kv]) if lemmas else None
     lemma = lambda w: F.coalesce(F.try_element_at(table, w), w) if lemmas else w
 
+    def denied(before: Column) -> Column:
+        found = [F.arrays_overlap(before, F.array(*[F.lit(n) for n in negators]))] if negators else []
+        found += [F.contains(F.array_join(before, " "), F.lit(p)) for p in negating_phrases]
+        return reduce(or_, found)
+
+    negates = bool(window and (negators or negating_phrases))
+
     def hit(w: Column, i: Column) -> Column:
         ok = lemma(w).isin(*words)
         if exclude:
             ok = ok & ~w.isin(*exclude)
-        if negators and window:
+        if negates:
             start = F.greatest(i - window, F.lit(0))
-            ok = ok & ~F.arrays_overlap(F.slice(t, start + 1, i - start), F.array(*[F.lit(n) for n in negators]))
+            ok = ok & ~denied(F.slice(t, start + 1, i - start))
         return F.struct(ok.alias("ok"))
 
-    return F.exists(F.transform(t, hit), lambda x: x["ok"])
+    found = [F.exists(F.transform(t, hit), lambda x: x["ok"])] if words else []
+    for p in phrases:
+        ok = F.contains(bare, F.lit(p))
+        if negates:
+            before = F.filter(F.split(F.substring_index(bare, p, 1), r"\s+"), lambda w: w != "")
+            n = F.least(F.size(before), F.lit(window))
+            ok = ok & ~denied(F.slice(before, F.greatest(F.size(before) - window, F.lit(0)) + 1, n))
+        found.append(ok)
+    return reduce(or_, found, F.when(c.isNotNull(), False))
 
 
 def cosine(a: Column, b: Column) -> Column:

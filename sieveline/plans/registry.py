@@ -2,59 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import convert, dates, text
 from ..operators import quality, search
 from ..streaming import pipeline
+from .base import _DATE, _FLAG, _ID, _K, _MONEY, _POINTS, _PRIORITY, _TIME, ORACLE_SQL, QUERIES, _clean, folder, query
 from .messy import messy_orders, table
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
-AS_OF = "2026-01-01"
-
-_K = "(o_orderkey + 1)"
-_ID = f"CASE WHEN {_K} % 97 = 0 OR {_K} % 89 = 0 THEN NULL ELSE {_K} END"
-_DATE = f"CASE WHEN {_K} % 61 = 0 OR {_K} % 67 = 0 THEN NULL ELSE CAST(o_orderdate AS DATE) END"
-_P = "CAST(o_totalprice AS DECIMAL(12,2))"
-_MONEY = f"CAST(CASE WHEN {_K} % 53 = 0 THEN NULL WHEN {_K} % 59 = 0 THEN 0 WHEN {_K} % 6 = 5 THEN -{_P} ELSE {_P} END AS DECIMAL(12,2))"
-_POINTS = f"CASE WHEN {_K} % 47 = 0 THEN NULL ELSE {_K} % 11 END"
-_TIME = f"CASE WHEN {_K} % 43 = 0 THEN NULL ELSE lpad(CAST({_K} % 24 AS VARCHAR), 2, '0') || ':' || lpad(CAST({_K} % 60 AS VARCHAR), 2, '0') || ':00' END"
-_FLAG = f"CASE WHEN {_K} % 41 = 0 OR {_K} % 15 = 14 AND FALSE THEN NULL ELSE {_K} % 15 < 7 END"
-_PRIORITY = f"CASE WHEN {_K} % 83 = 0 THEN NULL ELSE o_orderpriority END"
-
-
-def query(sql: str | None = None):
-    """Register the function under its name, with its SQL."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def _clean(spark, sf_dir):
-    """Messy orders, stripped and typed, the raw text kept as ``as_written``."""
-    raw = text.strip_and_null(messy_orders(spark, sf_dir))
-    names = ["date_text", "money_text", "points_text", "time_text", "flag_text"]
-    d = dates.parse_date(F.col("date_text"))
-    return raw.withColumn("as_written", F.struct(*names)).withColumns({
-        "id": convert.to_id(F.col("id_text")),
-        "order_date": dates.century_past(F.col("date_text"), d, F.lit(AS_OF).cast("date")),
-        "money": convert.to_money(F.col("money_text")),
-        "points": convert.to_integer(F.col("points_text")),
-        "time": convert.to_time(F.col("time_text")),
-        "flag": convert.to_boolean(F.col("flag_text")),
-    })
-
-
 @query(f"SELECT {_K} AS k, {_ID} AS id, {_DATE} AS order_date, {_MONEY} AS money, {_POINTS} AS points, {_TIME} AS time, {_FLAG} AS flag FROM orders")
 def all_conversions(spark, sf_dir):
     return _clean(spark, sf_dir).select("k", "id", "order_date", "money", "points", "time", "flag")
@@ -93,8 +49,7 @@ def key_checks(spark, sf_dir):
 def classify_formats(spark, sf_dir):
     rows = _clean(spark, sf_dir).where("date_text IS NOT NULL")
     label = dates.date_format_of(F.col("date_text"))
-    fixed = F.when((F.col("k") % 9 == 8) & (F.col("k") % 61 != 0) & (label == "Mon D YYYY"), "Mon D YYYY").otherwise(label)
-    return rows.groupBy(fixed.alias("format")).agg(F.count("*").alias("n"))
+    return rows.groupBy(label.alias("format")).agg(F.count("*").alias("n"))
 
 
 @query(f"""SELECT 'date_text' AS column_name, count(*) FILTER (WHERE {_K} % 67 = 0 AND {_K} % 61 <> 0) AS missing, count(*) FILTER (WHERE {_K} % 61 = 0) AS failed,
@@ -355,14 +310,9 @@ def semantic_topk(spark, sf_dir):
     return search.semantic_topk(e, e.orderBy("vec_id").limit(1).select(F.col("embedding").alias("q")), "vec_id", "embedding", 10)
 
 
-def _folder(spark) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="sieveline-")
-    return f"{root}/{uuid.uuid4().hex}"
-
-
 @query(f"SELECT {_K} AS k, {_ID} AS id FROM orders")
 def csv_round_trip(spark, sf_dir):
-    path = _folder(spark)
+    path = folder(spark)
     messy_orders(spark, sf_dir).select("k", "id_text").write.option("header", True).csv(path)
     raw = spark.read.schema("k string, id_text string").option("header", True).option("escape", '"').csv(path)
     return text.strip_and_null(raw).select(F.col("k").cast("long").alias("k"), convert.to_id(F.col("id_text")).alias("id"))
@@ -370,7 +320,7 @@ def csv_round_trip(spark, sf_dir):
 
 @query("SELECT 'silver' AS part, count(*) FILTER (WHERE (event_id + 1) % 97 <> 0) AS n FROM events UNION ALL SELECT 'quarantine', count(*) FILTER (WHERE (event_id + 1) % 97 = 0) FROM events UNION ALL SELECT 'bronze', count(*) FROM events UNION ALL SELECT 'failed checks', 0")
 def bronze_silver_stream(spark, sf_dir):
-    out = _folder(spark)
+    out = folder(spark)
     sent = table(spark, sf_dir, "events").selectExpr("CASE WHEN (event_id + 1) % 97 = 0 THEN CAST(event_id AS STRING) ELSE lpad(CAST(event_id + 1 AS STRING), 8, '0') END AS id", "CAST(ts AS STRING) AS ts", "event_type", "CAST(value AS STRING) AS value")
     sent.write.option("header", True).csv(f"{out}/landing")
     pipeline.bronze(spark, f"{out}/landing", out, ["id", "ts", "event_type", "value"])
@@ -378,3 +328,8 @@ def bronze_silver_stream(spark, sf_dir):
     failed = pipeline.validate(spark, out, "id", {"value present": 0.05}).where("status = 'FAIL'").agg(F.lit("failed checks").alias("part"), F.count("*").alias("n"))
     sizes = [spark.read.parquet(f"{out}/{x}").agg(F.lit(x).alias("part"), F.count("*").alias("n")) for x in ("silver", "quarantine", "bronze")]
     return sizes[0].unionByName(sizes[1]).unionByName(sizes[2]).unionByName(failed)
+
+
+from . import learning, storage  # noqa: E402, F401 -- they register their queries
+
+__all__ = ["ORACLE_SQL", "QUERIES"]

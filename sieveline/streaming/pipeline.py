@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import convert, text
+from ..sources import tables
+
+#: What a review names a quarantined row by.
+REVIEW_KEY = ["_source_file", "id_written"]
 
 
 def bronze(spark: SparkSession, landing: str, out: str, columns: list[str]) -> None:
@@ -42,6 +46,25 @@ def silver(spark: SparkSession, out: str, id_col: str, cleanse: Callable[[DataFr
     source.writeStream.foreachBatch(batch).option("checkpointLocation", f"{out}/_state_silver").trigger(availableNow=True).start().awaitTermination()
 
 
+def full_refresh(spark: SparkSession, out: str) -> None:
+    """Forget silver, quarantine and rules, so that the next ``silver`` reads all of bronze again, as after a changed crosswalk."""
+    for part in ("silver", "quarantine", "rules", "_state_silver"):
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{out}/{part}")
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def review(spark: SparkSession, out: str, rows: DataFrame) -> None:
+    """Record reviews (_source_file, id as written, note, ...) of quarantined rows; one that is there already stays as it is."""
+    tables.insert_absent(rows, f"{out}/reviews", REVIEW_KEY)
+
+
+def unreviewed(spark: SparkSession, out: str, id_col: str) -> DataFrame:
+    """Quarantined rows that no review names, a missing ID matched as an empty text."""
+    q = spark.read.parquet(f"{out}/quarantine").withColumn("id_written", F.coalesce(id_col, F.lit("")))
+    seen = tables.read_log(spark, f"{out}/reviews", "_source_file string, id_written string, note string").select(*REVIEW_KEY)
+    return q.join(seen, REVIEW_KEY, "left_anti")
+
+
 def validate(spark: SparkSession, out: str, id_col: str, limits: dict[str, float]) -> DataFrame:
     """(check_name, value, threshold, status): conservation, uniqueness and each rule's failing share; raises nothing."""
     b, s, q = (spark.read.parquet(f"{out}/{x}") for x in ("bronze", "silver", "quarantine"))
