@@ -318,18 +318,43 @@ def csv_round_trip(spark, sf_dir):
     return text.strip_and_null(raw).select(F.col("k").cast("long").alias("k"), convert.to_id(F.col("id_text")).alias("id"))
 
 
-@query("SELECT 'silver' AS part, count(*) FILTER (WHERE (event_id + 1) % 97 <> 0) AS n FROM events UNION ALL SELECT 'quarantine', count(*) FILTER (WHERE (event_id + 1) % 97 = 0) FROM events UNION ALL SELECT 'bronze', count(*) FROM events UNION ALL SELECT 'failed checks', 0")
-def bronze_silver_stream(spark, sf_dir):
-    out = folder(spark)
+def _delivered(spark, sf_dir, out):
+    """Events as a delivered CSV under ``out``; every 97th ID is not padded."""
     sent = table(spark, sf_dir, "events").selectExpr("CASE WHEN (event_id + 1) % 97 = 0 THEN CAST(event_id AS STRING) ELSE lpad(CAST(event_id + 1 AS STRING), 8, '0') END AS id", "CAST(ts AS STRING) AS ts", "event_type", "CAST(value AS STRING) AS value")
     sent.write.option("header", True).csv(f"{out}/landing")
     pipeline.bronze(spark, f"{out}/landing", out, ["id", "ts", "event_type", "value"])
+
+
+def _to_silver(spark, out):
     pipeline.silver(spark, out, "id", lambda d: d.withColumn("id", convert.to_id(F.col("id"))), {"value present": "value IS NOT NULL"}, {"layout": "_rescued_data IS NULL"})
+
+
+@query("SELECT 'silver' AS part, count(*) FILTER (WHERE (event_id + 1) % 97 <> 0) AS n FROM events UNION ALL SELECT 'quarantine', count(*) FILTER (WHERE (event_id + 1) % 97 = 0) FROM events UNION ALL SELECT 'bronze', count(*) FROM events UNION ALL SELECT 'failed checks', 0")
+def bronze_silver_stream(spark, sf_dir):
+    out = folder(spark)
+    _delivered(spark, sf_dir, out)
+    _to_silver(spark, out)
     failed = pipeline.validate(spark, out, "id", {"value present": 0.05}).where("status = 'FAIL'").agg(F.lit("failed checks").alias("part"), F.count("*").alias("n"))
     sizes = [spark.read.parquet(f"{out}/{x}").agg(F.lit(x).alias("part"), F.count("*").alias("n")) for x in ("silver", "quarantine", "bronze")]
     return sizes[0].unionByName(sizes[1]).unionByName(sizes[2]).unionByName(failed)
 
 
+@query("""SELECT CAST(event_id AS VARCHAR) AS id, event_id % 2 = 0 AS reviewed FROM events WHERE (event_id + 1) % 97 = 0""")
+def quarantine_reviews(spark, sf_dir):
+    """Quarantine after a full refresh, half of it reviewed, twice over."""
+    out = folder(spark)
+    _delivered(spark, sf_dir, out)
+    _to_silver(spark, out)
+    pipeline.full_refresh(spark, out)
+    _to_silver(spark, out)
+    held = spark.read.parquet(f"{out}/quarantine")
+    done = held.where("CAST(id AS BIGINT) % 2 = 0").select("_source_file", F.col("id").alias("id_written"), F.lit("known sender").alias("note"))
+    pipeline.review(spark, out, done)
+    pipeline.review(spark, out, done)
+    left, seen = pipeline.unreviewed(spark, out, "id"), spark.read.parquet(f"{out}/reviews")
+    return left.select("id", F.lit(False).alias("reviewed")).unionByName(seen.select(F.col("id_written").alias("id"), F.lit(True).alias("reviewed")))
+
+
 from . import learning, storage  # noqa: E402, F401 -- they register their queries
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
