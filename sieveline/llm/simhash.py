@@ -78,10 +78,11 @@ def fingerprint_links(distinct: DataFrame, scratch: Scratch, radius: int = 3, bl
 
     def work(t: pa.Table, g: np.ndarray) -> pa.Table | None:
         fp = t["id"].to_numpy()
+        bits = fp.view(np.uint64)  # of a negative number, bitwise_count would count the bits of its absolute value
         own, i, j = (t[c].to_numpy() for c in ("own", "i", "j"))
         found: list[tuple[np.ndarray, np.ndarray]] = []
         for a, b in pairs_in_groups(g, own, i, j):
-            near = np.bitwise_count(fp[a] ^ fp[b]) <= radius
+            near = np.bitwise_count(bits[a] ^ bits[b]) <= radius
             if near.any():
                 found.append((a[near], b[near]))
         if not found:

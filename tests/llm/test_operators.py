@@ -110,6 +110,17 @@ def test_covering():
         assert any((x & m) == (y & m) for m in masks)
 
 
+def test_simhash_links_across_the_top_bit(spark):
+    r, rows, near = np.random.default_rng(8), [], set()
+    for bits in ((63, 5), (63, 5, 40), (60, 61, 62, 63)):
+        x = int(r.integers(0, 2**63))
+        pair = [z - 2**64 if z >> 63 else z for z in (x, x ^ sum(1 << k for k in bits))]
+        rows += [(z,) for z in pair]
+        near |= {frozenset(pair)} if len(bits) <= 3 else set()
+    got = simhash.fingerprint_links(spark.createDataFrame(rows, "fp long"), common.Scratch(spark, "t")).collect()
+    assert {frozenset((x["a"], x["b"])) for x in got} == near
+
+
 def test_substrings(spark):
     r = random.Random(2)
     prose = lambda n: " ".join("".join(r.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(n))
