@@ -11,6 +11,7 @@ blocks of it are tested in numpy and only a spanning forest of their links leave
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,6 +23,10 @@ from pyspark.sql import functions as F
 from .common import Scratch, by_whole_groups, connected_components, forest, in_blocks, pairs_in_groups
 
 SEED = 42
+#: The stage of the pipeline: words a shingle, least Jaccard similarity, most differing bits of 128 (19 on average at 0.8).
+STAGE_WORDS = 5
+SIMILARITY = 0.8
+STAGE_RADIUS = 34
 _SHIFTS = np.arange(64, dtype=np.uint64)
 
 
@@ -120,13 +125,154 @@ def op3_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def shingle_set(text: str | None, words: int = STAGE_WORDS) -> tuple[np.ndarray, bytes]:
+    """(sorted distinct 64-bit hashes of a text's word shingles, its 128-bit SimHash over them, each counted once)."""
+    parts = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not parts:
+        return np.empty(0, np.uint64), bytes(16)
+    joined = b" ".join(parts)
+    digest = xxhash.xxh3_128_digest
+    if len(parts) <= words:
+        hashes = digest(joined, SEED)
+    else:
+        ends = np.cumsum([len(p) + 1 for p in parts])
+        starts = np.concatenate([[0], ends[: -words]]).tolist()
+        hashes = b"".join([digest(joined[s:e], SEED) for s, e in zip(starts, (ends[words - 1 :] - 1).tolist())])
+    h = np.frombuffer(hashes, np.uint8).reshape(-1, 16)
+    own, at = np.unique(np.ascontiguousarray(h[:, :8]).view(np.uint64).reshape(-1), return_index=True)
+    ones = np.zeros(128, np.int64)
+    for k in range(0, len(at), 4096):
+        ones += np.unpackbits(h[at[k : k + 4096]], axis=1).sum(axis=0, dtype=np.int64)
+    return own, np.packbits(2 * ones > len(at)).tobytes()
+
+
+def banding(total: int, seed: int = 11) -> np.ndarray:
+    """Masks (tables, 2) over 128 bits: more bits a table with the rows, and as many tables as keep the chance of a meeting.
+
+    A pair of similarity 0.8 agrees on a bit with probability 0.848; were the tables independent, the chance that none
+    of them has it would be 0.05 at every size. They share 128 bits, so with many tables somewhat more is missed.
+    """
+    bits = max(8, math.ceil(math.log2(max(1, total) / 16)))
+    cosine = 2 * SIMILARITY / (1 + SIMILARITY)
+    meet = (1 - math.acos(cosine) / math.pi) ** bits
+    r, masks = np.random.default_rng(seed), []
+    for _ in range(math.ceil(math.log(0.05) / math.log1p(-meet))):
+        own = r.choice(128, bits, replace=False)
+        masks.append([sum(1 << int(k % 64) for k in own if k // 64 == half) for half in (0, 1)])
+    return np.array(masks, np.uint64)
+
+
+def similar_pairs(t: pa.Table, g: np.ndarray, masks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Index pairs (a, b) of rows of one group whose fingerprints and sizes allow the similarity, in the first table they share, with their bits."""
+    f0, f1 = (t[c].to_numpy().view(np.uint64) for c in ("f0", "f1"))
+    own, i, j, table, n = (t[c].to_numpy() for c in ("own", "i", "j", "t", "n"))
+    found = [(np.empty(0, np.int64),) * 3]
+    for a, b in pairs_in_groups(g, own, i, j):
+        d = np.bitwise_count(f0[a] ^ f0[b]).astype(np.int64) + np.bitwise_count(f1[a] ^ f1[b])
+        near = (d <= STAGE_RADIUS) & (np.minimum(n[a], n[b]) >= SIMILARITY * np.maximum(n[a], n[b]))
+        a, b, d = a[near], b[near], d[near]
+        if len(a):
+            x0, x1 = (f0[a] ^ f0[b])[:, None], (f1[a] ^ f1[b])[:, None]
+            agree = (x0 & masks[:, 0] == 0) & (x1 & masks[:, 1] == 0)
+            first = np.argmax(agree, axis=1) == table[a]
+            found.append((a[first], b[first], d[first]))
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
+def similarity_links(nodes: DataFrame, docs: DataFrame, scratch: Scratch, block: int = 1024) -> DataFrame:
+    """Links (a, b) over classes that join what pairs of shingle similarity >= 0.8, met in a table, join.
+
+    ``nodes``: (cls, f0, f1, n, least: the class's first row). ``docs``: (id, dig, text). Members of a bucket that
+    have a candidate there are met a second time with their shingles, where candidates are confirmed exactly; pairs
+    that confirmed ones have joined already need no look.
+    """
+    masks = banding(nodes.count())
+    keys = F.array(*[F.struct(F.lit(k).alias("t"), F.col("f0").bitwiseAND(F.lit(_signed(int(x)))).alias("x"), F.col("f1").bitwiseAND(F.lit(_signed(int(y)))).alias("y")) for k, (x, y) in enumerate(masks)])
+    rows = nodes.select("cls", "f0", "f1", "n", F.explode(keys).alias("k"))
+    rows = rows.select(F.xxhash64("k.t", "k.x", "k.y").alias("bucket"), "k.t", F.col("cls").alias("id"), "f0", "f1", "n")
+    cols = ["bucket", "i", "j", "own", "t", "id", "f0", "f1", "n"]
+    kinds = "bucket long, i int, j int, own int, t int, id long, f0 long, f1 long, n int"
+
+    def candidates(t: pa.Table, g: np.ndarray) -> pa.Table | None:
+        a, b, _ = similar_pairs(t, g, masks)
+        return t.take(pa.array(np.unique(np.concatenate([a, b])))) if len(a) else None
+
+    dealt = in_blocks(rows, scratch, "bands", block).select(*cols)
+    near = scratch.write(dealt.mapInArrow(lambda it: by_whole_groups(it, ["bucket", "i", "j"], candidates), kinds), "near")
+    wanted = nodes.join(near.select(F.col("id").alias("cls")).distinct(), "cls").select("cls", F.col("least.id").alias("wid"), F.col("least.dig").alias("wdig"))
+    wanted = scratch.write(wanted, "wanted").hint("merge")
+    texts = docs.join(wanted, docs["id"].eqNullSafe(wanted["wid"]) & docs["dig"].eqNullSafe(wanted["wdig"])).select("cls", "text").dropDuplicates(["cls"])
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, len(batch), 1000):
+                b = batch.slice(at, 1000)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingle_set(x)[0].tobytes() for x in b.column(1).to_pylist()], pa.binary())], names=["id", "shingles"])
+
+    shingles = scratch.write(texts.mapInArrow(sets, "id long, shingles binary"), "shingles")
+
+    def confirm(t: pa.Table, g: np.ndarray) -> pa.Table | None:
+        a, b, d = similar_pairs(t, g, masks)
+        ids, held, up = t["id"].to_numpy(), t["shingles"], np.arange(len(t)).tolist()
+
+        def root(x: int) -> int:
+            while up[x] != x:
+                up[x] = x = up[up[x]]
+            return x
+
+        out = []
+        for k in np.argsort(d, kind="stable").tolist():
+            x, y = root(int(a[k])), root(int(b[k]))
+            if x == y:
+                continue
+            one, two = (np.frombuffer(held[int(z[k])].as_buffer(), np.uint64) for z in (a, b))
+            both = len(np.intersect1d(one, two, assume_unique=True))
+            if both >= SIMILARITY * (len(one) + len(two) - both):
+                up[max(x, y)] = min(x, y)
+                out.append((ids[a[k]], ids[b[k]]))
+        return pa.table({"a": np.array([x for x, _ in out], np.int64), "b": np.array([y for _, y in out], np.int64)}) if out else None
+
+    met = near.join(shingles, "id").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").select(*cols, "shingles")
+    return met.mapInArrow(lambda it: by_whole_groups(it, ["bucket", "i", "j"], confirm, 2000), "a long, b long")
+
+
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The row with the smallest id of each group of near-duplicates; of rows that repeat this id, one.
+    """One row of each group of near-duplicates: that of the smallest id, null ids last, ties by a digest of the text.
 
-    Groups without any id lose all rows but those of one arbitrary text: their id is null and cannot be told apart.
+    Texts link when their sets of five-word shingles have a Jaccard similarity of 0.8 or more; candidates come from
+    tables on bits of a SimHash, so a few pairs near the threshold are not met (see the README). Rows are told
+    apart by id and text, so null and repeated ids hide no other text. Texts without words are one group.
     """
-    found = simhash_components(docs, id_col, text_col)
-    stay = found.where(F.col("id").eqNullSafe(F.col("component_id"))).select("id").distinct()
-    stay = Scratch(docs.sparkSession, "simhash-kept").write(stay, "ids")
-    kept = docs.join(stay, docs[id_col].eqNullSafe(stay["id"]), "left_semi")
-    return kept.dropDuplicates([id_col])
+    scratch = Scratch(docs.sparkSession, "simhash-kept")
+    text = F.col(text_col).cast("string")
+    keyed = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("dig"), text.alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [shingle_set(x) for x in b.column(2).to_pylist()]
+            cls = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s, _ in found], np.uint64).view(np.int64)
+            f = np.frombuffer(b"".join(x for _, x in found), np.int64).reshape(-1, 2)
+            n = np.array([len(s) for s, _ in found], np.int32)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(np.ascontiguousarray(x)) for x in (cls, f[:, 0], f[:, 1], n))], names=["id", "dig", "cls", "f0", "f1", "n"])
+
+    marked = scratch.write(keyed.mapInArrow(run, "id long, dig long, cls long, f0 long, f1 long, n int"), "marked")
+    row = F.struct(F.col("id").isNull().alias("none"), "id", "dig")
+    nodes = marked.groupBy("cls").agg(F.first("f0").alias("f0"), F.first("f1").alias("f1"), F.first("n").alias("n"), F.min(row).alias("least"))
+    nodes = scratch.write(nodes, "nodes")
+    links = scratch.write(similarity_links(nodes, keyed, scratch).distinct(), "links")
+    roots = connected_components(links, scratch).withColumnRenamed("node", "cls")
+    known = nodes.select("cls", "least").join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    stay = known.groupBy("root").agg(F.min("least").alias("least")).select("least.id", "least.dig")
+    counts = marked.groupBy("id", "dig").agg(F.count("*").alias("_rows"))
+    stay = stay.join(counts, stay["id"].eqNullSafe(counts["id"]) & (stay["dig"] == counts["dig"])).select(stay["id"].alias("_id"), stay["dig"].alias("_stay"), "_rows")
+    stay = scratch.write(stay, "stay")
+    rows = docs.withColumns({"_dig": F.xxhash64(text), "_own": F.col(id_col).cast("long")})
+
+    def taken(keys: DataFrame) -> DataFrame:
+        keys = keys.hint("merge")
+        return rows.join(keys, rows["_own"].eqNullSafe(keys["_id"]) & (rows["_dig"] == keys["_stay"]), "left_semi")
+
+    kept = taken(stay.where("_rows = 1"))
+    if stay.where("_rows > 1").limit(1).count():
+        kept = kept.unionByName(taken(stay.where("_rows > 1")).dropDuplicates(["_own", "_dig"]))
+    return kept.select(*docs.columns)

@@ -121,6 +121,31 @@ def test_simhash_links_across_the_top_bit(spark):
     assert {frozenset((x["a"], x["b"])) for x in got} == near
 
 
+def test_stage_keeps_one_of_near_copies(spark):
+    r, rows, low = random.Random(9), [], {}
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(5))
+    for k in range(60):
+        base = [word() for _ in range(200)]
+        for c, changed in enumerate(([], [20], [100, 160], [150, 20, 60, 110, 170, 190])):
+            text = [word() if at in changed else w for at, w in enumerate(base)]
+            rows.append((10 * k + c, " ".join(text), "s"))
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(196)} for i, t, _ in rows}
+    for i in sets:  # the copies of one base are neighbours in the ids
+        low[i] = min(low.get(j, j) for j in sets if j // 10 == i // 10 and j <= i and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]))
+    got = {x["doc_id"] for x in simhash.keep_one_of_each(docs(spark, rows)).collect()}
+    want = set(low.values())
+    assert len(want) == 120 and want <= got and len(got - want) <= 6
+    # one large group of near copies
+    many = [(1000 + k, " ".join([*("w%d" % x for x in range(300)), word()]), "s") for k in range(150)]
+    assert [x["doc_id"] for x in simhash.keep_one_of_each(docs(spark, many)).collect()] == [1000]
+
+
+def test_stage_tells_rows_apart_by_text(spark):
+    rows = [(None, f"text {k} of its own {k * 7}", "s") for k in range(4)] * 2 + [(5, "one text of five", "s"), (5, "another text of five", "s"), (5, "one text of five", "s")]
+    got = sorted(x["text"] for x in simhash.keep_one_of_each(docs(spark, rows)).collect())
+    assert got == sorted({t for _, t, _ in rows})
+
+
 def test_substrings(spark):
     r = random.Random(2)
     prose = lambda n: " ".join("".join(r.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(n))
