@@ -7,6 +7,8 @@ distinct lines a page divided by the ratio, so they fit an array by host; each p
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +16,8 @@ from .common import Scratch
 
 RATIO = 0.2
 MIN_PAGES = 3
+#: The pipeline's stage: a line goes by either rule of (share of the source's different texts, least number of them).
+STAGE_RULES = ((RATIO, MIN_PAGES), (0.01, 10))
 
 _HOST = r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/:?#]+)"
 #: Markup without text, and tags that end a line of the rendered page.
@@ -38,23 +42,31 @@ def _lines(text: Column) -> Column:
     return F.filter(trimmed, lambda x: x != "")
 
 
-def drop_boilerplate(rows: DataFrame, host: Column, text: Column, ratio: float = RATIO, min_pages: int = MIN_PAGES, out: str = "text") -> DataFrame:
+def drop_boilerplate(rows: DataFrame, host: Column, text: Column, ratio: float = RATIO, min_pages: int = MIN_PAGES, out: str = "text", more_rules: tuple = (), copies_once: bool = False) -> DataFrame:
     """``rows`` with columns _host, n_lines, n_dropped and the kept lines as ``out``.
 
     Lines are trimmed and blank ones are no lines. A line goes from all pages of a host when more than
     ``ratio`` of the host's pages have it and at least ``min_pages`` do. Null hosts are one host (''), null texts
     have no lines; a page left without lines stays with the text ''. Repeated rows are pages of their own, the
-    order of lines stays, an empty table gives an empty result.
+    order of lines stays, an empty table gives an empty result. ``more_rules`` are further (ratio, least pages) by
+    which a line goes. With ``copies_once``, pages of a host with the same lines count as one page of it, so that a
+    text does not become boilerplate by its copies; lines go from all rows all the same.
     """
     scratch = Scratch(rows.sparkSession, "lines")
     base = rows.withColumns({"_host": F.coalesce(host, F.lit("")), "_lines": _lines(text)})
     hashes = F.array_distinct(F.transform("_lines", lambda x: F.xxhash64(x)))
+    counted = base
+    if copies_once:
+        counted = base.groupBy("_host", F.xxhash64("_lines").alias("_page")).agg(F.first(hashes).alias("_hashes"))
+        hashes = F.col("_hashes")
+    rules = [(ratio, min_pages), *more_rules]
     # the null in front counts the page itself
-    seen = base.select("_host", F.explode(F.concat(F.array(F.lit(None).cast("long")), hashes)).alias("h"))
-    counts = seen.groupBy("_host", "h").agg(F.count("*").alias("n")).where(F.col("h").isNull() | (F.col("n") >= min_pages))
+    seen = counted.select("_host", F.explode(F.concat(F.array(F.lit(None).cast("long")), hashes)).alias("h"))
+    counts = seen.groupBy("_host", "h").agg(F.count("*").alias("n")).where(F.col("h").isNull() | (F.col("n") >= min(least for _, least in rules)))
     counts = scratch.write(counts, "counts")
     pages = scratch.write(counts.where("h IS NULL").select("_host", F.col("n").alias("pages")), "pages")
-    common = counts.where("h IS NOT NULL").join(pages, "_host").where(F.col("n") > F.col("pages") * F.lit(ratio))
+    over = [(F.col("n") >= least) & (F.col("n") > F.col("pages") * F.lit(share)) for share, least in rules]
+    common = counts.where("h IS NOT NULL").join(pages, "_host").where(reduce(Column.__or__, over))
     common = scratch.write(common.groupBy("_host").agg(F.collect_list("h").alias("_common")), "common")
     marked = base.join(common, "_host", "left")
     kept = F.when(F.col("_common").isNull(), F.col("_lines")).otherwise(F.filter("_lines", lambda x: ~F.array_contains("_common", F.xxhash64(x))))

@@ -8,6 +8,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+import corpus_pipeline
 from sieveline.llm import bpe, common, itq, knn, langid, lines, mixing, rans, simhash, substrings, toxicity
 
 DOCS = "doc_id long, text string, source string, fp int"
@@ -165,6 +166,12 @@ def test_lines(spark):
     assert got[3] == "own 3\nown 3" and got[20] == "" and got[21] == "menu" and len(got) == 12
 
 
+def test_stage_drops_repeated_lines_of_large_sources(spark):
+    rows = [(k, f"own {k}\n" + ("planted\n" if k % 40 == 0 else "") + (f"few {k // 150}\n" if k % 150 < 3 else "") + f"end {k}", "h") for k in range(600)]
+    got = {x["doc_id"]: x["text"] for x in corpus_pipeline.line_dedup(spark, docs(spark, rows), "").collect()}
+    assert got == {k: t.replace("planted\n", "") for k, t, _ in rows}
+
+
 def test_mix(spark):
     rows = [(k, "w " * (k % 7 + 1), f"s{k % 4}" if k % 4 else None) for k in range(200)] + odd_rows()
     got = mixing.mix(docs(spark, rows)).collect()
