@@ -172,6 +172,12 @@ def test_stage_drops_repeated_lines_of_large_sources(spark):
     assert got == {k: t.replace("planted\n", "") for k, t, _ in rows}
 
 
+def test_stage_counts_copies_of_a_text_once(spark):
+    rows = [(k, "copied\nalike" if k % 3 == 0 else f"own {k}\nmenu", "h") for k in range(60)] + [(k, "copied\nalike", "small") for k in range(100, 103)]
+    got = {x["doc_id"]: x["text"] for x in corpus_pipeline.line_dedup(spark, docs(spark, rows), "").collect()}
+    assert got == {k: t.replace("\nmenu", "") for k, t, _ in rows}
+
+
 def test_mix(spark):
     rows = [(k, "w " * (k % 7 + 1), f"s{k % 4}" if k % 4 else None) for k in range(200)] + odd_rows()
     got = mixing.mix(docs(spark, rows)).collect()
