@@ -60,7 +60,7 @@ def cuts(data: bytes, mask_bits: int = MASK_BITS, least: int = MIN_CHUNK, most:
 
 
 def chunk_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, pos, len, hi, lo): byte place, length and digest of each chunk of the UTF-8 text."""
+    """(id, dig, pos, len, hi, lo): byte place, length and digest of each chunk of the UTF-8 text; dig is the text's."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh3_128_digest
@@ -68,7 +68,7 @@ def chunk_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             for at in range(0, len(batch), 1000):
                 b = batch.slice(at, 1000)
                 ends, counts, hashes = [], [], []
-                for t in b.column(1).to_pylist():
+                for t in b.column(2).to_pylist():
                     data = (t or "").encode("utf-8", "surrogatepass")
                     e = cuts(data)
                     ends.append(e)
@@ -82,10 +82,11 @@ def chunk_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 end = np.concatenate(ends)
                 start = np.concatenate([np.concatenate([[0], e[:-1]]) for e in ends if len(e)])
                 d = np.frombuffer(b"".join(hashes), ">i8").astype(np.int64).reshape(-1, 2)
-                ids = b.column(0).take(pa.array(np.repeat(np.arange(len(b)), counts)))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(start.astype(np.int32)), pa.array((end - start).astype(np.int32)), pa.array(np.ascontiguousarray(d[:, 0])), pa.array(np.ascontiguousarray(d[:, 1]))], names=["id", "pos", "len", "hi", "lo"])
+                rows = pa.array(np.repeat(np.arange(len(b)), counts))
+                yield pa.RecordBatch.from_arrays([b.column(0).take(rows), b.column(1).take(rows), pa.array(start.astype(np.int32)), pa.array((end - start).astype(np.int32)), pa.array(np.ascontiguousarray(d[:, 0])), pa.array(np.ascontiguousarray(d[:, 1]))], names=["id", "dig", "pos", "len", "hi", "lo"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "id long, pos int, len int, hi long, lo long")
+    text = F.col(text_col).cast("string")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("dig"), text.alias("text")).mapInArrow(run, "id long, dig long, pos int, len int, hi long, lo long")
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_bytes: int = MIN_BYTES) -> DataFrame:
@@ -93,26 +94,26 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     ``start`` and ``n_bytes`` are byte places in the UTF-8 text; (first_id, first_start) is where the span's first
     chunk stands first, by id and place. The first copy itself is no repeat. Null and empty texts and texts
-    without a repeat give no row; rows with a null id come first in order; a row that repeats an id and its text
-    is told apart only by its text's places, so it gives no span of its own. An empty table gives no rows.
+    without a repeat give no row; rows with a null id come first in order, rows of one id by a digest of their text;
+    a row that repeats both an id and its text gives no span of its own. An empty table gives no rows.
     """
     scratch = Scratch(docs.sparkSession, "substrings")
     chunks = scratch.write(chunk_table(docs, id_col, text_col), "chunks")
-    groups = chunks.groupBy("hi", "lo").agg(F.count("*").alias("n"), F.min(F.struct("id", "pos")).alias("first"))
-    groups = scratch.write(groups.where("n > 1").select("hi", "lo", F.col("first.id").alias("first_id"), F.col("first.pos").alias("first_start")), "groups")
-    copies = chunks.join(groups, ["hi", "lo"]).where(~(F.col("id").eqNullSafe(F.col("first_id")) & (F.col("pos") == F.col("first_start"))))
-    copies = copies.select("id", "pos", "len", "first_id", "first_start").dropDuplicates(["id", "pos"])
-    by_place = Window.partitionBy("id").orderBy("pos")
+    groups = chunks.groupBy("hi", "lo").agg(F.count("*").alias("n"), F.min(F.struct("id", "dig", "pos")).alias("first"))
+    groups = scratch.write(groups.where("n > 1").select("hi", "lo", F.col("first.id").alias("first_id"), F.col("first.dig").alias("first_dig"), F.col("first.pos").alias("first_start")), "groups")
+    copies = chunks.join(groups, ["hi", "lo"]).where(~(F.col("id").eqNullSafe(F.col("first_id")) & (F.col("dig") == F.col("first_dig")) & (F.col("pos") == F.col("first_start"))))
+    copies = copies.select("id", "dig", "pos", "len", "first_id", "first_start").dropDuplicates(["id", "dig", "pos"])
+    by_place = Window.partitionBy("id", "dig").orderBy("pos")
     new = F.coalesce((F.lag(F.col("pos") + F.col("len")).over(by_place) != F.col("pos")).cast("int"), F.lit(1))
     run = copies.withColumn("new", new).withColumn("run", F.sum("new").over(by_place))
-    spans = run.groupBy("id", "run").agg(
+    spans = run.groupBy("id", "dig", "run").agg(
         F.min("pos").alias("start"),
         F.sum("len").alias("n_bytes"),
         F.count("*").alias("n_chunks"),
         F.min_by("first_id", "pos").alias("first_id"),
         F.min_by("first_start", "pos").alias("first_start"),
     )
-    return spans.where(F.col("n_bytes") >= min_bytes).drop("run")
+    return spans.where(F.col("n_bytes") >= min_bytes).drop("dig", "run")
 
 
 def op1_substring_dedup(spark, sf_dir: str) -> DataFrame:

@@ -166,6 +166,16 @@ def test_lines(spark):
     assert got[3] == "own 3\nown 3" and got[20] == "" and got[21] == "menu" and len(got) == 12
 
 
+def test_substrings_tell_rows_apart_by_text(spark):
+    r = random.Random(12)
+    prose = lambda n: " ".join("".join(r.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(n))
+    shared, other = prose(60), prose(60)
+    # at equal places, so that places alone tell nothing
+    rows = [(None, shared + prose(40), "a"), (None, shared + prose(40), "a"), (7, other + prose(40), "a"), (7, other + prose(40), "a"), (7, other + prose(40), "a")]
+    got = [(x["id"], x["first_id"], x["start"]) for x in substrings.repeated_spans(docs(spark, rows)).collect()]
+    assert sorted(got, key=str) == [(7, 7, 0), (7, 7, 0), (None, None, 0)]
+
+
 def test_stage_drops_repeated_lines_of_large_sources(spark):
     rows = [(k, f"own {k}\n" + ("planted\n" if k % 40 == 0 else "") + (f"few {k // 150}\n" if k % 150 < 3 else "") + f"end {k}", "h") for k in range(600)]
     got = {x["doc_id"]: x["text"] for x in corpus_pipeline.line_dedup(spark, docs(spark, rows), "").collect()}
