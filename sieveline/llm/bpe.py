@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_in_worker
+from .common import free_names, held_in_worker
 
 LONG = 128
 #: Entries of a worker's memories of encoded pieces and of chunks between spaces; each is emptied when full,
@@ -217,15 +217,20 @@ def vocabulary(name: str) -> str:
 
 
 def digests(rows: DataFrame, spec: str, text_col: str = "text") -> DataFrame:
-    """``rows`` without the text, with n_tokens, ids_sha256 and decoded_sha256."""
-    coded = encode_texts(rows, spec, text_col, decoded_col="decoded")
+    """``rows`` without the text, with n_tokens, ids_sha256 and decoded_sha256, which replace columns of these names.
+
+    All other columns stay, whatever their names. Null and empty texts have no ids; very long texts are encoded
+    whole; repeated rows stay, an empty table gives an empty result.
+    """
+    ids, decoded = free_names(rows, "ids", "decoded")
+    coded = encode_texts(rows, spec, text_col, ids, decoded_col=decoded)
     return coded.withColumns(
         {
-            "n_tokens": F.size("ids").cast("long"),
-            "ids_sha256": F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256),
-            "decoded_sha256": F.sha2(F.encode("decoded", "UTF-8"), 256),
+            "n_tokens": F.size(ids).cast("long"),
+            "ids_sha256": F.sha2(F.concat_ws(",", F.col(ids).cast("array<string>")), 256),
+            "decoded_sha256": F.sha2(F.encode(decoded, "UTF-8"), 256),
         }
-    ).drop("ids", "decoded")
+    ).drop(ids, decoded)
 
 
 def op2_bpe(spark, sf_dir: str) -> DataFrame:

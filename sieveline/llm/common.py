@@ -7,6 +7,7 @@ can read them there, so a lost executor costs a re-read and never a recomputatio
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -22,10 +23,16 @@ _LOCAL_ROOT: list[str] = []
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: A table of at most so many short rows may be broadcast; a larger one is joined by a shuffle.
+BROADCAST_ROWS = 100_000
+
+
 def shared_root(spark: SparkSession) -> str:
-    """The session's shared folder; a fresh local one where none is set, as in tests."""
+    """The session's shared folder; a fresh local one where none is set and the session runs in one process, as in tests."""
     if root := spark.conf.get("spark.checkpoint.dir", None):
         return root
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not _LOCAL_ROOT:
         _LOCAL_ROOT.append("file://" + tempfile.mkdtemp(prefix="sieveline-"))
     return _LOCAL_ROOT[0]
@@ -49,6 +56,22 @@ class Scratch:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """The wanted names, each with underscores added until ``df`` has no column of that name in any case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
+def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` to be broadcast if it has at most so many rows, which are counted; else as it is."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 _HELD: dict[tuple, object] = {}
 
 
@@ -66,16 +89,18 @@ def held_out(doc_id) -> F.Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
 
 
-def bounded_sample(rows: DataFrame, group: str, key: str, most: int | dict, seed: int) -> DataFrame:
+def bounded_sample(rows: DataFrame, group: str, key: str, most: int | dict, seed: int, groups: int = 1000) -> DataFrame:
     """About ``most`` rows of each group, chosen by a hash of the key: the share that a count of the group allows.
 
-    Groups are few (classes, languages): their counts come to the driver. Rows of a null group are left out.
+    Rows of a null group are left out, as are those of all but the ``groups`` largest groups (ties by the group), so
+    that a dirty column makes neither the counts on the driver nor the sample large.
     """
     rows = rows.where(F.col(group).isNotNull())
-    counts = rows.groupBy(group).agg(F.count("*").alias("n")).collect()
+    counts = rows.groupBy(group).agg(F.count("*").alias("n")).orderBy(F.desc("n"), group).limit(groups).collect()
     if not counts:
         return rows
     share = F.element_at(F.create_map(*[F.lit(x) for r in counts for x in (r[group], min(1.0, (most[r[group]] if isinstance(most, dict) else most) / r["n"]))]), F.col(group))
+    rows = rows.where(F.col(group).isin([r[group] for r in counts]))
     return rows.where((F.xxhash64(F.col(key), F.lit(seed)).cast("double") / 2.0**64) + 0.5 < share)
 
 

@@ -18,6 +18,7 @@ from .common import bounded_sample, held_out
 
 PROFILE = 400
 SAMPLE = 3000
+LANGUAGES = 1000
 
 _LETTER: list[np.ndarray] = []
 
@@ -55,8 +56,11 @@ def ranked(codes: np.ndarray, counts: np.ndarray, most: int) -> np.ndarray:
     return codes[np.lexsort((codes, -counts))][:most]
 
 
-def learn_profiles(rows: DataFrame, id_col: str, text_col: str, lang_col: str, length: int = PROFILE, sample: int = SAMPLE) -> dict[str, np.ndarray]:
-    """Profile of each language in ``rows``, from about ``sample`` of its documents, whole. Null languages teach nothing."""
+def learn_profiles(rows: DataFrame, id_col: str, text_col: str, lang_col: str, length: int = PROFILE, sample: int = SAMPLE, most: int = LANGUAGES) -> dict[str, np.ndarray]:
+    """Profile of each language in ``rows``, from about ``sample`` of its documents, whole. Null languages teach nothing.
+
+    Only the ``most`` most frequent values of the language column are learned, so that a dirty column stays bounded.
+    """
     rows = rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).where("lang IS NOT NULL")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -70,7 +74,7 @@ def learn_profiles(rows: DataFrame, id_col: str, text_col: str, lang_col: str, l
                 n = np.bincount(at, np.concatenate([y for _, y in parts]), len(codes)).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(codes), pa.string()), pa.array(codes), pa.array(n)], names=["lang", "code", "n"])
 
-    chosen = bounded_sample(rows, "lang", "id", sample, 5).select("lang", "text")
+    chosen = bounded_sample(rows, "lang", "id", sample, 5, most).select("lang", "text")
     total = chosen.mapInArrow(run, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
     first = Window.partitionBy("lang").orderBy(F.desc("n"), "code")
     top = total.withColumn("r", F.row_number().over(first)).where(F.col("r") <= length).orderBy("lang", "r").collect()
@@ -105,8 +109,9 @@ class Profiles:
 def identify(docs: DataFrame, profiles: dict[str, np.ndarray], id_col: str = "doc_id", text_col: str = "text", length: int = PROFILE) -> DataFrame:
     """(id, lang_pred, score) of each row; score is 1 less the mean cost of an n-gram by the highest possible.
 
-    Null texts and texts without a letter are ``und`` with score 0, as is everything when no language is known.
-    Equal distances go to the language first by name. Repeated rows stay, an empty table gives an empty result.
+    Very long texts count whole. Null texts and texts without a letter are ``und`` with score 0, as is everything when no language is known.
+    Equal distances go to the language first by name. Repeated rows stay, an empty table gives an empty result;
+    other columns are not looked at.
     """
     known = docs.sparkSession.sparkContext.broadcast(Profiles(profiles, length))
 

@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, free_names
 
 RATIO = 0.2
 MIN_PAGES = 3
@@ -42,9 +42,10 @@ def _lines(text: Column) -> Column:
     return F.filter(trimmed, lambda x: x != "")
 
 
-def drop_boilerplate(rows: DataFrame, host: Column, text: Column, ratio: float = RATIO, min_pages: int = MIN_PAGES, out: str = "text", more_rules: tuple = (), copies_once: bool = False) -> DataFrame:
-    """``rows`` with columns _host, n_lines, n_dropped and the kept lines as ``out``.
+def drop_boilerplate(rows: DataFrame, host: Column, text: Column, ratio: float = RATIO, min_pages: int = MIN_PAGES, out: str = "text", more_rules: tuple = (), copies_once: bool = False, added: tuple[str, str, str] = ("host", "n_lines", "n_dropped")) -> DataFrame:
+    """``rows`` with the kept lines as ``out`` and the columns ``added``: host, number of lines, number of dropped lines.
 
+    Columns of ``rows`` with these four names are replaced; all others stay as they are, whatever their names.
     Lines are trimmed and blank ones are no lines. A line goes from all pages of a host when more than
     ``ratio`` of the host's pages have it and at least ``min_pages`` do. Null hosts are one host (''), null texts
     have no lines; a page left without lines stays with the text ''. Repeated rows are pages of their own, the
@@ -53,32 +54,35 @@ def drop_boilerplate(rows: DataFrame, host: Column, text: Column, ratio: float =
     text does not become boilerplate by its copies; lines go from all rows all the same.
     """
     scratch = Scratch(rows.sparkSession, "lines")
-    base = rows.withColumns({"_host": F.coalesce(host, F.lit("")), "_lines": _lines(text)})
-    hashes = F.array_distinct(F.transform("_lines", lambda x: F.xxhash64(x)))
-    counted = base
+    at, lines, hashes, common, kept = free_names(rows, "_host", "_lines", "_hashes", "_common", "_kept")
+    base = rows.withColumns({at: F.coalesce(host, F.lit("")), lines: _lines(text)})
+    line_hashes = F.transform(lines, lambda x: F.xxhash64(x))
     if copies_once:
-        counted = base.groupBy("_host", F.xxhash64("_lines").alias("_page")).agg(F.first(hashes).alias("_hashes"))
-        hashes = F.col("_hashes")
+        counted = base.groupBy(F.col(at).alias("host"), F.xxhash64(lines).alias("page")).agg(F.first(F.array_distinct(line_hashes)).alias("own"))
+    else:
+        counted = base.select(F.col(at).alias("host"), F.array_distinct(line_hashes).alias("own"))
     rules = [(ratio, min_pages), *more_rules]
     # the null in front counts the page itself
-    seen = counted.select("_host", F.explode(F.concat(F.array(F.lit(None).cast("long")), hashes)).alias("h"))
-    counts = seen.groupBy("_host", "h").agg(F.count("*").alias("n")).where(F.col("h").isNull() | (F.col("n") >= min(least for _, least in rules)))
+    seen = counted.select("host", F.explode(F.concat(F.array(F.lit(None).cast("long")), "own")).alias("h"))
+    counts = seen.groupBy("host", "h").agg(F.count("*").alias("n")).where(F.col("h").isNull() | (F.col("n") >= min(least for _, least in rules)))
     counts = scratch.write(counts, "counts")
-    pages = scratch.write(counts.where("h IS NULL").select("_host", F.col("n").alias("pages")), "pages")
+    pages = scratch.write(counts.where("h IS NULL").select("host", F.col("n").alias("pages")), "pages")
     over = [(F.col("n") >= least) & (F.col("n") > F.col("pages") * F.lit(share)) for share, least in rules]
-    common = counts.where("h IS NOT NULL").join(pages, "_host").where(reduce(Column.__or__, over))
-    common = scratch.write(common.groupBy("_host").agg(F.collect_list("h").alias("_common")), "common")
-    marked = base.join(common, "_host", "left")
-    kept = F.when(F.col("_common").isNull(), F.col("_lines")).otherwise(F.filter("_lines", lambda x: ~F.array_contains("_common", F.xxhash64(x))))
-    marked = marked.withColumn("_kept", kept)
-    result = {"n_lines": F.size("_lines").cast("long"), "n_dropped": (F.size("_lines") - F.size("_kept")).cast("long"), out: F.array_join("_kept", "\n")}
-    return marked.withColumns(result).drop("_lines", "_common", "_kept")
+    found = counts.where("h IS NOT NULL").join(pages, "host").where(reduce(Column.__or__, over))
+    found = scratch.write(found.groupBy(F.col("host").alias(at)).agg(F.collect_list("h").alias(common)), "common")
+    marked = base.join(found, at, "left").withColumn(hashes, line_hashes)
+    # the intersection is by hash table and leaves only the page's own few common lines to look through
+    marked = marked.withColumn(common, F.array_intersect(hashes, F.coalesce(common, F.array().cast("array<bigint>"))))
+    gone = lambda x: F.array_contains(common, F.xxhash64(x))
+    marked = marked.withColumn(kept, F.when(F.size(common) == 0, F.col(lines)).otherwise(F.filter(lines, lambda x: ~gone(x))))
+    result = dict(zip(added, (F.col(at), F.size(lines).cast("long"), (F.size(lines) - F.size(kept)).cast("long")))) | {out: F.array_join(kept, "\n")}
+    return marked.withColumns(result).drop(at, lines, hashes, common, kept)
 
 
 def op5_line_dedup(spark, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
     found = drop_boilerplate(pages, host_of(F.col("url")), visible_lines(F.col("html")))
-    return found.select("page_id", F.col("_host").alias("host"), "n_lines", "n_dropped", "text")
+    return found.select("page_id", "host", "n_lines", "n_dropped", "text")
 
 
 OP5_SQL = f"""

@@ -19,11 +19,12 @@ def vector_keys(rows: DataFrame, vec_col: str, others: list[str]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys = []
-            for v in b.column(len(others)).to_pylist():
-                ok = bool(v) and None not in v
-                x = np.array(v, np.float64) + 0.0 if ok else None
-                keys.append(x.tobytes() if ok and np.isfinite(x).all() and x.any() else None)
+            lists = b.column(len(others))
+            ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False) + 0.0  # null is NaN
+            of = lambda what: np.diff(np.concatenate([[0], np.cumsum(what)])[ends])
+            usable = lists.is_valid().to_numpy(zero_copy_only=False) & (of(~np.isfinite(flat)) == 0) & (of(flat != 0) > 0)
+            raw = flat.tobytes()
+            keys = [raw[8 * s : 8 * e] if ok else None for s, e, ok in zip(ends[:-1].tolist(), ends[1:].tolist(), usable.tolist())]
             yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(len(others))), pa.array(keys, pa.binary())], names=[*others, "key"])
 
     base = rows.select(*others, F.col(vec_col).cast("array<double>").alias("_vec"))
