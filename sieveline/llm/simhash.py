@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, by_whole_groups, connected_components, forest, in_blocks, pairs_in_groups
+from .common import Scratch, by_whole_groups, connected_components, forest, free_names, in_blocks, pairs_in_groups
 
 SEED = 42
 #: The stage of the pipeline: words a shingle, least Jaccard similarity, most differing bits of 128 (19 on average at 0.8).
@@ -149,10 +149,11 @@ def shingle_set(text: str | None, words: int = STAGE_WORDS) -> tuple[np.ndarray,
 def banding(total: int, seed: int = 11) -> np.ndarray:
     """Masks (tables, 2) over 128 bits: more bits a table with the rows, and as many tables as keep the chance of a meeting.
 
-    A pair of similarity 0.8 agrees on a bit with probability 0.848; were the tables independent, the chance that none
-    of them has it would be 0.05 at every size. They share 128 bits, so with many tables somewhat more is missed.
+    A bucket of unlike texts holds about 128. A pair of similarity 0.8 agrees on a bit with probability 0.848; were the
+    tables independent, the chance that none of them has it would be 0.05 at every size. They share 128 bits, so with
+    many tables somewhat more is missed.
     """
-    bits = max(8, math.ceil(math.log2(max(1, total) / 16)))
+    bits = max(6, math.ceil(math.log2(max(1, total) / 128)))
     cosine = 2 * SIMILARITY / (1 + SIMILARITY)
     meet = (1 - math.acos(cosine) / math.pi) ** bits
     r, masks = np.random.default_rng(seed), []
@@ -162,66 +163,64 @@ def banding(total: int, seed: int = 11) -> np.ndarray:
     return np.array(masks, np.uint64)
 
 
-def similar_pairs(t: pa.Table, g: np.ndarray, masks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Index pairs (a, b) of rows of one group whose fingerprints and sizes allow the similarity, in the first table they share, with their bits."""
-    f0, f1 = (t[c].to_numpy().view(np.uint64) for c in ("f0", "f1"))
-    own, i, j, table, n = (t[c].to_numpy() for c in ("own", "i", "j", "t", "n"))
-    found = [(np.empty(0, np.int64),) * 3]
-    for a, b in pairs_in_groups(g, own, i, j):
-        d = np.bitwise_count(f0[a] ^ f0[b]).astype(np.int64) + np.bitwise_count(f1[a] ^ f1[b])
-        near = (d <= STAGE_RADIUS) & (np.minimum(n[a], n[b]) >= SIMILARITY * np.maximum(n[a], n[b]))
-        a, b, d = a[near], b[near], d[near]
-        if len(a):
-            x0, x1 = (f0[a] ^ f0[b])[:, None], (f1[a] ^ f1[b])[:, None]
-            agree = (x0 & masks[:, 0] == 0) & (x1 & masks[:, 1] == 0)
-            first = np.argmax(agree, axis=1) == table[a]
-            found.append((a[first], b[first], d[first]))
-    return tuple(np.concatenate(x) for x in zip(*found))
-
-
-def similarity_links(nodes: DataFrame, docs: DataFrame, scratch: Scratch, block: int = 1024) -> DataFrame:
-    """Links (a, b) over classes that join what pairs of shingle similarity >= 0.8, met in a table, join.
-
-    ``nodes``: (cls, f0, f1, n, least: the class's first row). ``docs``: (id, dig, text). Members of a bucket that
-    have a candidate there are met a second time with their shingles, where candidates are confirmed exactly; pairs
-    that confirmed ones have joined already need no look.
-    """
+def _alike(f0, f1, n, a, b) -> tuple[np.ndarray, np.ndarray]:
+    """(whether fingerprints and sizes of the rows a and b allow the similarity, differing bits)."""
+    d = np.bitwise_count(f0[a] ^ f0[b]) + np.bitwise_count(f1[a] ^ f1[b])
+    return (d <= STAGE_RADIUS) & (np.minimum(n[a], n[b]) >= SIMILARITY * np.maximum(n[a], n[b])), d
+
+
+def candidate_links(nodes: DataFrame, scratch: Scratch, block: int = 1024) -> DataFrame:
+    """Links (a, b) over classes (cls, f0, f1, n) that join what pairs in reach, met in a table, join; no shingles are needed."""
     masks = banding(nodes.count())
     keys = F.array(*[F.struct(F.lit(k).alias("t"), F.col("f0").bitwiseAND(F.lit(_signed(int(x)))).alias("x"), F.col("f1").bitwiseAND(F.lit(_signed(int(y)))).alias("y")) for k, (x, y) in enumerate(masks)])
     rows = nodes.select("cls", "f0", "f1", "n", F.explode(keys).alias("k"))
-    rows = rows.select(F.xxhash64("k.t", "k.x", "k.y").alias("bucket"), "k.t", F.col("cls").alias("id"), "f0", "f1", "n")
-    cols = ["bucket", "i", "j", "own", "t", "id", "f0", "f1", "n"]
-    kinds = "bucket long, i int, j int, own int, t int, id long, f0 long, f1 long, n int"
-
-    def candidates(t: pa.Table, g: np.ndarray) -> pa.Table | None:
-        a, b, _ = similar_pairs(t, g, masks)
-        return t.take(pa.array(np.unique(np.concatenate([a, b])))) if len(a) else None
+    rows = rows.select(F.xxhash64("k.t", "k.x", "k.y").alias("bucket"), F.col("cls").alias("id"), "f0", "f1", "n")
 
-    dealt = in_blocks(rows, scratch, "bands", block).select(*cols)
-    near = scratch.write(dealt.mapInArrow(lambda it: by_whole_groups(it, ["bucket", "i", "j"], candidates), kinds), "near")
-    wanted = nodes.join(near.select(F.col("id").alias("cls")).distinct(), "cls").select("cls", F.col("least.id").alias("wid"), F.col("least.dig").alias("wdig"))
-    wanted = scratch.write(wanted, "wanted").hint("merge")
-    texts = docs.join(wanted, docs["id"].eqNullSafe(wanted["wid"]) & docs["dig"].eqNullSafe(wanted["wdig"])).select("cls", "text").dropDuplicates(["cls"])
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, len(batch), 1000):
-                b = batch.slice(at, 1000)
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingle_set(x)[0].tobytes() for x in b.column(1).to_pylist()], pa.binary())], names=["id", "shingles"])
+    def work(t: pa.Table, g: np.ndarray) -> pa.Table | None:
+        f0, f1 = (t[c].to_numpy().view(np.uint64) for c in ("f0", "f1"))
+        own, i, j, n, ids = (t[c].to_numpy() for c in ("own", "i", "j", "n", "id"))
+        found = []
+        for a, b in pairs_in_groups(g, own, i, j):
+            ok, _ = _alike(f0, f1, n, a, b)
+            if ok.any():
+                found.append((a[ok], b[ok]))
+        if not found:
+            return None
+        label = forest(len(t), np.concatenate([a for a, _ in found]), np.concatenate([b for _, b in found]))
+        at = np.flatnonzero(label != np.arange(len(t)))
+        return pa.table({"a": ids[at], "b": ids[label[at]]})
 
-    shingles = scratch.write(texts.mapInArrow(sets, "id long, shingles binary"), "shingles")
+    dealt = in_blocks(rows, scratch, "bands", block).select("bucket", "i", "j", "own", "id", "f0", "f1", "n")
+    return dealt.mapInArrow(lambda it: by_whole_groups(it, ["bucket", "i", "j"], work), "a long, b long")
 
-    def confirm(t: pa.Table, g: np.ndarray) -> pa.Table | None:
-        a, b, d = similar_pairs(t, g, masks)
-        ids, held, up = t["id"].to_numpy(), t["shingles"], np.arange(len(t)).tolist()
 
-        def root(x: int) -> int:
-            while up[x] != x:
-                up[x] = x = up[up[x]]
-            return x
+def _confirmed(t: pa.Table, g: np.ndarray) -> pa.Table | None:
+    """Links of a forest that joins what pairs of similarity >= SIMILARITY join, within each group.
 
-        out = []
-        for k in np.argsort(d, kind="stable").tolist():
+    With a column ``side`` only rows of different sides are compared, and rows of one ``root`` are joined already.
+    """
+    f0, f1 = (t[c].to_numpy().view(np.uint64) for c in ("f0", "f1"))
+    n, ids, held, up = t["n"].to_numpy(), t["id"].to_numpy(), t["shingles"], np.arange(len(t)).tolist()
+    side, known = (t[c].to_numpy() if c in t.column_names else None for c in ("side", "root"))
+
+    def root(x: int) -> int:
+        while up[x] != x:
+            up[x] = x = up[up[x]]
+        return x
+
+    out = []
+    edges = np.append(np.flatnonzero(np.diff(g, prepend=-1)), len(g)).tolist()
+    for s, e in zip(edges[:-1], edges[1:]):
+        if known is not None:
+            first: dict[int, int] = {}
+            for k, r in enumerate(known[s:e].tolist(), s):
+                up[k] = first.setdefault(r, k)
+        a, b = (x + s for x in np.triu_indices(e - s, 1))
+        if side is not None:
+            a, b = a[side[a] != side[b]], b[side[a] != side[b]]
+        ok, d = _alike(f0, f1, n, a, b)
+        a, b = a[ok], b[ok]
+        for k in np.argsort(d[ok], kind="stable").tolist():
             x, y = root(int(a[k])), root(int(b[k]))
             if x == y:
                 continue
@@ -230,10 +229,51 @@ def similarity_links(nodes: DataFrame, docs: DataFrame, scratch: Scratch, block:
             if both >= SIMILARITY * (len(one) + len(two) - both):
                 up[max(x, y)] = min(x, y)
                 out.append((ids[a[k]], ids[b[k]]))
-        return pa.table({"a": np.array([x for x, _ in out], np.int64), "b": np.array([y for _, y in out], np.int64)}) if out else None
+    return pa.table({"a": np.array([x for x, _ in out], np.int64), "b": np.array([y for _, y in out], np.int64)}) if out else None
 
-    met = near.join(shingles, "id").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").select(*cols, "shingles")
-    return met.mapInArrow(lambda it: by_whole_groups(it, ["bucket", "i", "j"], confirm, 2000), "a long, b long")
+
+def confirmed_links(members: DataFrame, scratch: Scratch, block: int = 512) -> DataFrame:
+    """Links over ``members`` (id, bucket: candidate component, f0, f1, n, shingles), each confirmed by the shingles.
+
+    A component of at most ``block`` classes is one group. A larger one is dealt into blocks; then one class of each
+    component found so far is compared with those of the other blocks; and what is still outside the largest of them
+    is compared with all of the component. So no pair in reach is lost, and a large group of near copies costs one
+    comparison or so a class after the blocks, not all its pairs.
+    """
+    cols = ["f0", "f1", "n", "shingles"]
+
+    def linked(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
+        dealt = rows.repartition(*keys).sortWithinPartitions(*keys)
+        return scratch.write(dealt.mapInArrow(lambda it: by_whole_groups(it, keys, _confirmed, 1000), "a long, b long"), name)
+
+    sizes = scratch.write(members.groupBy("bucket").agg(F.ceil(F.count("*") / block).cast("int").alias("nb")), "component_sizes")
+    placed = members.join(sizes, "bucket").withColumn("part", F.pmod(F.xxhash64("id", F.lit(23)), F.col("nb")).cast("int"))
+    links = linked(placed.select("bucket", "part", "id", *cols), ["bucket", "part"], "links1")
+    if not sizes.where("nb > 1").limit(1).count():
+        return links
+    large = scratch.write(members.join(sizes.where("nb > 1"), "bucket"), "large")
+
+    def rooted(upto: DataFrame, name: str) -> DataFrame:
+        roots = connected_components(upto, Scratch(scratch.spark, "roots")).withColumnRenamed("node", "id")
+        return scratch.write(large.select("bucket", "id").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")), name)
+
+    heads = rooted(links, "rooted1").where("id = root").select("id")
+    dealt = in_blocks(large.join(heads, "id").drop("nb"), scratch, "heads", block).select("bucket", "i", "j", "id", *cols)
+    links = links.unionByName(linked(dealt, ["bucket", "i", "j"], "links2"))
+    roots = rooted(links, "rooted2")
+    most = roots.groupBy("bucket", "root").count().groupBy("bucket").agg(F.max_by("root", F.struct("count", "root")).alias("most"))
+    outside = roots.join(most, "bucket").where("root <> most").select("bucket", "id", "root")
+    left = scratch.write(outside.groupBy("bucket").agg(F.ceil(F.count("*") / block).cast("int").alias("ns")), "outside_sizes")
+    if not left.limit(1).count():
+        return links
+    both = large.join(left, "bucket").join(roots.drop("bucket"), "id")
+    own = lambda n: F.pmod(F.xxhash64("id", F.lit(29)), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    cells = ["bucket", "i", "j"]
+    ours = both.join(outside.select("id"), "id", "left_semi").withColumn("side", F.lit(0)).withColumn("i", own("ns")).withColumn("j", every("nb"))
+    all_of = both.withColumn("side", F.lit(1)).withColumn("j", own("nb")).withColumn("i", every("ns"))
+    rows = ours.unionByName(all_of).select(*cells, "side", "root", "id", *cols)
+    return links.unionByName(linked(rows, cells, "links3"))
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -241,11 +281,15 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     Texts link when their sets of five-word shingles have a Jaccard similarity of 0.8 or more; candidates come from
     tables on bits of a SimHash, so a few pairs near the threshold are not met (see the README). Rows are told
-    apart by id and text, so null and repeated ids hide no other text. Texts without words are one group.
+    apart by id and text, so null and repeated ids hide no other text; of rows that repeat both, one stays. Texts
+    without words, null ones too, are one group. Columns stay as they are, whatever their names; very long texts count
+    whole; an empty table gives an empty result. Ids are whole numbers.
     """
     scratch = Scratch(docs.sparkSession, "simhash-kept")
-    text = F.col(text_col).cast("string")
-    keyed = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("dig"), text.alias("text"))
+    text, id_long = F.col(text_col).cast("string"), F.col(id_col).cast("long")
+    # a key of id and text without nulls, so that joins and aggregates on it share one partitioning
+    key = {"own": F.coalesce(id_long, F.lit(0)), "dig": F.xxhash64(id_long.isNull(), text)}
+    keyed = docs.select(id_long.alias("id"), key["dig"].alias("dig"), text.alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -259,20 +303,23 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     row = F.struct(F.col("id").isNull().alias("none"), "id", "dig")
     nodes = marked.groupBy("cls").agg(F.first("f0").alias("f0"), F.first("f1").alias("f1"), F.first("n").alias("n"), F.min(row).alias("least"))
     nodes = scratch.write(nodes, "nodes")
-    links = scratch.write(similarity_links(nodes, keyed, scratch).distinct(), "links")
+    near = scratch.write(candidate_links(nodes, scratch).distinct(), "near")
+    near = connected_components(near, Scratch(docs.sparkSession, "near")).select(F.col("node").alias("cls"), F.col("root").alias("bucket"))
+    wanted = scratch.write(nodes.join(near, "cls"), "wanted")
+    asked = wanted.select("cls", F.coalesce("least.id", F.lit(0)).alias("own"), F.col("least.dig").alias("dig")).hint("merge")
+    texts = keyed.withColumn("own", F.coalesce("id", F.lit(0))).join(asked, ["own", "dig"]).select("cls", "text").dropDuplicates(["cls"])
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (batch.slice(at, 1000) for batch in batches for at in range(0, len(batch), 1000)):
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingle_set(x)[0].tobytes() for x in b.column(1).to_pylist()], pa.binary())], names=["cls", "shingles"])
+
+    members = wanted.join(texts.mapInArrow(sets, "cls long, shingles binary"), "cls").select(F.col("cls").alias("id"), "bucket", "f0", "f1", "n", "shingles")
+    links = confirmed_links(scratch.write(members, "members"), scratch)
     roots = connected_components(links, scratch).withColumnRenamed("node", "cls")
     known = nodes.select("cls", "least").join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    stay = known.groupBy("root").agg(F.min("least").alias("least")).select("least.id", "least.dig")
-    counts = marked.groupBy("id", "dig").agg(F.count("*").alias("_rows"))
-    stay = stay.join(counts, stay["id"].eqNullSafe(counts["id"]) & (stay["dig"] == counts["dig"])).select(stay["id"].alias("_id"), stay["dig"].alias("_stay"), "_rows")
-    stay = scratch.write(stay, "stay")
-    rows = docs.withColumns({"_dig": F.xxhash64(text), "_own": F.col(id_col).cast("long")})
-
-    def taken(keys: DataFrame) -> DataFrame:
-        keys = keys.hint("merge")
-        return rows.join(keys, rows["_own"].eqNullSafe(keys["_id"]) & (rows["_dig"] == keys["_stay"]), "left_semi")
-
-    kept = taken(stay.where("_rows = 1"))
-    if stay.where("_rows > 1").limit(1).count():
-        kept = kept.unionByName(taken(stay.where("_rows > 1")).dropDuplicates(["_own", "_dig"]))
-    return kept.select(*docs.columns)
+    stay = known.groupBy("root").agg(F.min("least").alias("least"))
+    own, dig = free_names(docs, "_own", "_dig")
+    stay = scratch.write(stay.select(F.coalesce("least.id", F.lit(0)).alias(own), F.col("least.dig").alias(dig)), "stay")
+    # one shuffle of the texts, after a partial aggregation: repeated rows meet on the key that the join needs, too
+    rows = docs.withColumns({own: key["own"], dig: key["dig"]}).dropDuplicates([own, dig])
+    return rows.join(stay.hint("merge"), [own, dig]).select(*[F.col(f"`{c}`") for c in docs.columns])
