@@ -16,15 +16,20 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import bounded_sample, held_in_worker, held_out
+from .common import bounded_sample, free_names, held_in_worker, held_out
 
 WINDOW, STRIDE = 24, 16
 WORDS, GRAMS = 20_000, 1 << 12
 WIDTH, HIDDEN = 8, 8
 SAMPLE = {1: 1200, 0: 4000}
 THRESHOLD = 0.3
-EARLY, LATE, LEAST_STEPS = 4, 5, 150
+#: The sample's texts are of at most so many characters; longer ones are scored whole but do not train.
+SAMPLE_CHARS = 40_000
+#: Training: passes over WINDOWS random windows of each sampled text, then passes over its worst one (clean texts: three)
+#: of all its windows; the least number of steps before; the share of words hidden.
+EARLY, LATE, WINDOWS, LEAST_STEPS, HIDE = 4, 5, 6, 150, 0.3
 MEMORY = 150_000
 _WORD = re.compile(r"\w+")
 
@@ -41,6 +46,18 @@ def vocabulary(split: list[list[str]]) -> dict[str, int]:
     return {w: k + 1 for k, w in enumerate(known)}
 
 
+def contrast(split: list[list[str]], toxic: np.ndarray, vocab: dict[str, int]) -> np.ndarray:
+    """By word number, how far the share of toxic texts with the word exceeds that of the others: its excess over two
+    standard errors. The network starts from it, so that a few labelled texts point it to the words that matter."""
+    n = np.zeros((2, len(vocab) + 1))
+    for own, y in zip(split, toxic):
+        n[y, [vocab[w] for w in set(own) if w in vocab]] += 1
+    all_of = np.maximum(1, np.bincount(toxic, minlength=2))
+    p = (n.sum(axis=0) + 1) / (all_of.sum() + 2)
+    z = (n[1] / all_of[1] - n[0] / all_of[0]) / np.sqrt(p * (1 - p) * (1 / all_of).sum())
+    return (np.sign(z) * np.maximum(0, np.abs(z) - 2)).astype(np.float32)
+
+
 def features(words: list[str], vocab: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(number of each word, 0 if unknown; buckets of all their byte trigrams; end of each word's trigrams)."""
     coded = [f"<{w}>".encode("utf-8", "replace") for w in words]
@@ -186,10 +203,14 @@ def document_logits(words: Words, texts: list[str | None]) -> np.ndarray:
     return out
 
 
-def _gradients(p, ids: np.ndarray, live: np.ndarray, x: np.ndarray, y: np.ndarray, weight: np.ndarray):
-    """Gradients of the weighted logistic loss; ids index the rows of word vectors x. Returns (gradients, of x)."""
+def _gradients(p, ids: np.ndarray, live: np.ndarray, x: np.ndarray, hidden: np.ndarray, y: np.ndarray, weight: np.ndarray):
+    """Gradients of the weighted logistic loss; ids index the rows of word vectors x. Returns (gradients, of x).
+
+    Rows marked ``hidden`` stand for no word: their gate inputs are zero here as in ``Words``, and they teach nothing.
+    """
     k = HIDDEN
     xf, xb = x @ p["Wf"] + p["cf"], x @ p["Wb"] + p["cb"]
+    xf[hidden] = xb[hidden] = 0
     logits, (states, att, pooled, tape) = _run(p, xf[ids], xb[ids], live, keep=True)
     dl = ((_sigmoid(logits) - y) * weight / len(y)).astype(np.float32)
     g = {n: np.zeros_like(v) for n, v in p.items() if n not in ("word", "gram")}
@@ -214,7 +235,7 @@ def _gradients(p, ids: np.ndarray, live: np.ndarray, x: np.ndarray, y: np.ndarra
         np.add.at(dx[d], ids[t], np.concatenate([dz, dr, dc], axis=1))
     dvec = np.zeros_like(x)
     for d in "fb":
-        dx[d][0] = 0
+        dx[d][hidden] = 0
         g[f"W{d}"], g[f"c{d}"] = x.T @ dx[d], dx[d].sum(axis=0)
         dvec += dx[d] @ p[f"W{d}"].T
     return g, dvec
@@ -258,6 +279,8 @@ def train(texts: list[str | None], toxic: np.ndarray, seed: int = 1) -> tuple[di
         gram_start[0], gram_of = 0, np.concatenate([[0], gram_of])
     doc, first, end = window_rows([len(s) for s in split])
     back = (np.arange(len(texts)) % 5 == 4) & (len(texts) >= 50)
+    p["word"][:, 0] += 0.5 * contrast([x for x, b in zip(split, back) if not b], toxic[~back], vocab)
+    p["word"][0] = 0
     span = np.arange(WINDOW)[:, None]
     learn_on = ~back[doc]
     n1, n0 = max(1, (toxic[~back] == 1).sum()), max(1, (toxic[~back] == 0).sum())
@@ -272,16 +295,14 @@ def train(texts: list[str | None], toxic: np.ndarray, seed: int = 1) -> tuple[di
             real = at < end[c]
             live = real.copy()
             live[0] = True
-            # a tenth of the words is hidden, so that no single rare word decides
-            rows, ids = np.unique(np.where(real & (r.random(real.shape) > 0.1), longer[at], 0), return_inverse=True)
+            # three tenths of the words are hidden, so that no single rare word decides
+            rows, ids = np.unique(np.where(real & (r.random(real.shape) > HIDE), longer[at], 0), return_inverse=True)
             ids = ids.reshape(live.shape)
             lengths = gram_end[rows] - gram_start[rows]
             grams = gram_of[np.repeat(gram_start[rows] - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())]
             x = _inputs(p, word_of[rows], grams, np.cumsum(lengths))
-            x[rows == 0] = 0
             y = toxic[doc[c]]
-            g, dx = _gradients(p, ids, live, x, y.astype(np.float32), share[y])
-            dx[rows == 0] = 0
+            g, dx = _gradients(p, ids, live, x, rows == 0, y.astype(np.float32), share[y])
             g["word"], g["gram"] = 2e-6 * p["word"], 2e-6 * p["gram"]
             np.add.at(g["word"], word_of[rows], dx[:, :WIDTH])
             g["word"][0] = 0
@@ -290,15 +311,14 @@ def train(texts: list[str | None], toxic: np.ndarray, seed: int = 1) -> tuple[di
 
     def all_logits() -> np.ndarray:
         x = _inputs(p, word_of, gram_of[: gram_end[-1]], gram_end)
-        x[0] = 0
         f, b = x @ p["Wf"] + p["cf"], x @ p["Wb"] + p["cb"]
         f[0] = b[0] = 0
         return run_windows(p, f, b, flat, first, end)
 
     nth = np.arange(len(doc)) - np.searchsorted(doc, doc)
-    passes = -(-LEAST_STEPS * 256 // int((learn_on & (nth < 6)).sum()))  # few texts are gone over more often
+    passes = -(-LEAST_STEPS * 256 // int((learn_on & (nth < WINDOWS)).sum()))  # few texts are gone over more often
     for _ in range(max(EARLY, passes)):
-        mixed = np.argsort(r.random(len(doc)) + doc, kind="stable")[nth < 6]
+        mixed = np.argsort(r.random(len(doc)) + doc, kind="stable")[nth < WINDOWS]
         epoch(mixed[learn_on[mixed]])
     adam.rate = 0.004
     for _ in range(LATE):
@@ -325,23 +345,32 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return a, b
 
 
-def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: dict[int, int] = SAMPLE) -> tuple[dict[str, np.ndarray], dict[str, int]]:
-    """Train on about ``sample`` labelled documents of each class (toxic 1 and 0), whole texts; held-out ids teach nothing."""
+def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: dict[int, int] = SAMPLE, chars: int = SAMPLE_CHARS) -> tuple[dict[str, np.ndarray], dict[str, int]]:
+    """Train on about ``sample`` labelled documents of each class (toxic 1 and 0), whole texts; held-out ids teach nothing.
+
+    Only texts of at most ``chars`` characters are in the sample, and of rows that repeat an id the least text, so that
+    what comes to the driver is bounded. An id with both labels counts as toxic.
+    """
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = bounded_sample(known, "toxic", "doc_id", sample, 3)
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
-    got = sorted(((r["doc_id"], r["text"] or "", int(r["toxic"])) for r in rows.collect()), key=lambda r: r[:2])
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text")).where(F.length("text") <= chars).join(F.broadcast(chosen), "doc_id")
+    got = sorted((r["doc_id"], r["text"], int(r["toxic"])) for r in rows.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).collect())
     return train([t for _, t, _ in got], np.array([y for *_, y in got], np.int64))
 
 
 def score(docs: DataFrame, model: tuple[dict[str, np.ndarray], dict[str, int]], id_col: str | None = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """Columns of ``docs`` but the text, with score (0 to 1) and predicted (1 if score >= threshold).
+    """id_col (without one: all columns of ``docs``), score (0 to 1) and predicted (1 if score >= threshold).
 
-    Null and empty texts score as a window without words. Repeated rows stay; an empty table gives an empty
-    result; columns of ``docs`` named score or predicted are replaced.
+    Null and empty texts score as a window without words, very long ones by all their windows. Repeated rows stay; an
+    empty table gives an empty result. Without an ``id_col``, columns of ``docs`` named score or predicted are replaced.
     """
-    others = [c for c in docs.columns if c not in (text_col, "score", "predicted")] if id_col is None else [id_col]
+    others = [c for c in docs.columns if c not in ("score", "predicted")] if id_col is None else [id_col]
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    base = docs.select(*[F.col(f"`{c}`") for c in others], F.col(text_col).cast("string").alias(free_names(docs, "_text")[0]))
+    plain = T.StringType() == docs.schema[text_col].dataType and text_col in others  # the text goes once, then
+    at = others.index(text_col) if plain else len(others)
+    base = base.select(*base.columns[: len(others) + (not plain)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p, vocab = shared.value
@@ -349,13 +378,11 @@ def score(docs: DataFrame, model: tuple[dict[str, np.ndarray], dict[str, int]],
         words = held_in_worker("toxicity", key, lambda: Words(p, vocab))
         a, b = p["scale"].astype(np.float64)
         for batch in (b.slice(k, 1000) for b in batches for k in range(0, len(b), 1000)):
-            logits = document_logits(words, batch.column(len(others)).to_pylist()).astype(np.float64)
+            logits = document_logits(words, batch.column(at).to_pylist()).astype(np.float64)
             got = 1 / (1 + np.exp(-np.clip(a * logits + b, -50, 50)))
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(others))), pa.array(got), pa.array((got >= threshold).astype(np.int32))], names=[*others, "score", "predicted"])
 
-    base = docs.select(*others, F.col(text_col).cast("string").alias("_text"))
-    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in base.schema.fields[:-1])
-    return base.mapInArrow(run, f"{schema}score double, predicted int")
+    return base.mapInArrow(run, T.StructType([*base.schema.fields[: len(others)], T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]))
 
 
 def op4_toxicity(spark, sf_dir: str) -> DataFrame:
@@ -365,8 +392,9 @@ def op4_toxicity(spark, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
-def reject_toxic(docs: DataFrame, labels: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` without those predicted toxic; columns as they were."""
-    params = learn(docs, labels, text_col=text_col)
-    copy = docs.withColumn("_text_in", F.col(text_col))
-    return score(copy, params, id_col=None, text_col="_text_in").where("predicted = 0").select(*docs.columns)
+def reject_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` without those predicted toxic; columns as they were, whatever their names. Cases as in ``learn`` and ``score``."""
+    params = learn(docs, labels, id_col, text_col)
+    numbered = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])
+    kept = score(numbered, params, id_col=None, text_col=f"c{docs.columns.index(text_col)}").where("predicted = 0")
+    return kept.select(*numbered.columns).toDF(*docs.columns)
