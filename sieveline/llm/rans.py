@@ -1,25 +1,24 @@
 """Token ids as files of independent blocks, coded by a static range asymmetric numeral system.
 
-One frequency table, counted over all ids, serves every block. A block holds whole documents; its ids are dealt
-over 32 interleaved lanes, each a 32-bit state that gives off 16-bit words. Every ``CHECK`` steps the block keeps
-a checkpoint (all states and the place in the word stream), so decoding can start at any of them, and the
-checkpoints of many blocks are decoded side by side. A CRC-32 over the words guards each block.
+One frequency table, counted over all ids, serves every block. A block holds whole documents, or a piece of a very
+long one; its ids are dealt over 32 interleaved lanes, each a 32-bit state that gives off 16-bit words. Every
+``CHECK`` steps the block keeps a checkpoint (all states and the place in the word stream), so decoding can start at
+any of them, and the checkpoints of many blocks are decoded side by side. A CRC-32 guards all that a block holds.
 
-Files are Parquet tables of one row for each block, so that Spark's readers, writers and committers handle them.
+Files are two Parquet tables, so that Spark's readers, writers and committers handle them: the blocks, one row each,
+and the model (version, id type, end id, frequency table), one row; any session can read them back.
 """
 
 from __future__ import annotations
 
 import json
 import os
-import re
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, held_in_worker
@@ -27,7 +26,11 @@ from .common import Scratch, held_in_worker
 LANES, CHECK, BITS = 32, 512, 16
 LOW = 1 << 16
 BLOCK = 1 << 16
-BLOCK_SCHEMA = "part long, seq int, doc_ids array<long>, n_ids array<long>, start_in_part long, words binary, states binary, offsets array<int>, crc long"
+#: Ids of a range partition of the files, about, and the most partitions; tasks stream, so a partition may be of any size.
+IDS_A_PART, MOST_PARTS = 1 << 22, 50_000
+VERSION = 2
+BLOCK_SCHEMA = "part long, seq int, doc_ids array<long>, n_ids array<long>, start_in_part long, piece_at long, words binary, states binary, offsets array<int>, crc long"
+MODEL_SCHEMA = "version int, id_type string, end_id int, lanes int, check int, bits int, freq binary, crc long"
 
 
 def frequency_table(counts: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -121,7 +124,20 @@ class Coder:
 
 #: Entries of a worker's memory of encoded chunks; it is emptied when full, which changes no result.
 MEMORY = 1_300_000
-_STOP = re.compile(r"(?<=[^\W\d_])([.,])(?= |$)")
+#: Latin-1 bytes as the split wants them: lower case, a line break as a space; letters; ASCII marks.
+_LOWER = bytes(32 if k == 10 else ord(chr(k).lower()) for k in range(256))
+_LETTER = np.array([chr(k).isalpha() and (k < 128 or k >= 192) for k in range(256)])
+_MARK = np.array([33 <= k <= 126 and not chr(k).isalnum() for k in range(256)])
+
+
+def _latin(text: str) -> bytes | None:
+    """The text in Latin-1; null where it is not Latin-1 or may hold a special token."""
+    if "<|" in text:
+        return None
+    try:
+        return text.encode("latin-1")
+    except UnicodeEncodeError:
+        return None
 
 
 class Chunks:
@@ -129,14 +145,14 @@ class Chunks:
 
     Its words never reach over white space, so a text is encoded chunk by chunk between spaces, each distinct
     chunk once by the library. In Latin-1 texts, where lower case commutes with normal forms, chunks are also
-    freed of case and of a final '.' or ',' after a letter, which is a word by itself.
+    freed of case and cut where a mark follows a letter, as a word ends there in any case.
     """
 
     def __init__(self, spec: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.lib, self.known = Tokenizer.from_str(spec), {}
+        self.lib, self.known, self.kind = Tokenizer.from_str(spec), {}, id_type(spec)
         self.lib.no_truncation()
         self.lib.no_padding()
         vocab = self.lib.get_vocab()
@@ -144,196 +160,255 @@ class Chunks:
         self.ends[[v for k, v in vocab.items() if k.endswith("</w>")]] = True
 
     @staticmethod
-    def chunks(text: str) -> list[str]:
-        if "<|" not in text:
-            try:
-                text.encode("latin-1")
-                return _STOP.sub(r" \1", text.replace("\n", " ").lower()).split(" ")
-            except UnicodeEncodeError:
-                pass
-        return text.split(" ")
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text."""
+    def split(texts: list[str]) -> list[list[str]]:
+        """Chunks of each text. Latin-1 texts are prepared all at once, as bytes."""
+        raw = [_latin(t) for t in texts]
+        latin = [r for r in raw if r is not None]
+        data = np.frombuffer(b" ".join(latin).translate(_LOWER), np.uint8)
+        cut = np.flatnonzero(_LETTER[data[:-1]] & _MARK[data[1:]]) + 1
+        whole = np.insert(data, cut, 32).tobytes().decode("latin-1")
+        sizes = np.array([len(r) for r in latin], np.int64)
+        ends = np.cumsum(sizes + 1) - 1
+        place = lambda at: iter((at + np.searchsorted(cut, at, "right")).tolist())
+        first, last = place(ends - sizes), place(ends)
+        return [t.split(" ") if r is None else whole[next(first) : next(last)].split(" ") for t, r in zip(texts, raw)]
+
+    def encode(self, texts: list[str | None], tail: bytes = b"") -> list[bytes]:
+        """Little-endian ids of each text, as wide as the vocabulary needs them, with ``tail`` behind each."""
         out: list[bytes] = []
         for at in range(0, len(texts), 200):
-            split = [self.chunks(t or "") for t in texts[at : at + 200]]
+            split = self.split([t or "" for t in texts[at : at + 200]])
             if len(self.known) > MEMORY:
                 self.known.clear()
             get = self.known.get
             found = [list(map(get, s)) for s in split]
-            gaps = [[k for k, g in enumerate(f) if g is None] for f in found]
-            self._learn({s[k] for s, gap in zip(split, gaps) for k in gap})
-            for s, f, gap in zip(split, found, gaps):
-                for k in gap:
-                    f[k] = self.known[s[k]]
-            out += map(b"".join, found)
+            if gaps := [k for k, f in enumerate(found) if None in f]:
+                self._learn({w for k in gaps for w, ids in zip(split[k], found[k]) if ids is None})
+                for k in gaps:
+                    found[k] = list(map(get, split[k]))
+            out += [b"".join(f) + tail for f in found]
         return out
 
     def _learn(self, new: set[str]) -> None:
         # a Latin-1 word of letters is one word of the vocabulary, so many can be encoded as one text
         plain = [w for w in new if w.isalpha() and ord(max(w)) < 256]
-        for k in range(0, len(plain), 500):
-            some = plain[k : k + 500]
-            ids = np.array(self.lib.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
-            stops = ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()
-            if len(stops) != len(some):
-                continue
-            raw, start = ids.tobytes(), 0
-            for w, stop in zip(some, stops):
-                self.known[w] = raw[start:stop]
-                start = stop
+        some = [plain[k : k + 500] for k in range(0, len(plain), 500)]
+        for words, got in zip(some, self._library([" ".join(s) for s in some])):
+            stops = (np.flatnonzero(self.ends[got]) + 1).tolist()
+            if len(stops) == len(words):
+                for w, start, stop in zip(words, [0, *stops], stops):
+                    self.known[w] = got[start:stop].tobytes()
         rest = [w for w in new if w not in self.known]
         for k in range(0, len(rest), 5000):
-            some = rest[k : k + 5000]
-            for chunk, got in zip(some, self.lib.encode_batch_fast(some, add_special_tokens=False)):
-                self.known[chunk] = array("I", got.ids).tobytes()
+            for chunk, got in zip(rest[k : k + 5000], self._library(rest[k : k + 5000])):
+                self.known[chunk] = got.tobytes()
+
+    def _library(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(x.ids, self.kind) for x in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
 
 
 def _load(spec: str) -> Chunks:
     return held_in_worker("chunks", hash(spec), lambda: Chunks(spec))
 
 
-def token_table(docs: DataFrame, spec: str, end_id: int | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, ids): the ids of each whole text as little-endian bytes, 2 each where the vocabulary allows it, else 4."""
-    shared = docs.sparkSession.sparkContext.broadcast(spec)
-    kind = id_type(spec)
-    tail = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = _load(shared.value)
-        for b in batches:
-            ids = [np.frombuffer(x + tail, "<u4").astype(kind).tobytes() for x in coder.encode(b.column(1).to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary())], names=["id", "ids"])
-
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "id long, ids binary")
-
-
 def vocabulary_size(spec: str) -> int:
     j = json.loads(spec)
     return 1 + max([0, *j["model"]["vocab"].values(), *(t["id"] for t in j.get("added_tokens", []))])
 
 
 def id_type(spec: str) -> str:
+    """Little-endian ids of 2 bytes where the vocabulary allows it, else of 4."""
     return "<u2" if vocabulary_size(spec) <= 1 << 16 else "<u4"
 
 
-def count_ids(tokens: DataFrame, size: int, kind: str) -> np.ndarray:
-    """Count of each id over the whole table; partial counts by task, so at most ``size`` rows reach the driver."""
+def token_table(docs: DataFrame, spec: str, end_id: int | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, ids, counts): the ids of each whole text as bytes; counts (64-bit, by id) only in a last row of each task."""
+    shared = docs.sparkSession.sparkContext.broadcast(spec)
+    kind, size = id_type(spec), vocabulary_size(spec)
+    tail = b"" if end_id is None else np.array([end_id], kind).tobytes()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder, counts = _load(shared.value), np.zeros(size, np.int64)
+        rows = lambda *columns: pa.RecordBatch.from_arrays(list(columns), names=["id", "ids", "counts"])
+        for b in (b.slice(at, 1000) for b in batches for at in range(0, len(b), 1000)):
+            ids = coder.encode(b.column(1).to_pylist(), tail)
+            counts += np.bincount(np.frombuffer(b"".join(ids), kind), minlength=size)
+            yield rows(b.column(0), pa.array(ids, pa.binary()), pa.nulls(len(b), pa.binary()))
+        if counts.any():
+            yield rows(pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([counts.tobytes()], pa.binary()))
+
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "id long, ids binary, counts binary")
+
+
+def count_ids(tokens: DataFrame, size: int) -> np.ndarray:
+    """Count of each id over a ``token_table``, summed by task and then by id: at most ``size`` rows reach the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros(size, np.int64)
         for b in batches:
-            n += np.bincount(np.frombuffer(b"".join(b.column(0).to_pylist()), kind), minlength=size)
+            for counts in b.column(0).to_pylist():
+                n += np.frombuffer(counts, np.int64)
         used = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(n[used])], names=["token", "n"])
 
     out = np.zeros(size, np.int64)
-    for r in tokens.select("ids").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).collect():
+    summed = tokens.where("counts IS NOT NULL").select("counts").mapInArrow(run, "token long, n long")
+    for r in summed.groupBy("token").agg(F.sum("n").alias("n")).collect():
         out[r["token"]] = r["n"]
     return out
 
 
+def _checksum(r: dict) -> int:
+    """CRC-32 of everything that a block's row holds."""
+    ids = r["doc_ids"]
+    head = np.array([r["part"], r["seq"], r["start_in_part"], -1 if r["piece_at"] is None else r["piece_at"], len(ids), *r["n_ids"], *r["offsets"]], "<i8")
+    names = np.array([[x is None, x or 0] for x in ids], "<i8")
+    crc = 0
+    for part in (head.tobytes(), names.tobytes(), r["words"], r["states"]):
+        crc = zlib.crc32(part, crc)
+    return crc
+
+
 def write_blocks(tokens: DataFrame, freq: np.ndarray, kind: str, partitions: int) -> DataFrame:
-    """Blocks (BLOCK_SCHEMA) of ``tokens`` in ascending id order; ``part`` numbers the ranges of ids."""
+    """Blocks (BLOCK_SCHEMA) of ``tokens`` in ascending id order; ``part`` numbers the ranges of ids.
+
+    A block holds whole documents or a piece of one: documents of over 2 * BLOCK ids are cut into blocks of their own.
+    """
     shared = tokens.sparkSession.sparkContext.broadcast(freq)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         part, coder = TaskContext.get().partitionId(), Coder(shared.value)
-        seq, at, held, size = 0, 0, [], 0
-
-        def flush(force: bool) -> Iterator[pa.RecordBatch]:
-            nonlocal seq, at, held, size
-            groups, own, n = [], [], 0
-            for doc in held:
-                own.append(doc)
-                n += len(doc[1])
-                if n >= BLOCK:
-                    groups.append(own)
-                    own, n = [], 0
-            if force and own:
-                groups.append(own)
-                own = []
-            held, size = own, sum(len(d[1]) for d in own)
-            if not groups:
-                return
-            coded = coder.encode([np.concatenate([d[1] for d in g]) for g in groups])
+        seq = at = 0
+        full: list[tuple[list, list[np.ndarray], int | None]] = []  # (ids of documents, their token ids, place in the document)
+        names, own, n = [], [], 0
+
+        def close() -> None:
+            nonlocal names, own, n
+            if own:
+                full.append((names, own, None))
+            names, own, n = [], [], 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            nonlocal seq, at
             rows = []
-            for g, (words, states, places) in zip(groups, coded):
-                data = words.astype("<u2").tobytes()
-                lengths = [len(d[1]) for d in g]
-                rows.append({"part": part, "seq": seq, "doc_ids": [d[0] for d in g], "n_ids": lengths, "start_in_part": at, "words": data, "states": states.astype("<u4").tobytes(), "offsets": places.tolist(), "crc": zlib.crc32(data)})
-                seq, at = seq + 1, at + sum(lengths)
-            yield pa.RecordBatch.from_pylist(rows, schema=_BLOCK_ARROW)
+            for (docs, ids, piece_at), (words, states, places) in zip(full, coder.encode([np.concatenate(ids) for _, ids, _ in full])):
+                row = {"part": part, "seq": seq, "doc_ids": docs, "n_ids": [len(x) for x in ids], "start_in_part": at, "piece_at": piece_at, "words": words.astype("<u2").tobytes(), "states": states.astype("<u4").tobytes(), "offsets": places.tolist()}
+                rows.append(row | {"crc": _checksum(row)})
+                seq, at = seq + 1, at + sum(row["n_ids"])
+            full.clear()
+            if rows:
+                yield pa.RecordBatch.from_pylist(rows, schema=_BLOCK_ARROW)
 
         for b in batches:
             for doc_id, ids in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                held.append((doc_id, np.frombuffer(ids, kind)))
-                size += len(held[-1][1])
-                if size >= 16 * BLOCK:
-                    yield from flush(False)
-        yield from flush(True)
-
-    dealt = tokens.repartitionByRange(partitions, "id").sortWithinPartitions("id", "ids")
+                ids = np.frombuffer(ids, kind)
+                if len(ids) > 2 * BLOCK:
+                    close()
+                    full.extend(([doc_id], [ids[k : k + BLOCK]], k) for k in range(0, len(ids), BLOCK))
+                else:
+                    names.append(doc_id)
+                    own.append(ids)
+                    n += len(ids)
+                    if n >= BLOCK:
+                        close()
+                if len(full) >= 16:
+                    yield from flush()
+        close()
+        yield from flush()
+
+    own = F.xxhash64("ids")  # so that rows of one id, null too, are dealt over tasks
+    dealt = tokens.select("id", "ids").repartitionByRange(partitions, F.col("id"), own).sortWithinPartitions(F.col("id"), own, F.col("ids"))
     return dealt.mapInArrow(run, BLOCK_SCHEMA)
 
 
-_BLOCK_ARROW = pa.schema([("part", pa.int64()), ("seq", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("n_ids", pa.list_(pa.int64())), ("start_in_part", pa.int64()), ("words", pa.binary()), ("states", pa.binary()), ("offsets", pa.list_(pa.int32())), ("crc", pa.int64())])
+_BLOCK_ARROW = pa.schema([("part", pa.int64()), ("seq", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("n_ids", pa.list_(pa.int64())), ("start_in_part", pa.int64()), ("piece_at", pa.int64()), ("words", pa.binary()), ("states", pa.binary()), ("offsets", pa.list_(pa.int32())), ("crc", pa.int64())])
 
 
-def read_blocks(blocks: DataFrame, freq: np.ndarray) -> DataFrame:
-    """(doc_id, start, ids) of each document in ``blocks``; start counts the ids of all documents before it."""
-    shared = blocks.sparkSession.sparkContext.broadcast(freq)
-    scratch = Scratch(blocks.sparkSession, "rans-read")
-    sums = blocks.select("part", F.aggregate("n_ids", F.lit(0).cast("long"), lambda a, x: a + x).alias("n")).groupBy("part").agg(F.sum("n").alias("n"))
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each partition of the files
-    sums = scratch.write(sums.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("part_start")), "starts")
-    placed = blocks.join(sums, "part").select((F.col("part_start") + F.col("start_in_part")).alias("start"), "doc_ids", "n_ids", "words", "states", "offsets", "crc")
+def _model_row(freq: np.ndarray, kind: str, end_id: int | None) -> tuple:
+    table = freq.astype("<u4").tobytes()
+    head = np.array([VERSION, LANES, CHECK, BITS, -1 if end_id is None else end_id], "<i8").tobytes()
+    return VERSION, kind, end_id, LANES, CHECK, BITS, bytearray(table), zlib.crc32(table, zlib.crc32(kind.encode(), zlib.crc32(head)))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Coder(shared.value)
-        for b in batches:
-            for at in range(0, len(b), 16):
-                rows = b.slice(at, 16).to_pylist()
-                for r in rows:
-                    if zlib.crc32(r["words"]) != r["crc"]:
-                        raise ValueError("a block's checksum does not match its words")
-                got = coder.decode([(np.frombuffer(r["words"], "<u2"), np.frombuffer(r["states"], "<u4"), np.array(r["offsets"], np.int64), sum(r["n_ids"])) for r in rows])
-                lengths = np.array([n for r in rows for n in r["n_ids"]], np.int64)
-                starts = np.concatenate([r["start"] + np.cumsum([0, *r["n_ids"][:-1]]) for r in rows]).astype(np.int64)
-                flat = np.concatenate(got).astype("<u4")
-                cuts = (np.cumsum([0, *lengths]) * 4).astype(np.int64)
-                raw = flat.tobytes()
-                ids = [raw[s:e] for s, e in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
-                yield pa.RecordBatch.from_arrays([pa.array([i for r in rows for i in r["doc_ids"]], pa.int64()), pa.array(starts), pa.array(ids, pa.binary())], names=["doc_id", "start", "ids"])
-
-    return placed.mapInArrow(run, "doc_id long, start long, ids binary")
-
-
-def store_tokens(docs: DataFrame, spec: str, end_id: int | None, path: str, id_col: str = "doc_id", text_col: str = "text", partitions: int | None = None) -> np.ndarray:
-    """Encode every whole text, write the blocks to ``path`` and return the frequency table that reads them.
+
+def store_tokens(docs: DataFrame, spec: str, end_id: int | None, path: str, id_col: str = "doc_id", text_col: str = "text", ids_a_part: int = IDS_A_PART) -> None:
+    """Encode every whole text and write ``path``/blocks and ``path``/model, all that ``read_tokens`` needs.
 
     Null and empty texts have the end id only (none without one). Null ids come first; rows that repeat an id
-    follow each other by their ids' bytes. The number of range partitions follows the session's shuffle setting.
-    An empty table writes no block. Extra columns are not looked at.
+    follow each other in a fixed order of their ids. There are as many range partitions as the counted ids need.
+    An empty table writes no block; very long texts are cut over blocks. Extra columns are not looked at.
     """
     spark = docs.sparkSession
     scratch, kind = Scratch(spark, "tokens"), id_type(spec)
     tokens = scratch.write(token_table(docs, spec, end_id, id_col, text_col), "ids", "zstd")
-    freq = frequency_table(count_ids(tokens, vocabulary_size(spec), kind))
-    partitions = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    write_blocks(tokens, freq, kind, partitions).write.option("compression", "uncompressed").parquet(path)
+    counts = count_ids(tokens, vocabulary_size(spec))
+    freq = frequency_table(counts)
+    spark.createDataFrame([_model_row(freq, kind, end_id)], MODEL_SCHEMA).coalesce(1).write.parquet(f"{path}/model")
+    blocks = write_blocks(tokens.where("counts IS NULL"), freq, kind, min(MOST_PARTS, 1 + int(counts.sum()) // ids_a_part))
+    blocks.write.option("compression", "uncompressed").parquet(f"{path}/blocks")
     scratch.drop("ids")
-    return freq
+
+
+def read_tokens(spark: SparkSession, path: str, digests: bool = False) -> DataFrame:
+    """(doc_id, start, ids: 32-bit little-endian) of each stored document; start counts the ids of all documents before it.
+
+    With ``digests``, n_tokens and ids_crc32 of the ids read stand for them. A damaged block or model, or files of
+    another version, raise an error.
+    """
+    model = spark.read.schema(MODEL_SCHEMA).parquet(f"{path}/model").first()
+    freq = np.frombuffer(model["freq"], "<u4").astype(np.int64)
+    if tuple(model) != _model_row(freq, model["id_type"], model["end_id"]):
+        raise ValueError("the model is damaged or of another version")
+    blocks = spark.read.schema(BLOCK_SCHEMA).parquet(f"{path}/blocks")
+    shared = spark.sparkContext.broadcast(freq)
+    scratch = Scratch(spark, "rans-read")
+    sums = blocks.select("part", F.aggregate("n_ids", F.lit(0).cast("long"), lambda a, x: a + x).alias("n")).groupBy("part").agg(F.sum("n").alias("n"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each partition of the files
+    sums = scratch.write(sums.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("part_start")), "starts")
+    # at most MOST_PARTS rows
+    placed = blocks.join(F.broadcast(sums), "part").select("part_start", *blocks.columns)
+    kind = "doc_id long, start long, " + ("n_tokens long, ids_crc32 long" if digests else "ids binary")
+
+    def out(names: list, starts: np.ndarray, ids: list[np.ndarray]) -> pa.RecordBatch:
+        if digests:
+            own = [pa.array([len(x) for x in ids], pa.int64()), pa.array([zlib.crc32(x) for x in ids], pa.int64())]
+        else:
+            own = [pa.array([x.tobytes() for x in ids], pa.binary())]
+        return pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(starts), *own], names=["doc_id", "start", "n_tokens", "ids_crc32"] if digests else ["doc_id", "start", "ids"])
+
+    def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[dict], list[np.ndarray]]]:
+        coder = Coder(shared.value)
+        for b in (b.slice(at, 16) for b in batches for at in range(0, len(b), 16)):
+            rows = b.to_pylist()
+            if any(_checksum(r) != r["crc"] for r in rows):
+                raise ValueError("a block's checksum does not match its content")
+            yield rows, [x.astype("<u4") for x in coder.decode([(np.frombuffer(r["words"], "<u2"), np.frombuffer(r["states"], "<u4"), np.array(r["offsets"], np.int64), sum(r["n_ids"])) for r in rows])]
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, got in decoded(batches):
+            starts = [r["part_start"] + r["start_in_part"] + np.cumsum([0, *r["n_ids"][:-1]]) for r in rows]
+            ids = [x for r, flat in zip(rows, got) for x in np.split(flat, np.cumsum(r["n_ids"])[:-1])]
+            yield out([i for r in rows for i in r["doc_ids"]], np.concatenate(starts).astype(np.int64), ids)
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, got in decoded(batches):
+            starts = [r["part_start"] + r["start_in_part"] - r["piece_at"] for r in rows]
+            yield pa.RecordBatch.from_arrays([pa.array([r["doc_ids"][0] for r in rows], pa.int64()), pa.array(starts), pa.array([r["piece_at"] for r in rows], pa.int64()), pa.array([x.tobytes() for x in got], pa.binary())], names=["doc_id", "start", "at", "ids"])
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids = [np.frombuffer(b"".join(p["ids"] for p in x), "<u4") for x in b.column(2).to_pylist()]
+            yield out(b.column(0).to_pylist(), b.column(1).to_numpy(), ids)
+
+    long = placed.where("piece_at IS NOT NULL").mapInArrow(pieces, "doc_id long, start long, at long, ids binary")
+    long = long.groupBy("doc_id", "start").agg(F.array_sort(F.collect_list(F.struct("at", "ids"))).alias("pieces"))
+    return placed.where("piece_at IS NULL").mapInArrow(whole, kind).unionByName(long.mapInArrow(joined, kind))
 
 
 def op7_token_store(spark, sf_dir: str) -> DataFrame:
     from .bpe import vocabulary
 
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    path = f"{Scratch(spark, 'store').base}/blocks"
-    freq = store_tokens(docs, vocabulary("word_bpe_49k.json"), 1, path)
-    found = read_blocks(spark.read.schema(BLOCK_SCHEMA).parquet(path), freq)
-    return found.select("doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+    path = f"{Scratch(spark, 'store').base}/tokens"
+    store_tokens(spark.read.parquet(f"{sf_dir}/documents.parquet"), vocabulary("word_bpe_49k.json"), 1, path)
+    return read_tokens(spark, path, digests=True)
