@@ -1,6 +1,7 @@
 """Corpus operators against brute force, with nulls, empty texts, ties and repeated rows."""
 
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -58,7 +59,7 @@ def test_chunks_equal_library():
     spec = bpe.vocabulary("word_bpe_49k.json")
     lib, texts = Tokenizer.from_str(spec), fuzz()
     for t, got in zip(texts, rans.Chunks(spec).encode(texts)):
-        assert np.frombuffer(got, "<u4").tolist() == lib.encode(t, add_special_tokens=False).ids
+        assert np.frombuffer(got, "<u2").tolist() == lib.encode(t, add_special_tokens=False).ids
 
 
 @pytest.mark.parametrize("symbols", [1, 5, 49408])
@@ -70,16 +71,52 @@ def test_rans_round_trip(symbols):
     assert all(np.array_equal(a, b) for a, b in zip(ids, back))
 
 
-def test_token_store(spark):
-    spec, rows = bpe.vocabulary("word_bpe_49k.json"), [(k, t, "s") for k, t in enumerate(fuzz(100))]
-    path = common.Scratch(spark, "t").base + "/blocks"
-    freq = rans.store_tokens(docs(spark, rows).repartition(3), spec, 1, path)
-    got = rans.read_blocks(spark.read.schema(rans.BLOCK_SCHEMA).parquet(path), freq).orderBy("doc_id").collect()
-    lib, start = Tokenizer.from_str(spec), 0
-    for r, (k, t, _) in zip(got, rows, strict=True):
-        ids = lib.encode(t, add_special_tokens=False).ids + [1]
-        assert (r["doc_id"], r["start"]) == (k, start) and np.frombuffer(r["ids"], "<u4").tolist() == ids
+def stored(spark, rows, monkeypatch, block=1 << 16, ids_a_part=1 << 22):
+    monkeypatch.setattr(rans, "BLOCK", block)
+    path = common.Scratch(spark, "t").base
+    rans.store_tokens(docs(spark, rows).repartition(3), bpe.vocabulary("word_bpe_49k.json"), 1, path, ids_a_part=ids_a_part)
+    return path
+
+
+def test_token_store(spark, monkeypatch):
+    texts = fuzz(100)
+    # a text over several blocks, a null and an empty one, null and repeated ids
+    rows = [(k, t, "s") for k, t in enumerate(texts)] + [(500, "long word, " * 3000, "s"), (501, None, "s"), (502, "", "s"), (None, "no id", "s"), (None, "no id", "s"), (None, "x", "s"), (503, "b", "s"), (503, "a", "s")]
+    path = stored(spark, rows, monkeypatch, block=1024, ids_a_part=500)
+    lib = Tokenizer.from_str(bpe.vocabulary("word_bpe_49k.json"))
+    got = spark.newSession() and rans.read_tokens(spark.newSession(), path).orderBy("start").collect()  # a session that knows the files only
+    assert [r["doc_id"] for r in got] == sorted((r[0] for r in rows), key=lambda x: -1 if x is None else x)
+    want, start = sorted((-1 if i is None else i, tuple(lib.encode(t or "", add_special_tokens=False).ids + [1])) for i, t, _ in rows), 0
+    for r in got:
+        ids = np.frombuffer(r["ids"], "<u4")
+        assert r["start"] == start
         start += len(ids)
+    assert sorted((-1 if r["doc_id"] is None else r["doc_id"], tuple(np.frombuffer(r["ids"], "<u4").tolist())) for r in got) == want
+    digests = {(r["doc_id"], r["start"], r["n_tokens"], r["ids_crc32"]) for r in rans.read_tokens(spark, path, digests=True).collect()}
+    assert digests == {(r["doc_id"], r["start"], len(r["ids"]) // 4, zlib.crc32(r["ids"])) for r in got}
+
+
+def test_token_store_empty(spark, monkeypatch):
+    assert rans.read_tokens(spark, stored(spark, [], monkeypatch)).count() == 0
+
+
+def test_token_store_finds_damage(spark, monkeypatch):
+    path = stored(spark, [(k, f"text {k} of some words", "s") for k in range(30)], monkeypatch)
+    block = spark.read.parquet(f"{path}/blocks").first().asDict()
+    flip = lambda b: bytes([b[0] ^ 1]) + bytes(b[1:])
+    damaged = {"words": flip(block["words"]), "states": flip(block["states"]), "offsets": [x + 1 for x in block["offsets"]], "doc_ids": [block["doc_ids"][0] + 1, *block["doc_ids"][1:]], "n_ids": [x + 1 for x in block["n_ids"]], "start_in_part": 7, "part": 9, "seq": 5, "piece_at": 3, "crc": block["crc"] ^ 1}
+    for column, value in damaged.items():
+        other = common.Scratch(spark, "t").base
+        spark.read.parquet(f"{path}/model").write.parquet(f"{other}/model")
+        spark.createDataFrame([tuple({**block, column: value}.values())], rans.BLOCK_SCHEMA).write.parquet(f"{other}/blocks")
+        with pytest.raises(Exception, match="checksum"):
+            rans.read_tokens(spark, other).collect()
+    model = spark.read.parquet(f"{path}/model").first().asDict()
+    for column, value in {"version": 1, "id_type": "<u4", "end_id": 2, "freq": bytearray(flip(model["freq"])), "crc": 0}.items():
+        other = common.Scratch(spark, "t").base
+        spark.createDataFrame([tuple({**model, column: value}.values())], rans.MODEL_SCHEMA).write.parquet(f"{other}/model")
+        with pytest.raises(ValueError, match="model"):
+            rans.read_tokens(spark, other)
 
 
 def brute_simhash(text):
@@ -217,7 +254,7 @@ def test_itq(spark):
     got = {r["id"]: (r["n_links"], r["component_id"]) for r in itq.linked_vectors(df, block=64).collect()}
     u = v / np.linalg.norm(v, axis=1, keepdims=True)
     near = u @ u.T >= itq.COSINE
-    assert sum(got[k][0] for k in range(len(v))) >= 0.95 * (near.sum() - len(v))
+    assert all(got[k][0] == near[k].sum() - 1 for k in range(len(v)))  # all links, at this size
     assert all(got[k] == (0, k) for k in (900, 901, 902, 903)) and got[155][1] == 1 and got[120][1] == 0
 
 
@@ -231,7 +268,7 @@ def test_knn(spark):
         s = u @ u[q]
         s[q] = -9
         hits += len(set(np.lexsort((np.arange(600), -s))[:5]) & {r["id"] for r in got if r["query_id"] == q})
-    assert hits >= 0.9 * 60 and all(abs(r["score"] - u[r["query_id"]] @ u[r["id"]]) < 1e-12 for r in got)
+    assert hits >= 0.98 * 60 and all(abs(r["score"] - u[r["query_id"]] @ u[r["id"]]) < 1e-12 for r in got)
 
 
 def test_language(spark):
