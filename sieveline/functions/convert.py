@@ -21,8 +21,10 @@ def to_id(c: Column) -> Column:
     return F.when(c.rlike("^[0-9]{8}$"), c.try_cast("bigint"))
 
 
-def id_problem(c: Column) -> Column:
-    return F.when(c.isNull(), "missing").when(~c.rlike("^[0-9]{8}$"), "not 8 digits")
+def id_problem(c: Column, second: Column | None = None) -> Column:
+    """What is wrong with a record's ID or, where that is right, with a second ID that it may lack."""
+    found = F.when(c.isNull(), "missing").when(~c.rlike("^[0-9]{8}$"), "not 8 digits")
+    return found if second is None else found.when(~second.rlike("^[0-9]{8}$"), "second ID not 8 digits")
 
 
 def to_integer(c: Column) -> Column:
@@ -61,6 +63,16 @@ def to_time(c: Column) -> Column:
     return out
 
 
+def single_format(c: Column, pattern: str) -> Column:
+    """Time stamp of one format; null where the text has another."""
+    return F.try_to_timestamp(c, F.lit(pattern))
+
+
+def line_total(quantity: Column, price: Column) -> Column:
+    """Exact amount of a whole quantity at a price in cents."""
+    return (quantity.cast("decimal(18,0)") * price.cast("decimal(12,2)")).cast("decimal(30,2)")
+
+
 def to_boolean(c: Column, true=TRUE, false=FALSE) -> Column:
     return F.when(F.upper(c).isin(*true), True).when(F.upper(c).isin(*false), False)
 
@@ -68,3 +80,8 @@ def to_boolean(c: Column, true=TRUE, false=FALSE) -> Column:
 def rank_of(c: Column, order) -> Column:
     """Position of a code in its order, from 1; null outside the list."""
     return F.nullif(F.array_position(F.array(*[F.lit(x) for x in order]), c), F.lit(0))
+
+
+def outside(c: Column, allowed) -> Column:
+    """True for a code that is there and not in the list."""
+    return F.coalesce(~c.isin(*allowed), F.lit(False))

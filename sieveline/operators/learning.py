@@ -16,14 +16,26 @@ from pyspark.sql import types as T
 from .search import cosine
 
 
+def draw(key: str, seed: int = 7) -> Column:
+    """A hash of the key that any engine can compute: hexadecimal MD5 of key and seed."""
+    return F.md5(F.concat_ws("-", F.col(key).cast("string"), F.lit(str(seed))))
+
+
 def sample(df: DataFrame, key: str, n: int, seed: int = 7) -> DataFrame:
     """The n rows of the smallest hashes of the key: the same at every run and partitioning."""
-    return df.orderBy(F.xxhash64(key, F.lit(seed)), key).limit(n)
+    return df.orderBy(draw(key, seed), key).limit(n)
 
 
 def in_share(key: str, share: float, seed: int = 7) -> Column:
     """True for about this share of the keys, always the same ones; needs no shuffle."""
-    return F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1_000_000)) < round(share * 1_000_000)
+    return F.substr(draw(key, seed), F.lit(1), F.lit(8)) < f"{round(share * 16**8) - 1:08x}"
+
+
+def split_at(df: DataFrame, key: str, n: int, seed: int = 7) -> DataFrame:
+    """``df`` with ``part``: train for the n rows of ``sample``, test for the others; only the last hash of the sample is joined."""
+    last = sample(df.select(key), key, n, seed).agg(F.max(F.struct(draw(key, seed).alias("h"), F.col(key).alias("k"))).alias("_last"))
+    own = F.struct(draw(key, seed).alias("h"), F.col(key).alias("k"))
+    return df.join(F.broadcast(last), how="inner").withColumn("part", F.when(own <= F.col("_last"), "train").otherwise("test")).drop("_last")
 
 
 def class_cosines(df: DataFrame, label: str, vec: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from functools import reduce
 from operator import or_
@@ -10,9 +11,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: The vocabulary of the finished rules.
+GOOD_WORDS = ("good", "well", "great", "excellent", "outstanding", "fine", "cooperative", "respectful", "polite", "courteous", "compliant", "exemplary", "stellar", "solid", "positive", "commendable")
+GOOD_PHRASES = ("no issues", "no problems", "no incidents", "no trouble", "squared away", "model inmate", "pleasure to supervise", "zero write-ups", "without complaint", "10/10", "a+", "stayed out of trouble", "helped staff", "volunteered", "de-escalated")
+NEGATORS = ("not", "no", "never", "n't", "hardly", "nothing")
+NEGATING_PHRASES = ("anything but", "far from", "no longer")
+EXCLUDE_TOKENS = ("goods", "goodman", "goode")
+EXCLUDE_PHRASES = ("good time", "good conduct time")
+
+
 def tokens(c: Column) -> Column:
-    """Words in lower case."""
-    return F.regexp_extract_all(F.lower(c), F.lit(r"[a-z0-9À-ÿ']+"), F.lit(0))
+    """Words in lower case; the n't of a word is a token of its own."""
+    parted = F.regexp_replace(F.lower(c), r"n['’]t\b", " n't")
+    return F.regexp_extract_all(parted, F.lit(r"[a-z0-9À-ÿ']+"), F.lit(0))
 
 
 def lexicon(
@@ -21,13 +32,14 @@ def lexicon(
 ) -> Column:
     """True where a word or a phrase is found that nothing in the window of words before it negates.
 
-    A word counts by its lemma unless it is one of ``exclude`` or part of an excluded phrase. Of a phrase, the first
-    occurrence counts; the words before it are split at white space.
+    A word counts by its lemma unless it is one of ``exclude`` or an excluded phrase begins with it; skipped words stay
+    in the windows of others. Of a phrase, the first occurrence outside the excluded phrases counts; the words before
+    it are split at white space.
     """
+    t = tokens(c)
     bare = F.lower(c)
     for p in exclude_phrases:
-        bare = F.replace(bare, F.lit(p), F.lit(" "))
-    t = tokens(bare)
+        bare = F.regexp_replace(bare, rf"\b{re.escape(p)}\b", " ")
     table = F.create_map(*[F.lit(x) for kv in lemmas.items() for x in kv]) if lemmas else None
     lemma = lambda w: F.coalesce(F.try_element_at(table, w), w) if lemmas else w
 
@@ -42,6 +54,8 @@ def lexicon(
         ok = lemma(w).isin(*words)
         if exclude:
             ok = ok & ~w.isin(*exclude)
+        for p in exclude_phrases:
+            ok = ok & (F.array_join(F.slice(t, i + 1, len(p.split())), " ") != p)
         if negates:
             start = F.greatest(i - window, F.lit(0))
             ok = ok & ~denied(F.slice(t, start + 1, i - start))
@@ -58,11 +72,24 @@ def lexicon(
     return reduce(or_, found, F.when(c.isNotNull(), False))
 
 
+def best_rules(c: Column, lemmas: dict[str, str] | None = None) -> Column:
+    """The finished rules: the whole vocabulary, negated within three words, without the exclusions."""
+    return lexicon(c, GOOD_WORDS, NEGATORS, 3, EXCLUDE_TOKENS, lemmas, GOOD_PHRASES, NEGATING_PHRASES, EXCLUDE_PHRASES)
+
+
 def cosine(a: Column, b: Column) -> Column:
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
     return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
 
 
-def semantic_topk(df: DataFrame, query: DataFrame, id_col: str, vec_col: str, k: int) -> DataFrame:
-    """The k rows nearest by cosine to the single vector of the one-row frame ``query`` (column q)."""
-    return df.join(F.broadcast(query.limit(1)), how="inner").select(id_col, F.round(cosine(F.col(vec_col), F.col("q")), 6).alias("similarity")).orderBy(F.desc("similarity"), id_col).limit(k)
+def semantic_topk(df: DataFrame, query: DataFrame, id_col: str, vec_col: str, k: int, once: str | None = None) -> DataFrame:
+    """The k rows nearest by cosine to the single vector of the one-row frame ``query`` (column q), ties by id.
+
+    The order is that of the exact value, which is shown with six places. Of rows with equal ``once`` (a text, say)
+    only that of the smallest id counts.
+    """
+    near = df.join(F.broadcast(query.limit(1)), how="inner").withColumn("similarity", cosine(F.col(vec_col), F.col("q")))
+    if once:
+        near = near.groupBy(once).agg(F.min_by("similarity", id_col).alias("similarity"), F.min(id_col).alias(id_col))
+    best = near.select(id_col, "similarity").orderBy(F.desc("similarity"), id_col).limit(k)
+    return best.withColumn("similarity", F.round("similarity", 6))

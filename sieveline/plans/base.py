@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -37,22 +38,31 @@ def query(sql: str | None = None):
     return add
 
 
-def _clean(spark, sf_dir):
-    """Messy orders, stripped and typed, the raw text kept as ``as_written``."""
-    raw = text.strip_and_null(messy_orders(spark, sf_dir))
-    names = ["date_text", "money_text", "points_text", "time_text", "flag_text"]
-    d = dates.parse_date(F.col("date_text"))
-    return raw.withColumn("as_written", F.struct(*names)).withColumns({
+TEXTS = {"date_text": "order_date", "money_text": "money", "points_text": "points", "time_text": "time", "flag_text": "flag"}
+
+
+def typed(raw):
+    """Stripped texts with typed columns, the raw text kept as ``as_written``; works on a stream, too."""
+    rows = raw.withColumn("as_written", F.struct(*TEXTS)).withColumns({
         "id": convert.to_id(F.col("id_text")),
-        "order_date": dates.century_past(F.col("date_text"), d, F.lit(AS_OF).cast("date")),
         "money": convert.to_money(F.col("money_text")),
         "points": convert.to_integer(F.col("points_text")),
         "time": convert.to_time(F.col("time_text")),
         "flag": convert.to_boolean(F.col("flag_text")),
     })
+    return dates.resolve(rows, {"order_date": "date_text"}, {}, F.lit(AS_OF).cast("date"))
+
+
+def _clean(spark, sf_dir):
+    """Messy orders, stripped and typed."""
+    return typed(text.strip_and_null(messy_orders(spark, sf_dir)))
 
 
 def folder(spark) -> str:
     """A new folder that driver and executors share."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="sieveline-")
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="sieveline-")
     return f"{root}/{uuid.uuid4().hex}"

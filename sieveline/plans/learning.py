@@ -15,9 +15,10 @@ def keyword_search(spark, sf_dir):
     return messy_orders(spark, sf_dir).select("k", note.contains("good").alias("contained"), F.lower(note).contains("good").alias("any_case"), note.rlike(r"(?i)\bgood\b").alias("whole_word"))
 
 
-@query(f"SELECT {_K} AS k, {_K} % 10 IN (0, 4, 9) AS found FROM orders")
+@query(f"SELECT {_K} AS k, {_K} % 13 IN (0, 5, 6, 8, 10, 12) AS found FROM orders")
 def best_rules(spark, sf_dir):
-    rules = search.lexicon(F.col("note"), ["helpful", "cooperative", "good"], ["no", "not", "never"], 3, phrases=["refused to work well"], exclude_phrases=["good friday"])
+    """Notes that take every branch: words, lemmas, phrases, negation near and far, by n't and by phrases, exclusions."""
+    rules = search.best_rules(F.col("conduct"), {"better": "well", "goods": "good"})
     return messy_orders(spark, sf_dir).select("k", rules.alias("found"))
 
 
@@ -65,11 +66,23 @@ def few_shot(spark, sf_dir):
     return learning.few_shot(rest, train, "embedding", "truth").select("vec_id", "truth", "predicted")
 
 
-@query()
+@query(f"SELECT doc_id, CASE WHEN substr(md5(CAST(doc_id AS VARCHAR) || '-7'), 1, 8) < '{round(0.8 * 16**8) - 1:08x}' THEN 'train' ELSE 'test' END AS part FROM documents")
 def hash_split(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.when(learning.in_share("doc_id", 0.8), "train").otherwise("test").alias("part"))
 
 
+@query("SELECT doc_id, CASE WHEN row_number() OVER (ORDER BY md5(CAST(doc_id AS VARCHAR) || '-7'), doc_id) <= 100 THEN 'train' ELSE 'test' END AS part FROM documents")
+def hash_cut(spark, sf_dir):
+    return learning.split_at(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", 100).select("doc_id", "part")
+
+
+@query("SELECT d.doc_id, quality FROM documents d JOIN labels l ON d.doc_id = l.doc_id WHERE quality IS NOT NULL ORDER BY md5(CAST(d.doc_id AS VARCHAR) || '-7'), d.doc_id LIMIT 60")
+def labelled_sample(spark, sf_dir):
+    """Documents with an answer, a fixed number by hash."""
+    known = table(spark, sf_dir, "labels").select("doc_id", "quality").where("quality IS NOT NULL")
+    return learning.sample(table(spark, sf_dir, "documents").select("doc_id").join(known, "doc_id"), "doc_id", 60)
+
+
 @query()
 def lsa_vectors(spark, sf_dir):
     return learning.lsa(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", 20).select("doc_id", "vector")

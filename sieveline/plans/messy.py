@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,6 +16,7 @@ def messy_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.selectExpr(
         "k", "o_custkey", "o_orderstatus", "o_orderpriority",
         "CASE WHEN k % 97 = 0 THEN lpad(CAST(k AS STRING), 7, '0') WHEN k % 89 = 0 THEN '  ' ELSE concat(' ', lpad(CAST(k AS STRING), 8, '0'), '\t') END AS id_text",
+        "CASE WHEN (k + o_custkey) % 71 = 0 THEN ' ' WHEN k % 73 = 0 THEN lpad(CAST(o_custkey + 1 AS STRING), 7, '0') ELSE lpad(CAST(o_custkey + 1 AS STRING), 8, '0') END AS person_text",
         """CASE WHEN k % 61 = 0 THEN '02/30/2020' WHEN k % 67 = 0 THEN '   ' ELSE CASE k % 9 WHEN 0 THEN date_format(d, 'MM/dd/yyyy')
            WHEN 1 THEN date_format(d, 'M/d/yy') WHEN 2 THEN date_format(d, 'MM-dd-yyyy') WHEN 3 THEN date_format(d, 'yyyy-MM-dd')
            WHEN 4 THEN date_format(d, 'yyyy-MM-dd HH:mm:ss') WHEN 5 THEN date_format(d, 'yyyyMMdd') WHEN 6 THEN date_format(d, 'dd-MMM-yyyy')
@@ -34,5 +36,22 @@ def messy_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
            CAST(k % 12 AS INT) + 1) END AS group_text""",
         """element_at(array('He was helpful today','No good conduct seen','She was not very helpful at all','Good Friday service','GOOD work','goods delivered late','A better day','refused to work',
            'never helpful','cooperative and polite'), CAST(k % 10 AS INT) + 1) AS note""",
-        """CASE k % 6 WHEN 0 THEN 'it<br>works' WHEN 1 THEN 'it&nbsp;works' WHEN 2 THEN '“it works”' WHEN 3 THEN 'it isnâ€™t' WHEN 4 THEN 'it  works' ELSE '<br>' END AS damaged_note""",
+        """CASE k % 8 WHEN 0 THEN 'it<br>works' WHEN 1 THEN 'it&nbsp;works' WHEN 2 THEN '“it works”' WHEN 3 THEN 'it isnâ€™t' WHEN 4 THEN 'it  works' WHEN 5 THEN 'MUÃ‘OZ – x<br />y'
+           WHEN 6 THEN 'JosÃ© &amp; â€œMÃ¡â€' ELSE '<br>' END AS damaged_note""",
+        """element_at(array('He was very helpful and polite','Not a good day','She isn\\'t good with tools','anything but respectful','Lost good time credits','never had good conduct time, polite man','good times here','goods delivered late',
+           'no issues on the wing','never had no issues before','a better worker','refused twice','not once in all these weeks was he good'), CAST(k % 13 AS INT) + 1) AS conduct""",
     )
+
+
+def messy_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """k and six coded values as people spell them: in small letters, with a period, with spaces around a hyphen; 'XX' is in no table."""
+    o = table(spark, sf_dir, "orders").selectExpr("o_orderkey + 1 AS k", "o_custkey", "o_orderstatus AS status", "o_orderpriority AS priority", "CASE WHEN o_orderkey % 2 = 0 THEN 'ALPHA' ELSE 'BETA-ONE' END AS `group`")
+    c = table(spark, sf_dir, "customer").selectExpr("c_custkey", "c_nationkey", "c_mktsegment AS segment")
+    n = table(spark, sf_dir, "nation").selectExpr("n_nationkey", "n_regionkey", "n_name AS nation").join(table(spark, sf_dir, "region").selectExpr("r_regionkey", "r_name AS region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    rows = o.join(c.join(n, F.col("c_nationkey") == F.col("n_nationkey")), F.col("o_custkey") == F.col("c_custkey"))
+    said = lambda c, m: f"CASE WHEN k % {m} = 0 THEN 'XX' ELSE CASE k % 4 WHEN 0 THEN lower(`{c}`) WHEN 1 THEN concat(' ', replace(`{c}`, '-', ' - ')) WHEN 2 THEN concat(`{c}`, '.') ELSE `{c}` END END AS {c}_text"
+    return rows.selectExpr("k", *[said(c, m) for c, m in CODED.items()])
+
+
+#: Each coded value and the divisor of the keys whose spelling is in no table.
+CODED = {"priority": 83, "segment": 59, "nation": 53, "region": 47, "status": 43, "group": 41}

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -49,9 +51,9 @@ def round_trip_nulls(df: DataFrame, path: str) -> DataFrame:
     return null_total(df, "given").unionByName(null_total(typed, "parquet")).unionByName(null_total(plain, "csv"))
 
 
-def save_table(df: DataFrame, name: str, rules: dict[str, str], comment: str = "", path: str | None = None) -> DataFrame:
-    """Replace a managed table (external, with a path) by ``df`` once no row breaks a rule; returns the table."""
-    writer = quality.gate(df, rules).write.mode("overwrite").option("overwriteSchema", True)
+def save_table(df: DataFrame, name: str, rules: dict[str, str], comment: str = "", path: str | None = None, unique: Sequence[str] = ()) -> DataFrame:
+    """Replace a managed table (external, with a path) by ``df`` once no row breaks a rule and no key repeats; returns the table."""
+    writer = quality.gate(df, rules, unique).write.mode("overwrite").option("overwriteSchema", True)
     (writer.option("path", path) if path else writer).saveAsTable(name)
     if comment:
         quoted = comment.replace("\\", "\\\\").replace("'", "\\'")
@@ -81,9 +83,28 @@ def read_log(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def insert_absent(rows: DataFrame, path: str, keys: Sequence[str]) -> None:
-    """Add the rows whose keys the log lacks; null keys are never taken for equal."""
-    log = read_log(rows.sparkSession, path, rows.schema.simpleString()[7:-1])
-    append_log(rows.join(log.select(*keys), list(keys), "left_anti").select(*rows.columns), path)
+    """Add the rows whose keys the log lacks; null keys are equal."""
+    log = read_log(rows.sparkSession, path, rows.schema.simpleString()[7:-1]).select(*[F.col(k).alias(f"_{k}") for k in keys])
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
+    append_log(rows.join(log, same, "left_anti"), path)
+
+
+def save_reference(ref: DataFrame, key: str, path: str, name: str = "", comment: str = "") -> None:
+    """Write a reference table once its keys are found unique; with a name, list it in the catalog with a comment."""
+    quality.unique_keys(ref, key)
+    if not name:
+        return ref.write.mode("overwrite").parquet(path)
+    save_table(ref, name, {f"{key} present": f"`{key}` IS NOT NULL"}, comment, path, [key])
+
+
+def load_reference(spark: SparkSession, path: str) -> DataFrame:
+    """A reference table, all text."""
+    ref = spark.read.parquet(path)
+    return ref.select(*[F.col(c).cast("string") for c in ref.columns])
+
+
+def rows_per_file(df: DataFrame, file_col: str = "_source_file") -> DataFrame:
+    return df.groupBy(file_col).agg(F.count("*").alias("n"))
 
 
 def replace_rows(table: DataFrame, gone: Column, rows: DataFrame) -> DataFrame:

@@ -1,51 +1,82 @@
-"""Bronze, silver and quarantine as Structured Streaming over delivered CSV files, with rules and validation."""
+"""Bronze, silver, quarantine and gold over delivered CSV files, as Structured Streaming with rules and validation."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import convert, text
+from ..operators import quality
 from ..sources import tables
 
 #: What a review names a quarantined row by.
 REVIEW_KEY = ["_source_file", "id_written"]
+RESULTS = "run_id string, check_name string, value double, threshold double, status string, checked_at timestamp"
 
 
 def bronze(spark: SparkSession, landing: str, out: str, columns: list[str]) -> None:
-    """Append every new file in ``landing`` once, all text, with its file name, arrival time and any row that breaks the layout."""
+    """Append every new file in ``landing`` once, all text, with its file name, arrival time and any row that breaks the layout.
+
+    A file whose header is not exactly ``columns``, in this order, stops the update.
+    """
     schema = T.StructType([T.StructField(c, T.StringType()) for c in [*columns, "_rescued_data"]])
-    files = spark.readStream.schema(schema).option("header", True).option("escape", '"').option("columnNameOfCorruptRecord", "_rescued_data").csv(landing)
+    files = spark.readStream.schema(schema).option("header", True).option("enforceSchema", False).option("escape", '"').option("columnNameOfCorruptRecord", "_rescued_data").csv(landing)
     rows = files.withColumn("_source_file", F.col("_metadata.file_name")).withColumn("_ingested_at", F.current_timestamp())
     rows.writeStream.format("parquet").option("checkpointLocation", f"{out}/_state_bronze").trigger(availableNow=True).start(f"{out}/bronze").awaitTermination()
 
 
-def silver(spark: SparkSession, out: str, id_col: str, cleanse: Callable[[DataFrame], DataFrame], warn: dict[str, str], fail: dict[str, str]) -> None:
+def silver(spark: SparkSession, out: str, id_col: str, cleanse: Callable[[DataFrame], DataFrame], warn: dict[str, str], fail: dict[str, str], second_id: str | None = None) -> None:
     """Split bronze by the ID rule: good rows cleansed to silver, the others stripped to quarantine, rule counts by batch.
 
-    Each batch overwrites its own folder, so a batch that runs again counts once. A broken fail rule stops the stream.
+    ``cleanse`` may join static tables. Each batch is read once and overwrites its own folder, so a batch that runs
+    again counts once. A broken fail rule stops the stream before anything of its batch is written.
     """
     schema = spark.read.parquet(f"{out}/bronze").schema
     source = spark.readStream.schema(schema).parquet(f"{out}/bronze")
 
     def batch(rows: DataFrame, number: int) -> None:
         clean = text.strip_and_null(rows)
-        clean = clean.withColumn("_id_problem", convert.id_problem(F.col(id_col)))
-        broken = clean.agg(*[F.count_if(~F.expr(r)).alias(n) for n, r in fail.items()]).first() if fail else None
-        if broken and any(broken):
-            raise ValueError(f"fail rules broken: {broken.asDict()}")
-        good = cleanse(clean.where("_id_problem IS NULL"))
-        good.write.mode("overwrite").parquet(f"{out}/silver/batch={number}")
-        clean.where("_id_problem IS NOT NULL").write.mode("overwrite").parquet(f"{out}/quarantine/batch={number}")
-        counted = spark.read.parquet(f"{out}/silver/batch={number}").agg(*[F.count_if(~F.expr(r)).alias(n) for n, r in warn.items()])
-        counted.selectExpr(f"stack({len(warn)}, {', '.join(f"'{n}', `{n}`" for n in warn)}) AS (check_name, failing_records)").write.mode("overwrite").parquet(f"{out}/rules/batch={number}")
+        second = None if second_id is None else F.col(second_id)
+        clean = clean.withColumn("_id_problem", convert.id_problem(F.col(id_col), second)).persist()
+        try:
+            if fail:
+                quality.gate(clean, fail)
+            seen = Observation()
+            good = cleanse(clean.where("_id_problem IS NULL").drop("_id_problem"))
+            good.observe(seen, F.count("*").alias("_rows"), *[F.count_if(~F.expr(r)).alias(n) for n, r in warn.items()]).write.mode("overwrite").parquet(f"{out}/silver/batch={number}")
+            clean.where("_id_problem IS NOT NULL").write.mode("overwrite").parquet(f"{out}/quarantine/batch={number}")
+            found = [(n, seen.get[n], seen.get["_rows"]) for n in warn]
+            spark.createDataFrame(found, "check_name string, failing_records long, records long").coalesce(1).write.mode("overwrite").parquet(f"{out}/rules/batch={number}")
+        finally:
+            clean.unpersist()
 
     source.writeStream.foreachBatch(batch).option("checkpointLocation", f"{out}/_state_silver").trigger(availableNow=True).start().awaitTermination()
 
 
+def read(spark: SparkSession, out: str, part: str) -> DataFrame:
+    """bronze, silver, quarantine or rules without the number of the batch that wrote a row."""
+    found = spark.read.parquet(f"{out}/{part}")
+    return found.drop("batch") if part in ("silver", "quarantine", "rules") else found
+
+
+def expectation_counts(spark: SparkSession, out: str) -> DataFrame:
+    """(check_name, passed, failed) of the warn rules over all batches."""
+    by = read(spark, out, "rules").groupBy("check_name")
+    return by.agg(F.sum(F.col("records") - F.col("failing_records")).alias("passed"), F.sum("failing_records").alias("failed"))
+
+
+def gold(spark: SparkSession, out: str, views: dict[str, Callable[[DataFrame], DataFrame]], fail: dict[str, dict[str, str]] | None = None) -> None:
+    """Compute each view from silver and replace it, unless a row breaks one of the view's fail rules (name -> SQL)."""
+    rows = read(spark, out, "silver")
+    for name, view in views.items():
+        found = view(rows)
+        rules = (fail or {}).get(name)
+        (quality.gate(found, rules) if rules else found).write.mode("overwrite").parquet(f"{out}/gold/{name}")
+
+
 def full_refresh(spark: SparkSession, out: str) -> None:
     """Forget silver, quarantine and rules, so that the next ``silver`` reads all of bronze again, as after a changed crosswalk."""
     for part in ("silver", "quarantine", "rules", "_state_silver"):
@@ -60,18 +91,26 @@ def review(spark: SparkSession, out: str, rows: DataFrame) -> None:
 
 def unreviewed(spark: SparkSession, out: str, id_col: str) -> DataFrame:
     """Quarantined rows that no review names, a missing ID matched as an empty text."""
-    q = spark.read.parquet(f"{out}/quarantine").withColumn("id_written", F.coalesce(id_col, F.lit("")))
+    q = read(spark, out, "quarantine").withColumn("id_written", F.coalesce(id_col, F.lit("")))
     seen = tables.read_log(spark, f"{out}/reviews", "_source_file string, id_written string, note string").select(*REVIEW_KEY)
     return q.join(seen, REVIEW_KEY, "left_anti")
 
 
-def validate(spark: SparkSession, out: str, id_col: str, limits: dict[str, float]) -> DataFrame:
-    """(check_name, value, threshold, status): conservation, uniqueness and each rule's failing share; raises nothing."""
-    b, s, q = (spark.read.parquet(f"{out}/{x}") for x in ("bronze", "silver", "quarantine"))
-    n = s.agg(F.count("*").alias("n"), (F.count(id_col) - F.count_distinct(id_col)).alias("repeated"))
-    sizes = b.agg(F.count("*").alias("b")).crossJoin(q.agg(F.count("*").alias("q"))).crossJoin(n)  # one row each
-    fixed = sizes.selectExpr("stack(2, 'conservation', CAST(b - q - n AS DOUBLE), 0D, 'repeated ids', CAST(repeated AS DOUBLE), 0D) AS (check_name, value, threshold)")
-    rules = spark.read.parquet(f"{out}/rules").groupBy("check_name").agg(F.sum("failing_records").alias("f")).crossJoin(n)
-    limit = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in limits.items() for x in kv]), F.col("check_name")), F.lit(0.01)) if limits else F.lit(0.01)
-    rules = rules.select("check_name", (F.col("f") / F.col("n")).alias("value"), limit.alias("threshold"))
-    return fixed.unionByName(rules).withColumn("status", F.when(F.abs("value") <= F.col("threshold"), "PASS").otherwise("FAIL"))
+def validate(spark: SparkSession, out: str, id_col: str, limits: dict[str, float], run_id: str = "run", default: float = 0.01, raises: bool = True, quarantine_id: str | None = None) -> DataFrame:
+    """(run_id, check_name, value, threshold, status, checked_at): the results of this run, which are appended to ``out``/results.
+
+    No row is lost between bronze, silver and quarantine; no ID repeats; every quarantined row is reviewed; each rule's
+    failing share is within its limit. After the results are written a failure raises, unless told otherwise.
+    """
+    b, s, q = (read(spark, out, x) for x in ("bronze", "silver", "quarantine"))
+    one = s.agg(F.count("*").alias("n"), (F.count(id_col) - F.count_distinct(id_col)).alias("repeated")).first()
+    left = unreviewed(spark, out, quarantine_id or id_col).count()
+    found = [("conservation", float(b.count() - q.count() - one["n"]), 0.0), ("repeated ids", float(one["repeated"]), 0.0), ("quarantined rows reviewed", float(left), 0.0)]
+    for r in expectation_counts(spark, out).collect():
+        found.append((r["check_name"], round(r["failed"] / max(1, one["n"]), 5), limits.get(r["check_name"], default)))
+    rows = [(run_id, n, v, float(t), "PASS" if abs(v) <= t else "FAIL") for n, v, t in found]
+    results = spark.createDataFrame(rows, RESULTS.removesuffix(", checked_at timestamp")).withColumn("checked_at", F.current_timestamp())
+    tables.append_log(results, f"{out}/results")
+    if raises and (failed := [f"{n} ({v})" for _, n, v, _, status in rows if status == "FAIL"]):
+        raise AssertionError(f"{len(failed)} checks failed: {'; '.join(failed)}")
+    return tables.read_log(spark, f"{out}/results", RESULTS).where(F.col("run_id") == run_id)
