@@ -45,6 +45,19 @@ def test_phrases(spark):
     assert [r[0] for r in df.orderBy("k").select(rule).collect()] == [True, False, True, False, False, True, False, None]
 
 
+def test_lexicon_by_tokens(spark):
+    cases = {"good times here": True, "never had good conduct time, polite man": True, "isn't good": False, "lost good time": False, "goodness": False, "he is no longer polite": False, "was far from being great": False, "not in many long weeks good": True, "no issues": True, "never no issues": False, "goods came": False, "10/10": True, "": False, None: None}
+    df = spark.createDataFrame(list(enumerate(cases)), "k int, t string")
+    assert [r[0] for r in df.orderBy("k").select(search.best_rules(F.col("t"), {"goods": "good"})).collect()] == list(cases.values())
+
+
+def test_topk_orders_by_the_exact_value(spark):
+    rows = [(1, [1.0, 1e-4]), (2, [1.0, 0.0]), (3, [1.0, 0.0]), (4, [0.0, 1.0])]
+    df, q = spark.createDataFrame(rows, "id int, v array<double>"), spark.createDataFrame([([1.0, 0.0],)], "q array<double>")
+    assert [r["id"] for r in search.semantic_topk(df, q, "id", "v", 3).collect()] == [2, 3, 1]
+    assert [r["id"] for r in search.semantic_topk(df, q, "id", "v", 3, once="v").collect()] == [2, 1, 4]
+
+
 def test_few_shot_learns_a_plane(spark):
     rng = np.random.default_rng(3)
     v = rng.standard_normal((600, 8))
