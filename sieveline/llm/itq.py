@@ -1,13 +1,20 @@
 """Embedding near-duplicates by iterative quantisation.
 
 A rotation of the principal components is learned so that their signs are balanced binary codes. Codes are cut
-into substrings, one hash table each (multi-index Hamming tables): vectors that share a substring are candidates,
-candidates within a Hamming radius are compared by the cosine of the original vectors. A pair that meets in
-several tables counts in the first of them only, so links are counted in the tasks and never listed.
+into substrings, one hash table each (multi-index Hamming tables), and a vector stands in each table under its
+substring and under all that differ from it in one bit: so two vectors meet where their substrings differ in at most
+two bits, and any pair does that differs in fewer than three bits a table. Substrings grow with the logarithm of the
+rows, so a bucket does not; where few of them fit a code, more rotations give more codes.
+
+The tables hold ids and codes only. Pairs within a Hamming radius are candidates; the vectors of candidates alone are
+joined to their buckets and compared by cosine. A pair that meets in several buckets counts in one of them only, so
+links are counted in the tasks and never listed.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -17,9 +24,12 @@ from .common import Scratch, by_whole_groups, connected_components, forest, in_b
 from .vectors import common_length, matrix, unit, vector_keys
 
 COSINE = 0.93
-BITS, PIECE = 64, 8
+BITS = 64
+#: Differing bits of the first code up to which a pair is compared: 7.7 on average at the threshold, 32 for unlike vectors.
 RADIUS = 22
 SAMPLE = 20_000
+#: The chance to meet that the tables are made for, at the threshold.
+RECALL = 0.99
 
 
 def learn_rotation(x: np.ndarray, bits: int = BITS, rounds: int = 40, seed: int = 2) -> tuple[np.ndarray, np.ndarray]:
@@ -46,14 +56,28 @@ def codes(x: np.ndarray, mean: np.ndarray, projection: np.ndarray) -> np.ndarray
     return np.packbits(bits, axis=1, bitorder="little").view("<u8").reshape(-1)
 
 
+def substrings(most: int, cosine: float = COSINE) -> tuple[int, int]:
+    """(bits of a substring, rotations) for the ``most`` vectors of one label.
+
+    A bit differs with probability arccos(cosine) / pi. Rotations are added until a pair at the threshold meets with
+    probability RECALL, were substrings independent.
+    """
+    width = min(32, max(8, math.ceil(math.log2(max(2, most)))))
+    p = math.acos(cosine) / math.pi
+    miss = 1 - sum(math.comb(width, d) * p**d * (1 - p) ** (width - d) for d in range(3))
+    return width, max(1, math.ceil(math.log(1 - RECALL) / math.log(miss) / (BITS // width)))
+
+
 def linked_vectors(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str | None = "label", cosine: float = COSINE, sample: int = SAMPLE, block: int = 512) -> DataFrame:
     """(id, n_links, component_id) of each row.
 
     Vectors link when their labels are equal and not null and their cosine is at least ``cosine``. Equal vectors
     are one class, compared once. Null vectors, zero vectors, those with null or non-finite components or of an
     uncommon length, and rows with a null label or id, link with nothing: n_links is 0, the component their own
-    id. Rows that repeat an id are vectors of their own. An empty table gives an empty result.
-    The rotation is learned from about ``sample`` classes; every vector is in the tables.
+    id. Rows that repeat an id are vectors of their own. An empty table gives an empty result; other columns are not
+    looked at. The rotations are learned from about ``sample`` classes; every vector is in the tables. Pairs that meet
+    in no table are lost, so this is approximate: for all links, surely, compare each label's blocks with
+    ``every_pair`` of the nearest-neighbour module.
     """
     scratch = Scratch(rows.sparkSession, "itq")
     label = F.lit(0) if label_col is None else F.col(label_col)
@@ -61,42 +85,89 @@ def linked_vectors(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "embe
     base = scratch.write(vector_keys(base, vec_col, ["id", "label"]), "keys")
     length = common_length(base)
     usable = F.coalesce((F.length("key") == length) & F.col("label").isNotNull() & F.col("id").isNotNull(), F.lit(False))
-    classes = base.where(usable).groupBy("label", "key").agg(F.min("id").alias("id"), F.count("*").alias("n"))
-    classes = scratch.write(classes, "classes")
-    total = classes.count()
-    few = classes.where((F.xxhash64("id", F.lit(9)).cast("double") / 2.0**64) + 0.5 < min(1.0, sample / max(1, total))).select("key")
+    cls = F.xxhash64("label", "key")
+    classes = base.where(usable).groupBy("label", "key").agg(F.min("id").alias("least"), F.count("*").alias("n"))
+    classes = scratch.write(classes.select(cls.alias("cls"), F.xxhash64("label").alias("lab"), "key", "least", "n"), "classes")
+    by_label = classes.groupBy("lab").count()
+    total, most = by_label.agg(F.coalesce(F.sum("count"), F.lit(0)), F.coalesce(F.max("count"), F.lit(0))).first()
+    few = classes.where((F.xxhash64("cls", F.lit(9)).cast("double") / 2.0**64) + 0.5 < min(1.0, sample / max(1, total))).select("key")
     taken = [bytes(r["key"]) for r in few.collect()]
     if not taken:
         taken = [bytes(r["key"]) for r in classes.select("key").limit(1).collect()]
-    model = learn_rotation(unit(matrix(taken))) if taken else (np.zeros(1), np.zeros((1, BITS)))
-    shared = rows.sparkSession.sparkContext.broadcast(model)
-
-    def encode(batches):
-        for b in batches:
-            if len(b):
-                c = codes(unit(matrix(b.column(2).to_pylist())), *shared.value)
-                yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(4)), pa.array(c.view(np.int64))], names=["id", "label", "key", "n", "code"])
-
-    coded = classes.select("id", "label", "key", "n").mapInArrow(encode, "id long, label string, key binary, n long, code long")
-    tables = F.array(*[F.struct(F.lit(k).alias("t"), F.shiftrightunsigned("code", k * PIECE).bitwiseAND(F.lit((1 << PIECE) - 1)).alias("piece")) for k in range(BITS // PIECE)])
-    coded = scratch.write(coded, "codes")
-    dealt = coded.withColumn("x", F.explode(tables)).select(F.xxhash64("label", "x.t", "x.piece").alias("bucket"), "x.t", "id", "n", "code", "key")
+    width, turns = substrings(most, cosine)
+    per = BITS // width
+    low = np.uint64((1 << width) - 1)
+    models = [learn_rotation(unit(matrix(taken)), seed=2 + k) if taken else (np.zeros(1), np.zeros((1, BITS))) for k in range(turns)]
+    shared = rows.sparkSession.sparkContext.broadcast(models)
+
+    def coded(keys: list[bytes]) -> np.ndarray:
+        """Codes (vectors, rotations)."""
+        v = unit(matrix(keys))
+        return np.stack([codes(v, *m) for m in shared.value], axis=1)
+
+    def pieces(c: np.ndarray) -> np.ndarray:
+        """Substrings (..., tables) of codes (..., rotations)."""
+        shifts = np.arange(per, dtype=np.uint64) * np.uint64(width)
+        return (c[..., None] >> shifts & low).reshape(*c.shape[:-1], turns * per)
+
+    def spread(batches):
+        flips = np.concatenate([[0], 1 << np.arange(width)]).astype(np.uint64)
+        for b in (x.slice(at, 2000) for x in batches for at in range(0, len(x), 2000)):
+            c = coded(b.column(2).to_pylist())
+            key = (pieces(c)[..., None] ^ flips).reshape(len(b), -1)  # a row for each table and flip
+            table = np.repeat(np.arange(turns * per), len(flips))
+            many = np.repeat(np.arange(len(b)), key.shape[1])
+            parts = {"id": b.column(0).to_numpy()[many], "lab": b.column(1).to_numpy()[many], "slot": (key | table.astype(np.uint64) << np.uint64(32)).reshape(-1).view(np.int64)}
+            yield pa.RecordBatch.from_pydict(parts | {f"c{k}": c[many, k].view(np.int64) for k in range(turns)})
+
+    names = [f"c{k}" for k in range(turns)]
+    kinds = ", ".join(f"{c} long" for c in ["lab", "slot", *names])
+    dealt = classes.select(F.col("cls").alias("id"), "lab", "key").mapInArrow(spread, f"id long, {kinds}").withColumn("bucket", F.xxhash64("lab", "slot"))
+
+    def here(c: np.ndarray, a: np.ndarray, b: np.ndarray, slot: np.ndarray, lab: np.ndarray) -> np.ndarray:
+        """Whether this bucket is the one in which the pair a, b counts: the first table, there the least substring they share."""
+        x, y = pieces(c[a]), pieces(c[b])
+        near = np.bitwise_count(x ^ y) <= 2
+        first = np.argmax(near, axis=1)
+        at = np.arange(len(a))
+        x, y = x[at, first], y[at, first]
+        both = np.minimum(x, y)
+        odd = x ^ y
+        # two bits apart, they share the two substrings between them: with either bit where one of them has both bits, else with both or none
+        two, alone = np.bitwise_count(odd) == 2, odd & (~odd + np.uint64(1))
+        both = np.where(two, (x & ~odd) | np.where(np.bitwise_count(x & odd) == 1, np.uint64(0), alone), both)
+        return near[at, first] & (both | first.astype(np.uint64) << np.uint64(32) == slot[a]) & (slot[a] == slot[b]) & (lab[a] == lab[b])
+
+    def columns(t: pa.Table):
+        return np.stack([t[k].to_numpy().view(np.uint64) for k in names], axis=1), t["slot"].to_numpy().view(np.uint64), t["lab"].to_numpy()
+
+    def candidates(t: pa.Table, g: np.ndarray) -> pa.Table | None:
+        (c, slot, lab), (own, i, j) = columns(t), (t[k].to_numpy() for k in ("own", "i", "j"))
+        found = [np.empty(0, np.int64)]
+        for a, b in pairs_in_groups(g, own, i, j):
+            near = np.bitwise_count(c[a, 0] ^ c[b, 0]) <= RADIUS
+            a, b = a[near], b[near]
+            ok = here(c, a, b, slot, lab)
+            found += [a[ok], b[ok]]
+        at = np.unique(np.concatenate(found))
+        return t.take(pa.array(at)) if len(at) else None
+
+    cols = ["bucket", "i", "j", "own", "id", "lab", "slot", *names]
+    near = in_blocks(dealt, scratch, "tables", block).select(*cols)
+    near = near.mapInArrow(lambda it: by_whole_groups(it, ["bucket", "i", "j"], candidates, 8192), f"bucket long, i int, j int, own int, id long, {kinds}")
+    near = scratch.write(near, "near")
 
     def work(t: pa.Table, g: np.ndarray) -> pa.Table | None:
-        code, table, n, ids = t["code"].to_numpy().view(np.uint64), t["t"].to_numpy(), t["n"].to_numpy(), t["id"].to_numpy()
-        own, i, j = (t[c].to_numpy() for c in ("own", "i", "j"))
+        (c, slot, lab), (own, i, j, n, ids) = columns(t), (t[k].to_numpy() for k in ("own", "i", "j", "n", "id"))
         v, links, found = unit(matrix(t["key"].to_pylist())), np.zeros(len(t), np.int64), []
-        for a, b in pairs_in_groups(g, own, i, j):
-            x = code[a] ^ code[b]
-            near = np.bitwise_count(x) <= RADIUS
-            a, b, x = a[near], b[near], x[near]
-            if not len(a):
-                continue
-            pieces = x[:, None] >> (np.arange(BITS // PIECE, dtype=np.uint64) * np.uint64(PIECE)) & np.uint64((1 << PIECE) - 1)
-            first = np.argmax(pieces == 0, axis=1) == table[a]  # also false where a bucket's hash mixed two tables
-            a, b = a[first], b[first]
-            close = np.einsum("ij,ij->i", v[a], v[b]) >= cosine
-            a, b = a[close], b[close]
+        edges = np.append(np.flatnonzero(np.diff(g, prepend=g[0] - 1)), len(g)).tolist()
+        for s, e in zip(edges[:-1], edges[1:]):
+            a, b = (x + s for x in np.nonzero(np.triu(v[s:e] @ v[s:e].T >= cosine, 1)))
+            ok = (i[s] == j[s]) | (own[a] != own[b])
+            ok &= np.bitwise_count(c[a, 0] ^ c[b, 0]) <= RADIUS
+            a, b = a[ok], b[ok]
+            ok = here(c, a, b, slot, lab)
+            a, b = a[ok], b[ok]
             np.add.at(links, a, n[b])
             np.add.at(links, b, n[a])
             found.append((a, b))
@@ -106,15 +177,17 @@ def linked_vectors(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "embe
         at = np.flatnonzero(links)
         return pa.table({"a": ids[at], "b": ids[root[at]], "links": links[at]})
 
-    found = in_blocks(dealt, scratch, "tables", block).select("bucket", "i", "j", "own", "t", "id", "n", "code", "key")
-    found = found.mapInArrow(lambda it: by_whole_groups(it, ["bucket", "i", "j"], work, 8192), "a long, b long, links long")
+    met = near.join(classes.select(F.col("cls").alias("id"), "key", "n"), "id").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").select(*cols, "n", "key")
+    found = met.mapInArrow(lambda it: by_whole_groups(it, ["bucket", "i", "j"], work, 4096), "a long, b long, links long")
     found = scratch.write(found, "links")
     roots = scratch.write(connected_components(found.select("a", "b"), scratch), "roots")
-    links = found.groupBy(F.col("a").alias("id")).agg(F.sum("links").alias("links"))
-    known = classes.join(links, "id", "left").join(roots.withColumnRenamed("node", "id"), "id", "left")
-    known = known.select("label", "key", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("root", "id").alias("component_id"))
-    known = scratch.write(known, "known")
-    joined = base.where(usable).join(known, ["label", "key"]).select("id", "n_links", "component_id")
+    links = found.groupBy(F.col("a").alias("cls")).agg(F.sum("links").alias("links"))
+    known = classes.select("cls", "least", "n").join(links, "cls", "left").join(roots.withColumnRenamed("node", "cls"), "cls", "left")
+    known = scratch.write(known.withColumn("root", F.coalesce("root", "cls")), "known")
+    least = scratch.write(known.groupBy("root").agg(F.min("least").alias("component_id")), "least")
+    known = known.join(least, "root").select("cls", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), "component_id")
+    known = scratch.write(known, "members")
+    joined = base.where(usable).withColumn("cls", cls).join(known, "cls").select("id", "n_links", "component_id")
     return joined.unionByName(base.where(~usable).select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id")))
 
 
