@@ -36,7 +36,6 @@ def lexicon(
     in the windows of others. Of a phrase, the first occurrence outside the excluded phrases counts; the words before
     it are split at white space.
     """
-    t = tokens(c)
     bare = F.lower(c)
     for p in exclude_phrases:
         bare = F.regexp_replace(bare, rf"\b{re.escape(p)}\b", " ")
@@ -50,7 +49,7 @@ def lexicon(
 
     negates = bool(window and (negators or negating_phrases))
 
-    def hit(w: Column, i: Column) -> Column:
+    def hit(t: Column, w: Column, i: Column) -> Column:
         ok = lemma(w).isin(*words)
         if exclude:
             ok = ok & ~w.isin(*exclude)
@@ -61,14 +60,17 @@ def lexicon(
             ok = ok & ~denied(F.slice(t, start + 1, i - start))
         return F.struct(ok.alias("ok"))
 
-    found = [F.exists(F.transform(t, hit), lambda x: x["ok"])] if words else []
-    for p in phrases:
-        ok = F.contains(bare, F.lit(p))
+    def said(text: Column, p: str) -> Column:
+        ok = F.contains(text, F.lit(p))
         if negates:
-            before = F.filter(F.split(F.substring_index(bare, p, 1), r"\s+"), lambda w: w != "")
-            n = F.least(F.size(before), F.lit(window))
-            ok = ok & ~denied(F.slice(before, F.greatest(F.size(before) - window, F.lit(0)) + 1, n))
-        found.append(ok)
+            before = F.filter(F.split(F.substring_index(text, p, 1), r"\s+"), lambda w: w != "")
+            ok = ok & F.exists(F.array(before), lambda b: ~denied(F.slice(b, F.greatest(F.size(b) - window, F.lit(0)) + 1, F.least(F.size(b), F.lit(window)))))
+        return ok
+
+    # tokens and text are bound once, as the variable of a function over an array of one
+    found = [F.exists(F.array(tokens(c)), lambda t: F.exists(F.transform(t, lambda w, i: hit(t, w, i)), lambda x: x["ok"]))] if words else []
+    if phrases:
+        found.append(F.exists(F.array(bare), lambda text: reduce(or_, [said(text, p) for p in phrases])))
     return reduce(or_, found, F.when(c.isNotNull(), False))
 
 
