@@ -2,7 +2,9 @@
 
 The gear hash of a place depends on the 16 bytes before it, so the same passage is cut alike wherever it stands
 and an insertion moves only the cuts next to it. Chunks with equal 128-bit digests are copies; the first one by
-(id, place) stays, adjoining copies in a text are joined to spans, and spans of at least ``min_bytes`` are repeats.
+(id, place) stays. Where the bytes before or after a copy are those around the first one, the copy grows by them in
+steps, told by hashes that each chunk carries of its surroundings; adjoining copies in a text are joined to spans, and
+spans of at least ``min_bytes`` are repeats.
 """
 
 from __future__ import annotations
@@ -12,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch
@@ -21,6 +23,9 @@ MASK_BITS = 5
 MIN_CHUNK = 12
 MAX_CHUNK = 160
 MIN_BYTES = 120
+#: Bytes of a step and steps by which a span may grow beyond its chunks at each end.
+STEP = 24
+STEPS = 4
 
 
 def gear(seed: int = 3) -> np.ndarray:
@@ -29,6 +34,7 @@ def gear(seed: int = 3) -> np.ndarray:
 
 
 _GEAR = gear()
+_WIDE = np.random.default_rng(5).integers(0, 1 << 32, 256).astype(np.uint32)
 
 
 def cuts(data: bytes, mask_bits: int = MASK_BITS, least: int = MIN_CHUNK, most: int = MAX_CHUNK) -> np.ndarray:
@@ -59,20 +65,49 @@ def cuts(data: bytes, mask_bits: int = MASK_BITS, least: int = MIN_CHUNK, most:
     return edges[1:]
 
 
+def step_hashes(data: np.ndarray) -> np.ndarray:
+    """A hash, 1 to 65,535, of the STEP bytes that end at each place of ``data`` (0 to its length); 0 where there are fewer."""
+    out = np.zeros(len(data) + 1, np.uint16)
+    power = lambda n: np.uint32(pow(0x9E3779B1, n, 1 << 32))
+    for at in range(STEP, len(data) + 1, 1 << 22):
+        h = _WIDE[data[at - STEP : at + (1 << 22) - 1]]
+        n = len(h) - STEP + 1
+        # one, two, four and eight bytes that end at a place, then eight at a time
+        for k in (1, 2, 4):
+            h = h[k:] + h[:-k] * power(k)
+        whole = sum(h[k : k + n] * power(STEP - 8 - k) for k in range(0, STEP, 8))
+        out[at : at + n] = np.maximum(whole >> np.uint32(16), 1)
+    return out
+
+
+def around(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of the STEPS steps before each chunk's start and after its end, nearest in the lowest 16 bits."""
+    hashes = np.concatenate([np.zeros(STEP * STEPS, np.uint16), step_hashes(data), np.zeros(STEP * STEPS, np.uint16)])
+    end = ends + STEP * STEPS
+    start = np.concatenate([[STEP * STEPS], end[:-1]])
+    before, after = np.zeros(len(end), np.int64), np.zeros(len(end), np.int64)
+    for k in range(STEPS):
+        before |= hashes[start - k * STEP].astype(np.int64) << np.int64(16 * k)
+        after |= hashes[end + (k + 1) * STEP].astype(np.int64) << np.int64(16 * k)
+    return before, after
+
+
 def chunk_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, dig, pos, len, hi, lo): byte place, length and digest of each chunk of the UTF-8 text; dig is the text's."""
+    """(id, dig, pos, len, hi, lo, before, after): byte place, length, digest and surroundings of each chunk of the UTF-8
+    text; dig is the text's."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh3_128_digest
         for batch in batches:
             for at in range(0, len(batch), 1000):
                 b = batch.slice(at, 1000)
-                ends, counts, hashes = [], [], []
+                ends, counts, hashes, sides = [], [], [], []
                 for t in b.column(2).to_pylist():
                     data = (t or "").encode("utf-8", "surrogatepass")
                     e = cuts(data)
                     ends.append(e)
                     counts.append(len(e))
+                    sides.append(around(np.frombuffer(data, np.uint8), e))
                     s = 0
                     for x in e.tolist():
                         hashes.append(digest(data[s:x]))
@@ -83,37 +118,57 @@ def chunk_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 start = np.concatenate([np.concatenate([[0], e[:-1]]) for e in ends if len(e)])
                 d = np.frombuffer(b"".join(hashes), ">i8").astype(np.int64).reshape(-1, 2)
                 rows = pa.array(np.repeat(np.arange(len(b)), counts))
-                yield pa.RecordBatch.from_arrays([b.column(0).take(rows), b.column(1).take(rows), pa.array(start.astype(np.int32)), pa.array((end - start).astype(np.int32)), pa.array(np.ascontiguousarray(d[:, 0])), pa.array(np.ascontiguousarray(d[:, 1]))], names=["id", "dig", "pos", "len", "hi", "lo"])
+                before, after = (np.concatenate(x) for x in zip(*sides))
+                values = [start.astype(np.int32), (end - start).astype(np.int32), np.ascontiguousarray(d[:, 0]), np.ascontiguousarray(d[:, 1]), before, after]
+                yield pa.RecordBatch.from_arrays([b.column(0).take(rows), b.column(1).take(rows), *map(pa.array, values)], names=["id", "dig", "pos", "len", "hi", "lo", "before", "after"])
 
     text = F.col(text_col).cast("string")
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("dig"), text.alias("text")).mapInArrow(run, "id long, dig long, pos int, len int, hi long, lo long")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("dig"), text.alias("text")).mapInArrow(run, "id long, dig long, pos int, len int, hi long, lo long, before long, after long")
+
+
+def _same(own: Column, other: Column) -> Column:
+    """Bytes of the steps, nearest first, whose hashes are the same."""
+    steps = [F.shiftrightunsigned(own, 16 * k).bitwiseAND(F.lit(0xFFFF)) for k in range(STEPS)]
+    others = [F.shiftrightunsigned(other, 16 * k).bitwiseAND(F.lit(0xFFFF)) for k in range(STEPS)]
+    differs = [F.when((a != b) | (a == 0), k * STEP) for k, (a, b) in enumerate(zip(steps, others))]
+    return F.coalesce(*differs, F.lit(STEPS * STEP))
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_bytes: int = MIN_BYTES) -> DataFrame:
     """(id, start, n_bytes, n_chunks, first_id, first_start): each span of a text that stands earlier, too.
 
     ``start`` and ``n_bytes`` are byte places in the UTF-8 text; (first_id, first_start) is where the span's first
-    chunk stands first, by id and place. The first copy itself is no repeat. Null and empty texts and texts
+    bytes stand first, by id and place. The first copy itself is no repeat. A span's ends are short of the true ones by
+    less than a step, or by more where over STEPS steps lie between the true end and the nearest cut; a step of other
+    bytes passes with a chance of 1 in 65,536. Spans of a text do not overlap. Null and empty texts and texts
     without a repeat give no row; rows with a null id come first in order, rows of one id by a digest of their text;
     a row that repeats both an id and its text gives no span of its own. An empty table gives no rows.
     """
     scratch = Scratch(docs.sparkSession, "substrings")
     chunks = scratch.write(chunk_table(docs, id_col, text_col), "chunks")
-    groups = chunks.groupBy("hi", "lo").agg(F.count("*").alias("n"), F.min(F.struct("id", "dig", "pos")).alias("first"))
-    groups = scratch.write(groups.where("n > 1").select("hi", "lo", F.col("first.id").alias("first_id"), F.col("first.dig").alias("first_dig"), F.col("first.pos").alias("first_start")), "groups")
-    copies = chunks.join(groups, ["hi", "lo"]).where(~(F.col("id").eqNullSafe(F.col("first_id")) & (F.col("dig") == F.col("first_dig")) & (F.col("pos") == F.col("first_start"))))
-    copies = copies.select("id", "dig", "pos", "len", "first_id", "first_start").dropDuplicates(["id", "dig", "pos"])
+    groups = chunks.groupBy("hi", "lo").agg(F.count("*").alias("n"), F.min(F.struct("id", "dig", "pos", "before", "after")).alias("first"))
+    groups = scratch.write(groups.where("n > 1").select("hi", "lo", *[F.col(f"first.{c}").alias(f"first_{c}") for c in ("id", "dig", "pos", "before", "after")]), "groups")
+    same_text = F.col("id").eqNullSafe(F.col("first_id")) & (F.col("dig") == F.col("first_dig"))
+    copies = chunks.join(groups, ["hi", "lo"]).where(~(same_text & (F.col("pos") == F.col("first_pos"))))
+    # within one text, a copy does not grow over the first one
+    room = F.when(same_text, F.greatest(F.col("pos") - F.col("first_pos") - F.col("len"), F.lit(0)))
+    copies = copies.select("id", "dig", "pos", (F.col("pos") + F.col("len")).alias("end"), "first_id", "first_pos", F.least(_same(F.col("before"), F.col("first_before")), room).alias("left"), _same(F.col("after"), F.col("first_after")).alias("right"))
+    copies = copies.dropDuplicates(["id", "dig", "pos"])
     by_place = Window.partitionBy("id", "dig").orderBy("pos")
-    new = F.coalesce((F.lag(F.col("pos") + F.col("len")).over(by_place) != F.col("pos")).cast("int"), F.lit(1))
+    copies = copies.withColumn("right", F.least("right", F.lead("pos").over(by_place) - F.col("end")))
+    before = F.lag(F.col("end") + F.col("right")).over(by_place)
+    copies = copies.withColumn("before", before).withColumn("left", F.least("left", F.col("pos") - F.col("before")))
+    new = F.coalesce((F.col("before") != F.col("pos") - F.col("left")).cast("int"), F.lit(1))
     run = copies.withColumn("new", new).withColumn("run", F.sum("new").over(by_place))
     spans = run.groupBy("id", "dig", "run").agg(
-        F.min("pos").alias("start"),
-        F.sum("len").alias("n_bytes"),
+        F.min(F.col("pos") - F.col("left")).alias("start"),
+        F.max(F.col("end") + F.col("right")).alias("end"),
         F.count("*").alias("n_chunks"),
         F.min_by("first_id", "pos").alias("first_id"),
-        F.min_by("first_start", "pos").alias("first_start"),
+        F.min_by(F.col("first_pos") - F.col("left"), "pos").alias("first_start"),
     )
-    return spans.where(F.col("n_bytes") >= min_bytes).drop("dig", "run")
+    spans = spans.select("id", "start", (F.col("end") - F.col("start")).cast("long").alias("n_bytes"), "n_chunks", "first_id", "first_start")
+    return spans.where(F.col("n_bytes") >= min_bytes)
 
 
 def op1_substring_dedup(spark, sf_dir: str) -> DataFrame:

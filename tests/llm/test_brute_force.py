@@ -30,25 +30,37 @@ def documents(spark, rows):
 
 
 def plain_spans(rows, least):
-    chunks = []
-    for i, t in rows:
-        data, s = (t or "").encode(), 0
+    """Copies of chunks, grown step by step on the bytes themselves."""
+    texts, chunks = {i: (t or "").encode() for i, t in rows}, []
+    for i, data in texts.items():
+        s = 0
         for e in substrings.cuts(data).tolist():
-            chunks.append((i, s, e - s, hashlib.md5(data[s:e]).digest()))
+            chunks.append((i, s, e, data[s:e]))
             s = e
     first = {}
     for i, s, _, d in sorted(chunks):
         first.setdefault(d, (i, s))
-    out, run = [], None
-    for i, s, n, d in sorted(chunks):
-        if first[d] == (i, s):
-            continue
-        if run and run[0] == i and run[1] + run[2] == s:
-            run[2] += n
-            run[3] += 1
+    copies = [(i, s, e, *first[d]) for i, s, e, d in sorted(chunks) if first[d] != (i, s)]
+    step, out = substrings.STEP, []
+    for n, (i, s, e, fi, fs) in enumerate(copies):
+        own, other, fe = texts[i], texts[fi], fs + e - s
+        right = left = 0
+        while right < step * substrings.STEPS and len(x := own[e + right : e + right + step]) == step and x == other[fe + right : fe + right + step]:
+            right += step
+        while left < step * substrings.STEPS and min(s, fs) >= left + step and own[s - left - step : s - left] == other[fs - left - step : fs - left]:
+            left += step
+        if n + 1 < len(copies) and copies[n + 1][0] == i:
+            right = min(right, copies[n + 1][1] - e)
+        if i == fi:
+            left = min(left, max(s - fs - (e - s), 0))
+        if out and out[-1][0] == i:
+            left = min(left, s - out[-1][2])
+        if out and out[-1][0] == i and out[-1][2] == s - left:
+            out[-1][2] = e + right
+            out[-1][3] += 1
         else:
-            out.append(run := [i, s, n, 1, *first[d]])
-    return sorted(tuple(x) for x in out if x[2] >= least)
+            out.append([i, s - left, e + right, 1, fi, fs - left])
+    return sorted((i, s, e - s, n, fi, fs) for i, s, e, n, fi, fs in out if e - s >= least)
 
 
 def test_substrings_equal_brute_force(spark):
