@@ -24,8 +24,8 @@ MIN_CHUNK = 12
 MAX_CHUNK = 160
 MIN_BYTES = 120
 #: Bytes of a step and steps by which a span may grow beyond its chunks at each end.
-STEP = 24
-STEPS = 4
+STEP = 32
+STEPS = 2
 
 
 def gear(seed: int = 3) -> np.ndarray:
@@ -80,20 +80,21 @@ def step_hashes(data: np.ndarray) -> np.ndarray:
     return out
 
 
-def around(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The hashes of the STEPS steps before each chunk's start and after its end, nearest in the lowest 16 bits."""
-    hashes = np.concatenate([np.zeros(STEP * STEPS, np.uint16), step_hashes(data), np.zeros(STEP * STEPS, np.uint16)])
+def around(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of the STEPS steps before each chunk's start and, in higher bits, of those after its end; nearest lowest."""
+    edge = np.zeros(STEP * STEPS, np.uint16)
+    hashes = np.concatenate([edge, step_hashes(data), edge])
     end = ends + STEP * STEPS
-    start = np.concatenate([[STEP * STEPS], end[:-1]])
-    before, after = np.zeros(len(end), np.int64), np.zeros(len(end), np.int64)
+    start = np.concatenate([[STEP * STEPS], end])[: len(end)]
+    sides = np.zeros(len(end), np.int64)
     for k in range(STEPS):
-        before |= hashes[start - k * STEP].astype(np.int64) << np.int64(16 * k)
-        after |= hashes[end + (k + 1) * STEP].astype(np.int64) << np.int64(16 * k)
-    return before, after
+        sides |= hashes[start - k * STEP].astype(np.int64) << np.int64(16 * k)
+        sides |= hashes[end + (k + 1) * STEP].astype(np.int64) << np.int64(16 * (STEPS + k))
+    return sides
 
 
 def chunk_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, dig, pos, len, hi, lo, before, after): byte place, length, digest and surroundings of each chunk of the UTF-8
+    """(id, dig, pos, len, hi, lo, sides): byte place, length, digest and surroundings of each chunk of the UTF-8
     text; dig is the text's."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,19 +119,17 @@ def chunk_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 start = np.concatenate([np.concatenate([[0], e[:-1]]) for e in ends if len(e)])
                 d = np.frombuffer(b"".join(hashes), ">i8").astype(np.int64).reshape(-1, 2)
                 rows = pa.array(np.repeat(np.arange(len(b)), counts))
-                before, after = (np.concatenate(x) for x in zip(*sides))
-                values = [start.astype(np.int32), (end - start).astype(np.int32), np.ascontiguousarray(d[:, 0]), np.ascontiguousarray(d[:, 1]), before, after]
-                yield pa.RecordBatch.from_arrays([b.column(0).take(rows), b.column(1).take(rows), *map(pa.array, values)], names=["id", "dig", "pos", "len", "hi", "lo", "before", "after"])
+                values = [start.astype(np.int32), (end - start).astype(np.int32), np.ascontiguousarray(d[:, 0]), np.ascontiguousarray(d[:, 1]), np.concatenate(sides)]
+                yield pa.RecordBatch.from_arrays([b.column(0).take(rows), b.column(1).take(rows), *map(pa.array, values)], names=["id", "dig", "pos", "len", "hi", "lo", "sides"])
 
     text = F.col(text_col).cast("string")
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("dig"), text.alias("text")).mapInArrow(run, "id long, dig long, pos int, len int, hi long, lo long, before long, after long")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("dig"), text.alias("text")).mapInArrow(run, "id long, dig long, pos int, len int, hi long, lo long, sides long")
 
 
-def _same(own: Column, other: Column) -> Column:
-    """Bytes of the steps, nearest first, whose hashes are the same."""
-    steps = [F.shiftrightunsigned(own, 16 * k).bitwiseAND(F.lit(0xFFFF)) for k in range(STEPS)]
-    others = [F.shiftrightunsigned(other, 16 * k).bitwiseAND(F.lit(0xFFFF)) for k in range(STEPS)]
-    differs = [F.when((a != b) | (a == 0), k * STEP) for k, (a, b) in enumerate(zip(steps, others))]
+def _same(slot: int) -> Column:
+    """Bytes of the steps from ``slot`` on, nearest first, whose hashes are those around the first copy."""
+    at = lambda c, k: F.shiftrightunsigned(c, 16 * (slot + k)).bitwiseAND(F.lit(0xFFFF))
+    differs = [F.when((at("sides", k) != at("first_sides", k)) | (at("sides", k) == 0), k * STEP) for k in range(STEPS)]
     return F.coalesce(*differs, F.lit(STEPS * STEP))
 
 
@@ -146,13 +145,15 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     scratch = Scratch(docs.sparkSession, "substrings")
     chunks = scratch.write(chunk_table(docs, id_col, text_col), "chunks")
-    groups = chunks.groupBy("hi", "lo").agg(F.count("*").alias("n"), F.min(F.struct("id", "dig", "pos", "before", "after")).alias("first"))
-    groups = scratch.write(groups.where("n > 1").select("hi", "lo", *[F.col(f"first.{c}").alias(f"first_{c}") for c in ("id", "dig", "pos", "before", "after")]), "groups")
+    groups = chunks.groupBy("hi", "lo").agg(F.count("*").alias("n"), F.min(F.struct("id", "dig", "pos")).alias("first"))
+    groups = scratch.write(groups.where("n > 1").select("hi", "lo", *[F.col(f"first.{c}").alias(f"first_{c}") for c in ("id", "dig", "pos")]), "groups")
     same_text = F.col("id").eqNullSafe(F.col("first_id")) & (F.col("dig") == F.col("first_dig"))
-    copies = chunks.join(groups, ["hi", "lo"]).where(~(same_text & (F.col("pos") == F.col("first_pos"))))
+    shared = scratch.write(chunks.join(groups, ["hi", "lo"]).withColumn("is_first", same_text & (F.col("pos") == F.col("first_pos"))), "shared")
+    firsts = shared.where("is_first").groupBy("hi", "lo").agg(F.first("sides").alias("first_sides"))
+    copies = shared.where("NOT is_first").join(firsts, ["hi", "lo"])
     # within one text, a copy does not grow over the first one
     room = F.when(same_text, F.greatest(F.col("pos") - F.col("first_pos") - F.col("len"), F.lit(0)))
-    copies = copies.select("id", "dig", "pos", (F.col("pos") + F.col("len")).alias("end"), "first_id", "first_pos", F.least(_same(F.col("before"), F.col("first_before")), room).alias("left"), _same(F.col("after"), F.col("first_after")).alias("right"))
+    copies = copies.select("id", "dig", "pos", (F.col("pos") + F.col("len")).alias("end"), "first_id", "first_pos", F.least(_same(0), room).alias("left"), _same(STEPS).alias("right"))
     copies = copies.dropDuplicates(["id", "dig", "pos"])
     by_place = Window.partitionBy("id", "dig").orderBy("pos")
     copies = copies.withColumn("right", F.least("right", F.lead("pos").over(by_place) - F.col("end")))
