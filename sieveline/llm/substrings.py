@@ -149,7 +149,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     groups = scratch.write(groups.where("n > 1").select("hi", "lo", *[F.col(f"first.{c}").alias(f"first_{c}") for c in ("id", "dig", "pos")]), "groups")
     same_text = F.col("id").eqNullSafe(F.col("first_id")) & (F.col("dig") == F.col("first_dig"))
     shared = scratch.write(chunks.join(groups, ["hi", "lo"]).withColumn("is_first", same_text & (F.col("pos") == F.col("first_pos"))), "shared")
-    firsts = shared.where("is_first").groupBy("hi", "lo").agg(F.first("sides").alias("first_sides"))
+    # written, so that the join reads both sides from shuffles and Spark can split a chunk of very many copies
+    firsts = scratch.write(shared.where("is_first").groupBy("hi", "lo").agg(F.first("sides").alias("first_sides")), "firsts")
     copies = shared.where("NOT is_first").join(firsts, ["hi", "lo"])
     # within one text, a copy does not grow over the first one
     room = F.when(same_text, F.greatest(F.col("pos") - F.col("first_pos") - F.col("len"), F.lit(0)))
