@@ -16,7 +16,7 @@ from .common import Scratch, free_names
 
 RATIO = 0.2
 MIN_PAGES = 3
-#: The pipeline's stage: a line goes by either rule of (share of the source's different texts, least number of them).
+#: op5 and the pipeline's stage: a line goes by either rule of (share of the host's different pages, least number of them).
 STAGE_RULES = ((RATIO, MIN_PAGES), (0.01, 10))
 
 _HOST = r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/:?#]+)"
@@ -81,23 +81,26 @@ def drop_boilerplate(rows: DataFrame, host: Column, text: Column, ratio: float =
 
 def op5_line_dedup(spark, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
-    found = drop_boilerplate(pages, host_of(F.col("url")), visible_lines(F.col("html")))
+    found = drop_boilerplate(pages, host_of(F.col("url")), visible_lines(F.col("html")), *STAGE_RULES[0], more_rules=STAGE_RULES[1:], copies_once=True)
     return found.select("page_id", "host", "n_lines", "n_dropped", "text")
 
 
+_OVER = " OR ".join(f"(c.n >= {least} AND c.n > t.pages * CAST({share} AS DOUBLE))" for share, least in STAGE_RULES)
+
 OP5_SQL = f"""
 WITH p AS (
-  SELECT row_number() OVER () AS rid, page_id,
+  SELECT page_id,
          coalesce(lower(regexp_extract(url, '{_HOST}', 1)), '') AS host,
          string_split(regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '{_UNSEEN}', chr(10), 'g'),
            '{_BREAKS}', chr(10), 'g'), '{_TAGS}', '', 'g'), chr(10)) AS parts
   FROM pages),
-l AS (SELECT rid, page_id, host, list_filter(list_transform(parts, lambda x: trim(x)), lambda x: x <> '') AS lines FROM p),
-u AS (SELECT host, rid, unnest(list_distinct(lines)) AS line FROM l),
+l AS (SELECT page_id, host, list_filter(list_transform(parts, lambda x: trim(x)), lambda x: x <> '') AS lines FROM p),
+d AS (SELECT DISTINCT host, lines FROM l),
+u AS (SELECT host, unnest(list_distinct(lines)) AS line FROM d),
 c AS (SELECT host, line, count(*) AS n FROM u GROUP BY host, line),
-t AS (SELECT host, count(*) AS pages FROM l GROUP BY host),
+t AS (SELECT host, count(*) AS pages FROM d GROUP BY host),
 b AS (SELECT c.host, list(c.line) AS common FROM c JOIN t ON c.host = t.host
-      WHERE c.n >= {MIN_PAGES} AND c.n > t.pages * CAST({RATIO} AS DOUBLE) GROUP BY c.host),
+      WHERE {_OVER} GROUP BY c.host),
 k AS (SELECT l.page_id, l.host, l.lines,
       CASE WHEN b.common IS NULL THEN l.lines ELSE list_filter(l.lines, lambda x: NOT list_contains(b.common, x)) END AS kept
       FROM l LEFT JOIN b ON l.host = b.host)

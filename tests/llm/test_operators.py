@@ -3,6 +3,7 @@
 import random
 import zlib
 
+import duckdb
 import numpy as np
 import pytest
 import xxhash
@@ -219,6 +220,21 @@ def test_stage_drops_repeated_lines_of_large_sources(spark):
     assert got == {k: t.replace("planted\n", "") for k, t, _ in rows}
 
 
+def test_op5_on_a_large_host_with_many_copies(spark, tmp_path):
+    page = lambda k: "<p>copied</p><p>alike</p>" if k % 3 == 0 else f"<p>own {k}</p>" + ("<p>planted</p>" if k % 20 == 1 else "") + ("<p>few</p>" if k < 5 else "") + f"<p>end {k}</p>"
+    rows = [(k, f"http://Big.example/{k}", page(k)) for k in range(600)] + [(601, None, None), (None, "no url", ""), (602, "http://small.example", page(0)), (602, "http://small.example", page(0))]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = lines.op5_line_dedup(spark, str(tmp_path))
+    names = sorted(got.columns)
+    found = {r["page_id"]: r["text"] for r in got.collect()}
+    assert found[0] == "copied\nalike" and found[1] == "own 1\nfew\nend 1" and found[602] == "copied\nalike" and found[601] == ""
+    assert all("planted" not in t for t in found.values()) and found[4] == "own 4\nfew\nend 4"
+    c = duckdb.connect()
+    c.execute(f"create view pages as select * from read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    want = c.execute(f"select {', '.join(names)} from ({lines.OP5_SQL})").fetchall()
+    assert sorted(map(str, map(tuple, got.select(*names).collect()))) == sorted(map(str, want)) and len(want) == len(rows)
+
+
 def test_stage_counts_copies_of_a_text_once(spark):
     rows = [(k, "copied\nalike" if k % 3 == 0 else f"own {k}\nmenu", "h") for k in range(60)] + [(k, "copied\nalike", "small") for k in range(100, 103)]
     got = {x["doc_id"]: x["text"] for x in corpus_pipeline.line_dedup(spark, docs(spark, rows), "").collect()}
