@@ -12,6 +12,7 @@ from .rans import op7_token_store
 from .simhash import op3_simhash_near_dedup
 from .substrings import op1_substring_dedup
 from .toxicity import op4_toxicity
+from .wumanber import OP11_SQL, op11_benchmark_decontamination
 
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_nearest_neighbours": op8_nearest_neighbours,
     "op9_mix_sources": op9_mix_sources,
     "op10_language_id": op10_language_id,
+    "op11_benchmark_decontamination": op11_benchmark_decontamination,
 }
 
-ORACLE_SQL = {"op5_line_dedup": OP5_SQL}
+ORACLE_SQL = {"op5_line_dedup": OP5_SQL, "op11_benchmark_decontamination": OP11_SQL}
