@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..functions import convert, dates, text
+from ..sources.shared import folder
 from .messy import messy_orders
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
 AS_OF = "2026-01-01"
+__all__ = ["AS_OF", "ORACLE_SQL", "QUERIES", "TEXTS", "folder", "query", "typed"]
 
 _K = "(o_orderkey + 1)"
 _ID = f"CASE WHEN {_K} % 97 = 0 OR {_K} % 89 = 0 THEN NULL ELSE {_K} END"
@@ -56,13 +54,3 @@ def typed(raw):
 def _clean(spark, sf_dir):
     """Messy orders, stripped and typed."""
     return typed(text.strip_and_null(messy_orders(spark, sf_dir)))
-
-
-def folder(spark) -> str:
-    """A new folder that driver and executors share."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="sieveline-")
-    return f"{root}/{uuid.uuid4().hex}"

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from ..functions import convert, text
 from ..operators import quality
 from ..sources import tables
-from ..streaming import pipeline
-from .base import _DATE, _FLAG, _K, _MONEY, _POINTS, _PRIORITY, _TIME, TEXTS, folder, query, typed
+from ..streaming import commits, events, pipeline, rescue
+from .base import _DATE, _FLAG, _K, _MONEY, _P, _POINTS, _PRIORITY, _TIME, ORACLE_SQL, TEXTS, folder, query, typed
 from .messy import messy_orders, table
 
 COLUMNS = ["k", "o_custkey", "o_orderstatus", "id_text", "person_text", *TEXTS, "priority_text", "group_text"]
@@ -42,9 +42,18 @@ def _views():
 _DONE: dict[tuple, str] = {}
 
 
+def _by_unit(rows):
+    """State of people by unit: a row for each unit and person."""
+    return rows.groupBy("priority", "o_custkey").agg(F.count("*").alias("records"), F.count_if(F.col("status") == "Confirmed").alias("confirmed"), F.count_if("flag").alias("flagged"))
+
+
+def _merge_units(state):
+    return state.groupBy("priority", "o_custkey").agg(*[F.sum(c).alias(c) for c in ("records", "confirmed", "flagged")])
+
+
 def _pipeline(spark, sf_dir) -> str:
-    """Folder of a pipeline that got two deliveries, each taken up by an update of its own; one for each session and input."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    """Folder of a pipeline that got two deliveries, each taken up by an update of its own; one for each session and state of the input's files."""
+    key = (spark.sparkContext.applicationId, sf_dir, commits.Files(spark, f"{sf_dir}/orders.parquet").state())
     if key in _DONE:
         return _DONE[key]
     out = folder(spark)
@@ -60,8 +69,10 @@ def _pipeline(spark, sf_dir) -> str:
     sent = messy_orders(spark, sf_dir).select(COLUMNS)
     for part in ("k % 3 <> 0", "k % 3 = 0"):
         sent.where(part).write.mode("append").option("header", True).option("escape", '"').csv(f"{out}/landing")
-        pipeline.bronze(spark, f"{out}/landing", out, COLUMNS)
-        pipeline.silver(spark, out, "id_text", cleanse, {n: r for n, (r, _) in RULES.items()}, {"layout": "_rescued_data IS NULL"}, "person_text")
+        with events.EventLog(spark, f"{out}/_events"):
+            pipeline.bronze(spark, f"{out}/landing", out, COLUMNS)
+            pipeline.silver(spark, out, "id_text", cleanse, {n: r for n, (r, _) in RULES.items()}, {"layout": "_rescued_data IS NULL"}, "person_text")
+        pipeline.gold_incremental(spark, out, "people_by_unit", _by_unit, _merge_units)
     pipeline.gold(spark, out, _views(), {"people_by_unit": {"people do not outnumber records": "people <= records"}})
     return _DONE.setdefault(key, out)
 
@@ -120,6 +131,37 @@ def gold_people_by_unit(spark, sf_dir):
     return _gold(spark, sf_dir, "people_by_unit")
 
 
+@query(ORACLE_SQL["gold_people_by_unit"])
+def incremental_people_by_unit(spark, sf_dir):
+    """The same view from the state that each delivery was merged into, without reading silver again."""
+    state = pipeline.gold_state(spark, _pipeline(spark, sf_dir), "people_by_unit")
+    return state.groupBy("priority").agg(F.sum("records").alias("records"), F.count("o_custkey").alias("people"), F.sum("confirmed").alias("confirmed"), F.sum("flagged").alias("flagged"))
+
+
+@query(" UNION ALL ".join(f"SELECT 'silver' AS dataset, '{n}' AS expectation, count(*) FILTER (WHERE NOT coalesce({bad}, FALSE)) AS passed, count(*) FILTER (WHERE {bad}) AS failed FROM {_GOOD} AND {_K} % 3 = 0" for n, (_, bad) in RULES.items()))
+def event_log_metrics(spark, sf_dir):
+    """What the listener wrote of the latest update, which took up the second delivery."""
+    return events.expectation_metrics(events.read_events(spark, f"{_pipeline(spark, sf_dir)}/_events"))
+
+
+_AGREED = ["k", "status", "price"]
+_DELIVERIES = {0: ["k", "status", "price"], 1: ["k", "clerk", "status", "price", "note"], 2: ["price", "k"], 3: ["price", "status", "k"]}
+
+
+@query(f"""SELECT CAST({_K} AS VARCHAR) AS k, CASE WHEN {_K} % 4 <> 2 THEN o_orderstatus END AS status, CAST({_P} AS VARCHAR) AS price,
+ CASE WHEN {_K} % 4 = 1 THEN '{{"clerk":"c' || CAST({_K} % 10 AS VARCHAR) || '"' || CASE WHEN {_K} % 5 = 0 THEN ',"note":"a \\"b\\", c"' ELSE '' END || '}}' END AS rescued FROM orders""")
+def rescued_columns(spark, sf_dir):
+    """Deliveries as agreed, with columns added, with one missing, and moved: each file read by its own header."""
+    out = folder(spark)
+    rows = table(spark, sf_dir, "orders").select((F.col("o_orderkey") + 1).alias("k"), F.col("o_orderstatus").alias("status"), F.col("o_totalprice").cast("decimal(12,2)").alias("price"))
+    rows = rows.withColumns({"clerk": F.concat(F.lit("c"), (F.col("k") % 10).cast("string")), "note": F.when(F.col("k") % 5 == 0, F.lit('a "b", c'))})
+    for part, columns in _DELIVERIES.items():
+        rows.where(F.col("k") % 4 == part).select(columns).write.mode("append").option("header", True).option("escape", '"').csv(f"{out}/landing")
+        if part in (1, 3):
+            rescue.bronze_rescued(spark, f"{out}/landing", out, _AGREED)
+    return pipeline.read(spark, out, "bronze").select(*_AGREED, F.col("_rescued_data").alias("rescued"))
+
+
 @query(" UNION ALL ".join(f"SELECT count(*) AS records, '{n}' AS check_name, count(*) FILTER (WHERE {bad}) AS failing_records, round(count(*) FILTER (WHERE {bad}) / count(*), 5) AS failing_share FROM {_GOOD}" for n, (_, bad) in RULES.items()))
 def gold_quality_summary(spark, sf_dir):
     return _gold(spark, sf_dir, "quality_summary").drop("computed_at")

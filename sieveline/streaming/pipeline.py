@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -11,6 +13,7 @@ from pyspark.sql import types as T
 from ..functions import convert, text
 from ..operators import quality
 from ..sources import tables
+from . import commits, events
 
 #: What a review names a quarantined row by.
 REVIEW_KEY = ["_source_file", "id_written"]
@@ -28,38 +31,63 @@ def bronze(spark: SparkSession, landing: str, out: str, columns: list[str]) -> N
     rows.writeStream.format("parquet").option("checkpointLocation", f"{out}/_state_bronze").trigger(availableNow=True).start(f"{out}/bronze").awaitTermination()
 
 
-def silver(spark: SparkSession, out: str, id_col: str, cleanse: Callable[[DataFrame], DataFrame], warn: dict[str, str], fail: dict[str, str], second_id: str | None = None) -> None:
+def enforced(rows: DataFrame, fail: dict[str, str]) -> DataFrame:
+    """``rows``; the first row that breaks a named SQL rule stops the job that reads it. A rule that is null holds."""
+    for name, rule in fail.items():
+        rows = rows.where(F.when(F.coalesce(F.expr(rule), F.lit(True)), F.lit(True)).otherwise(F.raise_error(F.lit(f"rule broken: {name}")).cast("boolean")))
+    return rows
+
+
+def silver(spark: SparkSession, out: str, id_col: str, cleanse: Callable[[DataFrame], DataFrame], warn: dict[str, str], fail: dict[str, str], second_id: str | None = None, files_per_batch: int = 1000) -> None:
     """Split bronze by the ID rule: good rows cleansed to silver, the others stripped to quarantine, rule counts by batch.
 
-    ``cleanse`` may join static tables. Each batch is read once and overwrites its own folder, so a batch that runs
-    again counts once. A broken fail rule stops the stream before anything of its batch is written.
+    ``cleanse`` may join static tables. A batch is written once, silver and quarantine as two parts of one folder, and
+    counts from the moment that its entry, which also holds the rules' counts, is in the commit log: ``read`` sees all
+    of a batch or nothing, and a batch that runs again after that is left as it is. A broken fail rule stops the stream
+    before anything of its batch is committed. The log and the stream's state belong together; ``full_refresh`` removes both.
+    What a batch observed also goes to listeners, as ``events.EventLog`` writes it.
     """
+    log = commits.CommitLog(spark, f"{out}/_commits")
     schema = spark.read.parquet(f"{out}/bronze").schema
-    source = spark.readStream.schema(schema).parquet(f"{out}/bronze")
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(f"{out}/bronze")
+    clean = text.strip_and_null(source)
+    clean = enforced(clean.withColumn("_id_problem", convert.id_problem(F.col(id_col), None if second_id is None else F.col(second_id))), fail)
+    counts = [F.count("*").alias(events.ROWS), *[F.count_if(~F.expr(r)).alias(n) for n, r in warn.items()]]
+    good = cleanse(clean.where("_id_problem IS NULL").drop("_id_problem")).observe(f"{events.DATASET_PREFIX}silver", *counts)
+    held = clean.where("_id_problem IS NOT NULL").select(F.struct("*").alias("_held"))
+    held = held.observe(f"{events.DATASET_PREFIX}quarantine", F.count("*").alias(events.ROWS))
+    both = good.unionByName(held, allowMissingColumns=True).withColumn("_part", F.when(F.col("_held").isNull(), "silver").otherwise("quarantine"))
+    shapes = {"silver": good.schema.json(), "quarantine": held.schema.json()}
 
     def batch(rows: DataFrame, number: int) -> None:
-        clean = text.strip_and_null(rows)
-        second = None if second_id is None else F.col(second_id)
-        clean = clean.withColumn("_id_problem", convert.id_problem(F.col(id_col), second)).persist()
-        try:
-            if fail:
-                quality.gate(clean, fail)
-            seen = Observation()
-            good = cleanse(clean.where("_id_problem IS NULL").drop("_id_problem"))
-            good.observe(seen, F.count("*").alias("_rows"), *[F.count_if(~F.expr(r)).alias(n) for n, r in warn.items()]).write.mode("overwrite").parquet(f"{out}/silver/batch={number}")
-            clean.where("_id_problem IS NOT NULL").write.mode("overwrite").parquet(f"{out}/quarantine/batch={number}")
-            found = [(n, seen.get[n], seen.get["_rows"]) for n in warn]
-            spark.createDataFrame(found, "check_name string, failing_records long, records long").coalesce(1).write.mode("overwrite").parquet(f"{out}/rules/batch={number}")
-        finally:
-            clean.unpersist()
-
-    source.writeStream.foreachBatch(batch).option("checkpointLocation", f"{out}/_state_silver").trigger(availableNow=True).start().awaitTermination()
-
-
-def read(spark: SparkSession, out: str, part: str) -> DataFrame:
-    """bronze, silver, quarantine or rules without the number of the batch that wrote a row."""
-    found = spark.read.parquet(f"{out}/{part}")
-    return found.drop("batch") if part in ("silver", "quarantine", "rules") else found
+        if log.has(number):
+            return
+        folder, seen = f"batch={number}-{uuid.uuid4().hex}", Observation()
+        is_good = F.col("_held").isNull()
+        failures = [F.count_if(is_good & ~F.expr(r)).alias(n) for n, r in warn.items()]
+        rows.observe(seen, F.count_if(is_good).alias("_good"), F.count_if(~is_good).alias("_held"), *failures).write.partitionBy("_part").parquet(f"{out}/batches/{folder}")
+        found = seen.get
+        log.commit(number, folder=folder, rows={"silver": found["_good"], "quarantine": found["_held"]}, failing={n: found[n] for n in warn}, shapes=shapes)
+
+    both.writeStream.foreachBatch(batch).option("checkpointLocation", f"{out}/_state_silver").trigger(availableNow=True).start().awaitTermination()
+
+
+_RULES = "check_name string, failing_records long, records long"
+
+
+def read(spark: SparkSession, out: str, part: str, since: int = -1) -> DataFrame:
+    """bronze, or silver, quarantine or rules (counts by batch) of the committed batches, those after ``since``."""
+    if part == "bronze":
+        return spark.read.parquet(f"{out}/bronze")
+    entries = [e for e in commits.CommitLog(spark, f"{out}/_commits").entries() if e["batch"] > since]
+    if part == "rules":
+        return spark.createDataFrame([(n, k, e["rows"]["silver"]) for e in entries for n, k in e["failing"].items()], _RULES)
+    if not entries:
+        raise FileNotFoundError(f"no committed batch in {out}")
+    shape = T.StructType.fromJson(json.loads(entries[-1]["shapes"][part]))
+    paths = [f"{out}/batches/{e['folder']}/_part={part}" for e in entries if e["rows"][part]]
+    found = spark.read.schema(shape).parquet(*paths) if paths else spark.createDataFrame([], shape)
+    return found.select("_held.*") if part == "quarantine" else found
 
 
 def expectation_counts(spark: SparkSession, out: str) -> DataFrame:
@@ -77,11 +105,38 @@ def gold(spark: SparkSession, out: str, views: dict[str, Callable[[DataFrame], D
         (quality.gate(found, rules) if rules else found).write.mode("overwrite").parquet(f"{out}/gold/{name}")
 
 
+def gold_incremental(spark: SparkSession, out: str, name: str, partial: Callable[[DataFrame], DataFrame], merge: Callable[[DataFrame], DataFrame]) -> None:
+    """Bring the state of a gold view up to the last committed batch, reading only the batches after those it has.
+
+    ``partial`` aggregates rows of silver to state rows, ``merge`` unites state rows of equal keys; so the work follows
+    the new rows and the groups, not all of silver. A count of distinct values is merged exactly where the state has a
+    row for each group and value. The new state counts once its entry is in the view's own commit log.
+    """
+    silver_entries = commits.CommitLog(spark, f"{out}/_commits").entries()
+    log = commits.CommitLog(spark, f"{out}/gold_state/{name}/_commits")
+    mine = log.entries()
+    since = mine[-1]["upto"] if mine else -1
+    if not silver_entries or silver_entries[-1]["batch"] <= since:
+        return
+    upto = silver_entries[-1]["batch"]
+    state = partial(read(spark, out, "silver", since))
+    if mine:
+        state = state.unionByName(spark.read.schema(state.schema).parquet(f"{out}/gold_state/{name}/{mine[-1]['folder']}"))
+    folder, state = f"upto={upto}-{uuid.uuid4().hex}", merge(state)
+    state.write.parquet(f"{out}/gold_state/{name}/{folder}")
+    log.commit(len(mine), folder=folder, upto=upto)
+
+
+def gold_state(spark: SparkSession, out: str, name: str) -> DataFrame:
+    """The committed state of a view."""
+    last = commits.CommitLog(spark, f"{out}/gold_state/{name}/_commits").entries()[-1]
+    return spark.read.parquet(f"{out}/gold_state/{name}/{last['folder']}")
+
+
 def full_refresh(spark: SparkSession, out: str) -> None:
     """Forget silver, quarantine and rules, so that the next ``silver`` reads all of bronze again, as after a changed crosswalk."""
-    for part in ("silver", "quarantine", "rules", "_state_silver"):
-        path = spark._jvm.org.apache.hadoop.fs.Path(f"{out}/{part}")
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    for part in ("gold_state", "_commits", "_state_silver", "batches"):
+        commits.Files(spark, f"{out}/{part}").delete()
 
 
 def review(spark: SparkSession, out: str, rows: DataFrame) -> None:

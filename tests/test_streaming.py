@@ -1,12 +1,15 @@
 """Deliveries: the second file only, a drifted header, broken rules, results that are kept, reviews of missing IDs."""
 
+import json
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
 from sieveline.functions import convert
 from sieveline.operators import govern, quality
 from sieveline.sources import tables
-from sieveline.streaming import pipeline
+from sieveline.streaming import commits, events, pipeline, rescue
 
 WARN = {"value present": "value IS NOT NULL"}
 FAIL = {"layout": "_rescued_data IS NULL"}
@@ -14,8 +17,6 @@ FAIL = {"layout": "_rescued_data IS NULL"}
 
 def deliver(spark, out, name, lines, columns=("id", "value")):
     folder = out.removeprefix("file://") + "/landing"
-    import os
-
     os.makedirs(folder, exist_ok=True)
     with open(f"{folder}/{name}.csv", "w", encoding="utf-8") as f:
         f.write("\n".join(lines) + "\n")
@@ -105,3 +106,147 @@ def test_mask_and_filter(spark):
     access = spark.createDataFrame([("me", 1), ("me", 1), ("you", 2)], "reader string, unit int")
     assert [tuple(r) for r in govern.row_filter(df, access, "u", "me").collect()] == [(1, "x")]
     assert [r[0] for r in df.select(govern.mask(F.col("v"), F.col("u") == 1)).collect()] == ["x", "RESTRICTED", "RESTRICTED"]
+
+
+def counts(spark, out):
+    return {p: pipeline.read(spark, out, p).count() for p in ("silver", "quarantine")}
+
+
+@pytest.mark.parametrize("when", ["before the write", "before the commit", "after the commit"])
+def test_killed_batch_is_seen_whole_or_not_at_all(spark, tmp_path, monkeypatch, when):
+    """A driver that dies anywhere in a batch: readers keep what was committed, the next update adds the batch once."""
+    out = f"file://{tmp_path}"
+    deliver(spark, out, "one", ["id,value", "00000001,a", ",x"])
+    to_silver(spark, out)
+    deliver(spark, out, "two", ["id,value", "00000002,b", "00000003,", "1,y"])
+    commit, broken = commits.CommitLog.commit, []
+
+    def dies(self, batch, **entry):
+        if when == "after the commit":
+            commit(self, batch, **entry)
+        broken.append(entry["folder"])
+        raise RuntimeError("killed")
+
+    with monkeypatch.context() as m:
+        if when == "before the write":
+            m.setattr(commits.CommitLog, "has", lambda *_: 1 / 0)
+        else:
+            m.setattr(commits.CommitLog, "commit", dies)
+        with pytest.raises(Exception, match="killed|division"):
+            to_silver(spark, out)
+    done = when == "after the commit"
+    assert counts(spark, out) == ({"silver": 3, "quarantine": 2} if done else {"silver": 1, "quarantine": 1})
+    assert {tuple(r) for r in pipeline.expectation_counts(spark, out).collect()} == {("value present", 2, 1) if done else ("value present", 1, 0)}
+    to_silver(spark, out)
+    assert counts(spark, out) == {"silver": 3, "quarantine": 2}
+    assert sorted(r["id"] for r in pipeline.read(spark, out, "silver").collect()) == [1, 2, 3]
+    log = commits.CommitLog(spark, f"{out}/_commits")
+    assert commits.sweep(spark, log, f"{out}/batches") == (broken if when == "before the commit" else [])
+    assert counts(spark, out) == {"silver": 3, "quarantine": 2}
+
+
+def test_commit_log(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(commits, "COMPACT", 4)
+    log = commits.CommitLog(spark, f"file://{tmp_path}/log")
+    assert log.entries() == [] and not log.has(0)
+    for k in range(11):
+        log.commit(k, folder=f"f{k}")
+    assert [e["folder"] for e in log.entries()] == [f"f{k}" for k in range(11)] and log.has(10)
+    with pytest.raises(FileExistsError):
+        log.commit(10, folder="again")
+    for k in range(8):  # the compacted file holds them
+        log.files.delete(f"{k:012d}.json")
+    assert [e["batch"] for e in log.entries()] == list(range(11))
+    assert not [n for n in log.files.names() if n.startswith(".0")]
+    log.clear()
+    assert log.entries() == []
+
+
+def test_full_refresh_and_batches_of_files(spark, tmp_path):
+    out = f"file://{tmp_path}"
+    for k in range(3):
+        deliver(spark, out, f"d{k}", ["id,value", f"0000000{k + 1},a", "x,"])
+    run = lambda n: pipeline.silver(spark, out, "id", lambda d: d.withColumn("id", convert.to_id(F.col("id"))), WARN, FAIL, files_per_batch=n)
+    run(1)
+    assert len(commits.CommitLog(spark, f"{out}/_commits").entries()) == 3 and counts(spark, out) == {"silver": 3, "quarantine": 3}
+    pipeline.full_refresh(spark, out)
+    with pytest.raises(FileNotFoundError):
+        pipeline.read(spark, out, "silver")
+    run(100)
+    assert len(commits.CommitLog(spark, f"{out}/_commits").entries()) == 1 and counts(spark, out) == {"silver": 3, "quarantine": 3}
+
+
+def put(out, name, lines):
+    folder = f"{out.removeprefix('file://')}/landing"
+    os.makedirs(folder, exist_ok=True)
+    with open(f"{folder}/{name}.csv", "w", encoding="utf-8", newline="") as f:
+        f.write("\r\n".join(lines))
+
+
+def test_rescued_columns(spark, tmp_path):
+    out = f"file://{tmp_path}"
+    put(out, "agreed", ["id,value", '00000001,"a, ""b"""', "", "00000002,"])
+    put(out, "added one", ["id,extra,value,", "3,,c,", "4,more,d,odd"])
+    rescue.bronze_rescued(spark, f"{out}/landing", out, ["id", "value"], files_per_batch=1)
+    put(out, "missing", ["﻿value", "e"])
+    put(out, "moved", ["value,id,id,Value,_line", "f,5,6,g,h", "i,7", "j,8,9,k,l,m", "value,id,id,Value,_line"])
+    put(out, "empty", [])
+    rescue.bronze_rescued(spark, f"{out}/landing", out, ["id", "value"])
+    rescue.bronze_rescued(spark, f"{out}/landing", out, ["id", "value"])  # nothing new
+    got = {(r["_source_file"].split(".")[0].replace("%20", " "), r["value"]): (r["id"], r["_rescued_data"] and json.loads(r["_rescued_data"])) for r in pipeline.read(spark, out, "bronze").collect()}
+    assert got == {
+        ("agreed", 'a, "b"'): ("00000001", None), ("agreed", None): ("00000002", None),
+        ("added one", "c"): ("3", None), ("added one", "d"): ("4", {"extra": "more", "#4": "odd"}),
+        ("missing", "e"): (None, None),
+        ("moved", "f"): ("5", {"id#3": "6", "Value": "g", "_line#5": "h"}), ("moved", "i"): ("7", {"_line": "i,7"}),
+        ("moved", "j"): ("8", {"id#3": "9", "Value": "k", "_line#5": "l", "_line": "j,8,9,k,l,m"}),
+    }
+    with pytest.raises(Exception, match="layout"):
+        to_silver(spark, out)
+    with pytest.raises(FileNotFoundError):
+        pipeline.read(spark, out, "silver")
+
+
+def test_file_that_comes_between_the_streams(spark, tmp_path, monkeypatch):
+    """Its header is not noted yet: the update stops, notes it and goes on, each row once."""
+    out, note = f"file://{tmp_path}", rescue._note_headers
+    put(out, "first", ["id,value", "1,a"])
+
+    def late(*a):
+        log = note(*a)
+        if not os.path.exists(f"{tmp_path}/landing/late.csv"):
+            put(out, "late", ["value,id", "b,2"])
+        return log
+
+    monkeypatch.setattr(rescue, "_note_headers", late)
+    rescue.bronze_rescued(spark, f"{out}/landing", out, ["id", "value"])
+    assert sorted((r["id"], r["value"]) for r in pipeline.read(spark, out, "bronze").collect()) == [("1", "a"), ("2", "b")]
+
+
+def test_events_of_updates(spark, tmp_path):
+    out = f"file://{tmp_path}"
+    for k, lines in enumerate((["00000001,a", "00000002,"], ["00000003,", "00000004,d", "00000005,e", "x,"])):
+        with events.EventLog(spark, f"{out}/_events", update_id=f"u{k}") as log:
+            deliver(spark, out, f"d{k}", ["id,value", *lines])
+            to_silver(spark, out)
+        assert log.errors == []
+    found = events.read_events(spark, f"{out}/_events")
+    got = lambda u=None: {tuple(r) for r in events.expectation_metrics(found, u).collect()}
+    assert got() == {("silver", "value present", 2, 1)} and got("u0") == {("silver", "value present", 1, 1)} and got("none") == set()
+    assert {r["event_type"] for r in found.collect()} == {"create_update", "flow_progress", "query_ended"}
+
+
+def test_gold_grows_by_deliveries(spark, tmp_path):
+    """After three deliveries, and after none and a refresh, the state's view equals a recompute of all of silver."""
+    out = f"file://{tmp_path}"
+    partial = lambda d: d.groupBy("value", "id").agg(F.count("*").alias("n"))
+    merge = lambda s: s.groupBy("value", "id").agg(F.sum("n").alias("n"))
+    for k in range(3):
+        deliver(spark, out, f"d{k}", ["id,value", *[f"{j % 7:08d},{'ab'[j % 2]}" for j in range(k, 9 + k * 5)]])
+        to_silver(spark, out)
+        for _ in range(2):
+            pipeline.gold_incremental(spark, out, "v", partial, merge)
+        view = pipeline.gold_state(spark, out, "v").groupBy("value").agg(F.sum("n").alias("records"), F.count("id").alias("people"))
+        whole = pipeline.read(spark, out, "silver").groupBy("value").agg(F.count("*").alias("records"), F.count_distinct("id").alias("people"))
+        assert sorted(map(tuple, view.collect())) == sorted(map(tuple, whole.collect()))
+    assert len(commits.CommitLog(spark, f"{out}/gold_state/v/_commits").entries()) == 3
