@@ -1,17 +1,13 @@
-"""Embeddings of texts, zero-shot and few-shot classifiers and topics, with Spark's own ML library."""
+"""Samples, similarities of vectors, zero-shot and few-shot classifiers, and examples of topics."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
-from pyspark.ml import PipelineModel
+import numpy as np
+import pandas as pd
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.clustering import LDA, LDAModel
-from pyspark.ml.feature import IDF, PCA, CountVectorizer, CountVectorizerModel, NGram, Normalizer, RegexTokenizer, StopWordsRemover
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .search import cosine
 
@@ -68,43 +64,38 @@ def few_shot(df: DataFrame, train: DataFrame, vec: str, truth: str, c: float = 1
     return out.withColumn("predicted", F.col("_predicted") == 1).withColumn("probability", vector_to_array("_p")[1]).drop("_v", "_y", "_predicted", "_p")
 
 
-def lsa(df: DataFrame, text: str, size: int = 50, vocabulary: int = 1000) -> DataFrame:
-    """``df`` with ``vector``: unit principal components of log term weights of one- and two-word terms.
-
-    Terms stand in two texts at least. The covariance of the ``vocabulary`` most frequent terms (8 bytes times its
-    square) is the only thing that the driver holds.
-    """
-    words = RegexTokenizer(inputCol="_t", outputCol="_w", pattern=r"\W+").transform(df.withColumn("_t", F.coalesce(text, F.lit(""))))
-    terms = NGram(n=2, inputCol="_w", outputCol="_two").transform(words).withColumn("_terms", F.concat("_w", "_two"))
-    counted = CountVectorizer(inputCol="_terms", outputCol="_tf", minDF=2, vocabSize=vocabulary).fit(terms)
-    damped = counted.transform(terms).withColumn("_tf", array_to_vector(F.transform(vector_to_array("_tf"), lambda x: F.when(x > 0, 1 + F.log(x)).otherwise(0.0))))
-    weigh = IDF(inputCol="_tf", outputCol="_idf").fit(damped)
-    parts = PCA(k=min(size, len(counted.vocabulary)), inputCol="_idf", outputCol="_pca").fit(weigh.transform(damped))
-    unit = Normalizer(inputCol="_pca", outputCol="_unit")
-    out = PipelineModel([weigh, parts, unit]).transform(damped)
-    return out.select(*[F.col(c) for c in df.columns], vector_to_array("_unit").alias("vector"))
+#: Vectors of which all pairs are compared at most; beyond, a search for the nearest is the way.
+MOST_ITEMS, ITEMS_A_BLOCK = 20_000, 1000
 
 
-def topics(df: DataFrame, text: str, k: int = 5, vocabulary: int = 5000, stop: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
-    """(``df`` with ``topic`` and ``weight``, words: topic, place, word, weight) of a topic model of whole texts.
+def pairwise_cosines(df: DataFrame, key: str, vec: str) -> DataFrame:
+    """(a, b, similarity) for each two rows with a <= b of a bounded set: the matrix of normalised vectors times itself.
 
-    Words stand in at least five texts and at most half of them; texts without such words have a null topic.
+    Rows are dealt into blocks, and each two blocks meet in one group, where a dense product gives their pairs; nothing is
+    joined with everything. Vectors that are null, zero or hold null or non-finite components, and rows without a key, have no pairs.
     """
-    words = RegexTokenizer(inputCol="_t", outputCol="_w", pattern=r"\W+", minTokenLength=3).transform(df.withColumn("_t", F.coalesce(text, F.lit(""))))
-    remover = StopWordsRemover(inputCol="_w", outputCol="_kept")
-    remover.setStopWords([*StopWordsRemover.loadDefaultStopWords("english"), *stop])
-    kept = remover.transform(words)
-    counted: CountVectorizerModel = CountVectorizer(inputCol="_kept", outputCol="_tf", minDF=5.0, maxDF=0.5, vocabSize=vocabulary).fit(kept)
-    tf = counted.transform(kept)
-    model: LDAModel = LDA(k=k, featuresCol="_tf", seed=7, maxIter=20, topicDistributionCol="_dist").fit(tf)
-    shares = vector_to_array("_dist")
-    known = F.size(F.filter(shares, lambda x: x > 0)) > 0
-    out = model.transform(tf).withColumn("_shares", shares).withColumn("_most", F.array_max("_shares"))
-    out = out.select(*df.columns, F.when(known, F.array_position("_shares", F.col("_most")) - 1).cast("int").alias("topic"), F.when(known, F.col("_most")).alias("weight"))
-    listed = model.describeTopics(10).select("topic", F.posexplode(F.arrays_zip("termIndices", "termWeights")).alias("place", "x"))
-    names = df.sparkSession.createDataFrame(list(enumerate(counted.vocabulary)), T.StructType([T.StructField("i", T.IntegerType()), T.StructField("word", T.StringType())]))
-    table = listed.select("topic", "place", F.col("x.termIndices").alias("i"), F.col("x.termWeights").alias("weight")).join(names, "i").select("topic", "place", "word", "weight")
-    return out, table
+    usable = F.col(vec).isNotNull() & ~F.exists(vec, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(vec, lambda x: x != 0)
+    rows = df.where(F.col(key).isNotNull() & usable).select(F.col(key).alias("key"), F.col(vec).cast("array<double>").alias("vec"))
+    n = rows.limit(MOST_ITEMS + 1).count()
+    if n > MOST_ITEMS:
+        raise ValueError(f"over {MOST_ITEMS} vectors have too many pairs to list")
+    blocks = max(1, -(-n // ITEMS_A_BLOCK))
+    dealt = rows.withColumn("own", F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("int")).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    dealt = dealt.select("key", "vec", "own", F.least("own", "k").alias("i"), F.greatest("own", "k").alias("j"))
+
+    def product(group: pd.DataFrame) -> pd.DataFrame:
+        i, j = group["i"].iloc[0], group["j"].iloc[0]
+        m = np.vstack(group["vec"].to_numpy())
+        m /= np.abs(m).max(axis=1, keepdims=True)
+        m /= np.linalg.norm(m, axis=1, keepdims=True)
+        keys, left, right = group["key"].to_numpy(), (group["own"] == i).to_numpy(), (group["own"] == j).to_numpy()
+        a, b = np.nonzero(np.triu(np.ones((left.sum(), right.sum()), bool)) if i == j else np.ones((left.sum(), right.sum()), bool))
+        s = (m[left] @ m[right].T)[a, b]
+        ka, kb = keys[left][a], keys[right][b]
+        return pd.DataFrame({"a": np.where(ka <= kb, ka, kb), "b": np.where(ka <= kb, kb, ka), "similarity": s})
+
+    kind = rows.schema["key"].dataType.simpleString()
+    return dealt.groupBy("i", "j").applyInPandas(lambda g: product(g), f"a {kind}, b {kind}, similarity double").withColumn("similarity", F.round("similarity", 6))
 
 
 def examples(df: DataFrame, topic: str, weight: str, key: str, n: int = 3) -> DataFrame:

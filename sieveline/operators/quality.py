@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import text
+
 #: A crosswalk is reference data; one of more rows than this is joined without a broadcast hint.
 BROADCAST_ROWS = 100_000
 
@@ -178,8 +180,8 @@ def whitespace(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(column_name, header_padded, padded, blank): white space around a header, at an end of texts, and texts of nothing else."""
     cells = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).alias("v")) for c in columns])
     x = df.select(F.explode(cells).alias("x")).select("x.*")
-    name = F.col("column_name")
-    return x.groupBy(F.trim(name).alias("column_name"), (name != F.trim(name)).alias("header_padded")).agg(F.count_if(F.col("v").rlike(r"(?U)^\s|\s$")).alias("padded"), F.count_if(F.col("v").rlike(r"(?U)^\s+$")).alias("blank"))
+    name, bare = F.col("column_name"), text.strip(F.col("column_name"))
+    return x.groupBy(bare.alias("column_name"), (name != bare).alias("header_padded")).agg(F.count_if(F.col("v").rlike(r"(?U)^\s|\s$")).alias("padded"), F.count_if(F.col("v").rlike(r"(?U)^\s+$")).alias("blank"))
 
 
 def expectation_metrics(log: DataFrame, details: str) -> DataFrame:

@@ -10,6 +10,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import words as english
 
 #: The vocabulary of the finished rules.
 GOOD_WORDS = ("good", "well", "great", "excellent", "outstanding", "fine", "cooperative", "respectful", "polite", "courteous", "compliant", "exemplary", "stellar", "solid", "positive", "commendable")
@@ -20,19 +21,14 @@ EXCLUDE_TOKENS = ("goods", "goodman", "goode")
 EXCLUDE_PHRASES = ("good time", "good conduct time")
 
 
-def tokens(c: Column) -> Column:
-    """Words in lower case; the n't of a word is a token of its own."""
-    parted = F.regexp_replace(F.lower(c), r"n['’]t\b", " n't")
-    return F.regexp_extract_all(parted, F.lit(r"[a-z0-9À-ÿ']+"), F.lit(0))
-
-
 def lexicon(
     c: Column, words: Sequence[str], negators: Sequence[str] = (), window: int = 0, exclude: Sequence[str] = (), lemmas: dict[str, str] | None = None,
-    phrases: Sequence[str] = (), negating_phrases: Sequence[str] = (), exclude_phrases: Sequence[str] = (),
+    phrases: Sequence[str] = (), negating_phrases: Sequence[str] = (), exclude_phrases: Sequence[str] = (), by_rule: bool = False,
 ) -> Column:
     """True where a word or a phrase is found that nothing in the window of words before it negates.
 
-    A word counts by its lemma unless it is one of ``exclude`` or an excluded phrase begins with it; skipped words stay
+    Tokens are those of ``words.tokens``, signs included, which count in the windows. A word counts by its lemma, from
+    ``lemmas`` or, with ``by_rule``, else by the rules of ``words.lemma``, unless it is one of ``exclude`` or an excluded phrase begins with it; skipped words stay
     in the windows of others. Of a phrase, the first occurrence outside the excluded phrases counts; the words before
     it are split at white space.
     """
@@ -40,7 +36,8 @@ def lexicon(
     for p in exclude_phrases:
         bare = F.regexp_replace(bare, rf"\b{re.escape(p)}\b", " ")
     table = F.create_map(*[F.lit(x) for kv in lemmas.items() for x in kv]) if lemmas else None
-    lemma = lambda w: F.coalesce(F.try_element_at(table, w), w) if lemmas else w
+    ruled = english.lemma if by_rule else lambda w: w
+    lemma = lambda w: F.coalesce(F.try_element_at(table, w), ruled(w)) if lemmas else ruled(w)
 
     def denied(before: Column) -> Column:
         found = [F.arrays_overlap(before, F.array(*[F.lit(n) for n in negators]))] if negators else []
@@ -68,15 +65,15 @@ def lexicon(
         return ok
 
     # tokens and text are bound once, as the variable of a function over an array of one
-    found = [F.exists(F.array(tokens(c)), lambda t: F.exists(F.transform(t, lambda w, i: hit(t, w, i)), lambda x: x["ok"]))] if words else []
+    found = [F.exists(F.array(english.tokens(c)), lambda t: F.exists(F.transform(t, lambda w, i: hit(t, w, i)), lambda x: x["ok"]))] if words else []
     if phrases:
         found.append(F.exists(F.array(bare), lambda text: reduce(or_, [said(text, p) for p in phrases])))
     return reduce(or_, found, F.when(c.isNotNull(), False))
 
 
 def best_rules(c: Column, lemmas: dict[str, str] | None = None) -> Column:
-    """The finished rules: the whole vocabulary, negated within three words, without the exclusions."""
-    return lexicon(c, GOOD_WORDS, NEGATORS, 3, EXCLUDE_TOKENS, lemmas, GOOD_PHRASES, NEGATING_PHRASES, EXCLUDE_PHRASES)
+    """The finished rules: the whole vocabulary by lemma, negated within three tokens, without the exclusions."""
+    return lexicon(c, GOOD_WORDS, NEGATORS, 3, EXCLUDE_TOKENS, lemmas, GOOD_PHRASES, NEGATING_PHRASES, EXCLUDE_PHRASES, by_rule=True)
 
 
 def cosine(a: Column, b: Column) -> Column:

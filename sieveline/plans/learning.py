@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import learning, search
-from .base import _K, query
+from ..functions import words
+from ..operators import factors, learning, search
+from ..sources.shared import Files
+from .base import _K, folder, query
 from .messy import messy_orders, table
 
 
@@ -22,6 +24,23 @@ def best_rules(spark, sf_dir):
     return messy_orders(spark, sf_dir).select("k", rules.alias("found"))
 
 
+_SAID = (
+    "he/he was/be very/very helpful/helpful and/and polite/polite", "not/not a/a good/good day/day", "she/she is/be n't/not good/good with/with tools/tool", "anything/anything but/but respectful/respectful",
+    "lost/lose good/good time/time credits/credit", "never/never had/have good/good conduct/conduct time/time ,/, polite/polite man/man", "good/good times/time here/here", "goods/good delivered/deliver late/late",
+    "no/no issues/issue on/on the/the wing/wing", "never/never had/have no/no issues/issue before/before", "a/a better/good worker/worker", "refused/refuse twice/twice",
+    "not/not once/once in/in all/all these/these weeks/week was/be he/he good/good",
+)
+
+_QUOTED = ", ".join("'" + said.replace("'", "''") + "'" for said in _SAID)
+
+
+@query(f"SELECT {_K} AS k, list_extract([{_QUOTED}], CAST({_K} % 13 AS INT) + 1) AS said FROM orders")
+def lemma_tokens(spark, sf_dir):
+    """Words and lemmas of each note, signs and both halves of contracted words included."""
+    pairs = F.transform(words.lemmas(F.col("conduct")), lambda t: F.concat_ws("/", t["word"], t["lemma"]))
+    return messy_orders(spark, sf_dir).select("k", F.array_join(pairs, " ").alias("said"))
+
+
 @query(f"SELECT {_K} AS k, {_K} % 10 IN (2, 7) AS plain, {_K} % 10 = 7 AS kept FROM orders")
 def phrase_search(spark, sf_dir):
     note, phrases = F.col("note"), ["very helpful", "refused to work"]
@@ -83,23 +102,66 @@ def labelled_sample(spark, sf_dir):
     return learning.sample(table(spark, sf_dir, "documents").select("doc_id").join(known, "doc_id"), "doc_id", 60)
 
 
+_MADE: dict[tuple, str] = {}
+
+
+def _documents(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", "text")
+
+
+def _made(spark, sf_dir, what, make):
+    """Tables that several queries read, made once for a session and a state of the documents: folder of name -> table."""
+    key = (spark.sparkContext.applicationId, sf_dir, what, Files(spark, f"{sf_dir}/documents.parquet").state())
+    if key not in _MADE:
+        out = folder(spark)
+        for name, df in make().items():
+            df.write.parquet(f"{out}/{name}")
+        _MADE[key] = out
+    return _MADE[key]
+
+
+def _topics(spark, sf_dir, name):
+    def make():
+        found = factors.Topics(_documents(spark, sf_dir), "text", 5)
+        return {"assigned": found.assigned().drop("text"), "words": found.words(10)}
+
+    return spark.read.parquet(f"{_made(spark, sf_dir, 'topics', make)}/{name}")
+
+
 @query()
 def lsa_vectors(spark, sf_dir):
-    return learning.lsa(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", 20).select("doc_id", "vector")
+    return factors.LatentSemantics(_documents(spark, sf_dir), "text", 20).fitted().select("doc_id", "vector")
 
 
 @query()
 def topics(spark, sf_dir):
-    found, _ = learning.topics(table(spark, sf_dir, "documents").select("doc_id", "text"), "text")
-    return found.groupBy("topic").agg(F.count("*").alias("texts"))
+    return _topics(spark, sf_dir, "assigned").groupBy("topic").agg(F.count("*").alias("texts"))
 
 
 @query()
 def topic_words(spark, sf_dir):
-    return learning.topics(table(spark, sf_dir, "documents").select("doc_id", "text"), "text")[1].select("topic", "place", "word")
+    return _topics(spark, sf_dir, "words").select("topic", "place", "word")
 
 
 @query()
 def topic_examples(spark, sf_dir):
-    found, _ = learning.topics(table(spark, sf_dir, "documents").select("doc_id", "text"), "text")
-    return learning.examples(found, "topic", "weight", "doc_id").select("topic", "place", "doc_id")
+    return learning.examples(_topics(spark, sf_dir, "assigned"), "topic", "weight", "doc_id").select("topic", "place", "doc_id")
+
+
+@query(f"""WITH x AS (SELECT label, embedding FROM embeddings WHERE vec_id IN (SELECT min(vec_id) FROM embeddings WHERE label IS NOT NULL GROUP BY label))
+ SELECT e.label AS a, x.label AS b, round({_COS}, 6) AS similarity FROM x e JOIN x ON e.label <= x.label""")
+def pairwise_cosines(spark, sf_dir):
+    """All pairs of a bounded set: the first vector of each label."""
+    e = table(spark, sf_dir, "embeddings").where("label IS NOT NULL")
+    return learning.pairwise_cosines(e.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("embedding")), "label", "embedding")
+
+
+@query("""WITH w AS (SELECT row_number() OVER () AS r, doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{M}\\p{N}_]{2,}')) AS name FROM documents),
+ c AS (SELECT r, doc_id, name, count(*) AS n FROM w GROUP BY ALL), d AS (SELECT name, count(*) AS texts FROM c GROUP BY name HAVING count(*) >= 2),
+ x AS (SELECT r, doc_id, (1 + ln(n)) * (ln((1 + (SELECT count(*) FROM documents)) / (1.0 + texts)) + 1) AS w FROM c JOIN d USING (name))
+ SELECT doc_id, count(*) AS terms, round(sum(w) / sqrt(sum(w * w)), 4) AS total FROM x GROUP BY r, doc_id""")
+def term_weights(spark, sf_dir):
+    """Weights of words in two texts at least: how many each text has, and their sum, which shows each one's weight."""
+    w = factors.Weights(_documents(spark, sf_dir), "text", least=2, log_counts=True)
+    each = w.matrix.entries.groupBy("row").agg(F.count("*").alias("terms"), F.round(F.sum("w"), 4).alias("total"))
+    return each.join(w.texts, F.col("row") == F.col("_key")).select("doc_id", "terms", "total")

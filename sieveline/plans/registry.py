@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -326,6 +328,18 @@ def masked_view(spark, sf_dir):
     return seen.select("c_custkey", "c_nationkey", govern.mask(F.col("c_name"), ~F.col("c_nationkey").isin(1, 2, 3)).alias("c_name"))
 
 
+@query("SELECT c_custkey, c_nationkey, 'RESTRICTED' AS c_name, c_name AS seen FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey = 1")
+def sql_masked_view(spark, sf_dir):
+    """The mask and the unit filter as SQL functions, used in a query that any reader can write."""
+    tag = uuid.uuid4().hex
+    _access(spark, sf_dir).createOrReplaceTempView(f"access_{tag}")
+    table(spark, sf_dir, "customer").createOrReplaceTempView(f"people_{tag}")
+    govern.create_mask(spark, f"mask_{tag}", ["auditors"])
+    govern.create_unit_filter(spark, f"units_{tag}", f"access_{tag}")
+    return spark.sql(f"""SELECT c_custkey, c_nationkey, mask_{tag}(c_name, array('clerks')) AS c_name, mask_{tag}(c_name, array('clerks', 'auditors')) AS seen
+     FROM people_{tag} WHERE c_nationkey IN (SELECT unit FROM units_{tag}('reader 1'))""")
+
+
 @query("SELECT c_custkey AS customer, 'RESTRICTED' AS name, c_mktsegment AS segment FROM customer")
 def published_view(spark, sf_dir):
     return govern.published(table(spark, sf_dir, "customer"), {"c_custkey": "customer", "c_name": "name", "c_mktsegment": "segment"}, ["c_name"])

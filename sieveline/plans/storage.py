@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import convert, dates, text
-from ..operators import quality
+from ..operators import quality, sketches
 from ..sources import tables
 from .base import _DATE, _FLAG, _ID, _K, _MONEY, _P, _POINTS, _TIME, _clean, folder, query
 from .messy import messy_orders, table
@@ -105,6 +105,41 @@ def id_lookup(spark, sf_dir):
     return tables.find_id(_clean(spark, sf_dir), "id", " 00000042 ").select("k", "o_custkey")
 
 
+@query(f"SELECT {_K} AS k, o_custkey FROM orders WHERE {_ID} = 42")
+def bucketed_lookup(spark, sf_dir):
+    """The same from a table bucketed by the ID, of which one bucket is read."""
+    name, path = f"lookup_{uuid.uuid4().hex}", folder(spark)
+    rows = tables.save_lookup(_clean(spark, sf_dir).where("id IS NOT NULL").select("id", "k", "o_custkey"), name, "id", path, 16)
+    out = folder(spark)
+    tables.find_id(rows, "id", "00000042").select("k", "o_custkey").write.parquet(out)
+    spark.sql(f"DROP TABLE {name}")
+    return spark.read.parquet(out)
+
+
+_YEARS = "year(l_shipdate) < 1999"
+_SKETCHED = ("l_quantity", "l_extendedprice", "l_partkey", "l_returnflag")
+
+
+@query(" UNION ALL ".join(f"SELECT '{c}' AS column_name, count(*) FILTER (WHERE NOT {_YEARS}) - count(*) FILTER (WHERE {_YEARS}) AS rows_change, count(*) FILTER (WHERE NOT {_YEARS} AND {c} IS NULL) - count(*) FILTER (WHERE {_YEARS} AND {c} IS NULL) AS nulls_change, TRUE AS distinct_close, {'NULL' if c == 'l_returnflag' else 'TRUE'} AS median_close FROM lineitem" for c in _SKETCHED))
+def sketch_drift(spark, sf_dir):
+    """Snapshots by year, sketched once each and merged to two periods; estimates are held against exact values."""
+    rows, out = table(spark, sf_dir, "lineitem").select("l_shipdate", *_SKETCHED), folder(spark)
+    years = [r["y"] for r in rows.select(F.year("l_shipdate").alias("y")).distinct().collect()]
+    for y in years:
+        sketches.sketch(rows.where(F.year("l_shipdate") == y), _SKETCHED).withColumn("year", F.lit(y)).write.mode("append").parquet(out)
+    stored = spark.read.parquet(out)
+    before, after = (sketches.merge(stored.where(w)) for w in ("year < 1999", "year >= 1999"))
+    drift = sketches.sketch_drift(before, after)
+    late = rows.where(f"NOT ({_YEARS})")
+    exact = [late.agg(F.lit(c).alias("column_name"), F.count_distinct(c).alias("d"), *([F.percentile(c, F.array(F.lit(0.47), F.lit(0.53))).alias("m")] if c != "l_returnflag" else [F.lit(None).cast("array<double>").alias("m")])) for c in _SKETCHED]
+    truth = exact[0]
+    for x in exact[1:]:
+        truth = truth.unionByName(x)
+    both = drift.join(sketches.estimates(after), "column_name").join(truth, "column_name")
+    close = F.abs(F.col("distinct_values") - F.col("d")) <= 0.03 * F.col("d")
+    return both.select("column_name", "rows_change", "nulls_change", close.alias("distinct_close"), F.col("median").between(F.col("m")[0], F.col("m")[1]).alias("median_close"))
+
+
 @query(f"SELECT {_K} AS k, 'first' AS note FROM orders WHERE {_K} % 5 = 0 UNION ALL SELECT {_K}, 'second' FROM orders WHERE {_K} % 10 < 5 AND {_K} % 5 <> 0")
 def review_log(spark, sf_dir):
     path, keys = folder(spark), messy_orders(spark, sf_dir).select("k")

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from ..functions import convert, text
 from ..operators import quality
 from ..sources import tables
-from ..streaming import commits, events, pipeline, rescue
+from ..sources.shared import Files
+from ..streaming import events, pipeline, rescue
 from .base import _DATE, _FLAG, _K, _MONEY, _P, _POINTS, _PRIORITY, _TIME, ORACLE_SQL, TEXTS, folder, query, typed
 from .messy import messy_orders, table
 
@@ -53,7 +54,7 @@ def _merge_units(state):
 
 def _pipeline(spark, sf_dir) -> str:
     """Folder of a pipeline that got two deliveries, each taken up by an update of its own; one for each session and state of the input's files."""
-    key = (spark.sparkContext.applicationId, sf_dir, commits.Files(spark, f"{sf_dir}/orders.parquet").state())
+    key = (spark.sparkContext.applicationId, sf_dir, Files(spark, f"{sf_dir}/orders.parquet").state())
     if key in _DONE:
         return _DONE[key]
     out = folder(spark)
@@ -144,6 +145,20 @@ def event_log_metrics(spark, sf_dir):
     return events.expectation_metrics(events.read_events(spark, f"{_pipeline(spark, sf_dir)}/_events"))
 
 
+@query(f"""WITH v AS (SELECT {_K} AS k, 1 AS delivery FROM orders WHERE {_K} % 3 <> 0 UNION ALL SELECT {_K}, 2 FROM orders WHERE {_K} % 2 = 0)
+ SELECT k, CAST(min(delivery) AS INT) AS delivery, CAST(count(*) - 1 AS BIGINT) AS repeated FROM v GROUP BY k""")
+def repeats_held(spark, sf_dir):
+    """Two deliveries that share IDs: each ID is in silver once, from its first delivery, and its repeats are in quarantine."""
+    out = folder(spark)
+    rows = table(spark, sf_dir, "orders").select(F.lpad((F.col("o_orderkey") + 1).cast("string"), 8, "0").alias("id"))
+    for n, part in ((1, "id % 3 <> 0"), (2, "id % 2 = 0")):
+        rows.where(part).withColumn("delivery", F.lit(n)).write.mode("append").option("header", True).csv(f"{out}/landing")
+        pipeline.bronze(spark, f"{out}/landing", out, ["id", "delivery"])
+        pipeline.silver(spark, out, "id", lambda d: d.withColumns({"k": convert.to_id(F.col("id")), "delivery": F.col("delivery").cast("int")}), {}, {}, repeats="30 days")
+    held = pipeline.read(spark, out, "quarantine").where("_id_problem = 'repeated'").groupBy(F.col("id").cast("long").alias("k")).agg(F.count("*").alias("repeated"))
+    return pipeline.read(spark, out, "silver").select("k", "delivery").join(held, "k", "left").na.fill(0, ["repeated"])
+
+
 _AGREED = ["k", "status", "price"]
 _DELIVERIES = {0: ["k", "status", "price"], 1: ["k", "clerk", "status", "price", "note"], 2: ["price", "k"], 3: ["price", "status", "k"]}
 

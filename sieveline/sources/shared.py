@@ -1,4 +1,4 @@
-"""Intermediate tables in the folder that driver and executors share."""
+"""Files and intermediate tables in folders that driver and executors share."""
 
 from __future__ import annotations
 
@@ -23,3 +23,48 @@ def written(df: DataFrame, path: str) -> DataFrame:
     """``df`` written to ``path`` and read back, which ends its lineage."""
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class Files:
+    """The few file operations that Spark's readers and writers do not offer, by the session's Hadoop file system."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self._jvm, self.folder = spark._jvm, folder
+        self._fs = self._path("").getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def _path(self, name: str):
+        return self._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}" if name else self.folder)
+
+    def names(self) -> list[str]:
+        """Names in the folder; none where there is no folder."""
+        path = self._path("")
+        return sorted(s.getPath().getName() for s in self._fs.listStatus(path)) if self._fs.exists(path) else []
+
+    def state(self) -> tuple:
+        """Name, length and time of each file in the folder, or of the file itself: what tells that data has changed."""
+        return tuple(sorted((s.getPath().getName(), s.getLen(), s.getModificationTime()) for s in self._fs.listStatus(self._path(""))))
+
+    def exists(self, name: str) -> bool:
+        return self._fs.exists(self._path(name))
+
+    def read(self, name: str) -> str:
+        stream = self._fs.open(self._path(name))
+        try:
+            return self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+
+    def publish(self, name: str, text: str) -> None:
+        """A file that appears whole; one of that name must not be there."""
+        draft = self._path(f".{name}.{uuid.uuid4().hex}")
+        stream = self._fs.create(draft, True)
+        try:
+            stream.write(bytearray(text.encode()))
+        finally:
+            stream.close()
+        if self.exists(name) or not self._fs.rename(draft, self._path(name)):
+            self._fs.delete(draft, False)
+            raise FileExistsError(f"{self.folder}/{name}")
+
+    def delete(self, name: str = "") -> None:
+        self._fs.delete(self._path(name), True)

@@ -83,7 +83,8 @@ def read_log(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def insert_absent(rows: DataFrame, path: str, keys: Sequence[str]) -> None:
-    """Add the rows whose keys the log lacks; null keys are equal."""
+    """Add the rows whose keys the log lacks, one of those that repeat a key among themselves; null keys are equal."""
+    rows = rows.dropDuplicates(list(keys))
     log = read_log(rows.sparkSession, path, rows.schema.simpleString()[7:-1]).select(*[F.col(k).alias(f"_{k}") for k in keys])
     same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
     append_log(rows.join(log, same, "left_anti"), path)
@@ -117,6 +118,17 @@ def row_range(df: DataFrame, key: str, start: int, stop: int) -> DataFrame:
     return df.orderBy(key).offset(start).limit(stop - start)
 
 
+def save_lookup(df: DataFrame, name: str, id_col: str, path: str, buckets: int = 64) -> DataFrame:
+    """Replace a table made for point lookups: bucketed and sorted by the ID, one file a bucket, with Bloom filters of the ID.
+
+    ``find_id`` on it reads the one file of the ID's bucket, and of that only the row groups that may hold the ID.
+    """
+    dealt = df.repartition(buckets, F.col(id_col)).sortWithinPartitions(id_col)
+    writer = dealt.write.mode("overwrite").bucketBy(buckets, id_col).sortBy(id_col).option("path", path)
+    writer.option(f"parquet.bloom.filter.enabled#{id_col}", "true").saveAsTable(name)
+    return df.sparkSession.table(name)
+
+
 def find_id(df: DataFrame, id_col: str, written: str) -> DataFrame:
     """Rows of an ID as people write it; a text that is no ID is an error, not an empty answer."""
     digits = written.strip()

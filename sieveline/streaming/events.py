@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQueryListener
 
-from .commits import Files
+from ..sources.shared import Files
 
 #: Named counts of a stream's rows: ``observe(DATASET_PREFIX + dataset, ...)`` with ROWS and one count of failures a rule.
 DATASET_PREFIX, ROWS = "expectations of ", "_rows"

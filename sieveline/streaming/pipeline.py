@@ -13,21 +13,24 @@ from pyspark.sql import types as T
 from ..functions import convert, text
 from ..operators import quality
 from ..sources import tables
+from ..sources.shared import Files
 from . import commits, events
 
 #: What a review names a quarantined row by.
 REVIEW_KEY = ["_source_file", "id_written"]
+#: Given to a row once, when bronze takes it up.
+ROW_ID = "_row_id"
 RESULTS = "run_id string, check_name string, value double, threshold double, status string, checked_at timestamp"
 
 
 def bronze(spark: SparkSession, landing: str, out: str, columns: list[str]) -> None:
-    """Append every new file in ``landing`` once, all text, with its file name, arrival time and any row that breaks the layout.
+    """Append every new file in ``landing`` once, all text, with its file name, arrival time, any row that breaks the layout, and a row id.
 
     A file whose header is not exactly ``columns``, in this order, stops the update.
     """
     schema = T.StructType([T.StructField(c, T.StringType()) for c in [*columns, "_rescued_data"]])
     files = spark.readStream.schema(schema).option("header", True).option("enforceSchema", False).option("escape", '"').option("columnNameOfCorruptRecord", "_rescued_data").csv(landing)
-    rows = files.withColumn("_source_file", F.col("_metadata.file_name")).withColumn("_ingested_at", F.current_timestamp())
+    rows = files.withColumns({"_source_file": F.col("_metadata.file_name"), "_ingested_at": F.current_timestamp(), ROW_ID: F.expr("uuid()")})
     rows.writeStream.format("parquet").option("checkpointLocation", f"{out}/_state_bronze").trigger(availableNow=True).start(f"{out}/bronze").awaitTermination()
 
 
@@ -38,7 +41,7 @@ def enforced(rows: DataFrame, fail: dict[str, str]) -> DataFrame:
     return rows
 
 
-def silver(spark: SparkSession, out: str, id_col: str, cleanse: Callable[[DataFrame], DataFrame], warn: dict[str, str], fail: dict[str, str], second_id: str | None = None, files_per_batch: int = 1000) -> None:
+def silver(spark: SparkSession, out: str, id_col: str, cleanse: Callable[[DataFrame], DataFrame], warn: dict[str, str], fail: dict[str, str], second_id: str | None = None, files_per_batch: int = 1000, repeats: str | None = None) -> None:
     """Split bronze by the ID rule: good rows cleansed to silver, the others stripped to quarantine, rule counts by batch.
 
     ``cleanse`` may join static tables. A batch is written once, silver and quarantine as two parts of one folder, and
@@ -46,6 +49,10 @@ def silver(spark: SparkSession, out: str, id_col: str, cleanse: Callable[[DataFr
     of a batch or nothing, and a batch that runs again after that is left as it is. A broken fail rule stops the stream
     before anything of its batch is committed. The log and the stream's state belong together; ``full_refresh`` removes both.
     What a batch observed also goes to listeners, as ``events.EventLog`` writes it.
+
+    With ``repeats``, a time like '30 days', the stream's state remembers each ID for that long after its last arrival,
+    by ``_ingested_at``: the first row of an ID goes to silver, any later one of whatever delivery to quarantine, as
+    'repeated'. ``cleanse`` must then keep columns that it does not know.
     """
     log = commits.CommitLog(spark, f"{out}/_commits")
     schema = spark.read.parquet(f"{out}/bronze").schema
@@ -56,6 +63,8 @@ def silver(spark: SparkSession, out: str, id_col: str, cleanse: Callable[[DataFr
     good = cleanse(clean.where("_id_problem IS NULL").drop("_id_problem")).observe(f"{events.DATASET_PREFIX}silver", *counts)
     held = clean.where("_id_problem IS NOT NULL").select(F.struct("*").alias("_held"))
     held = held.observe(f"{events.DATASET_PREFIX}quarantine", F.count("*").alias(events.ROWS))
+    if repeats:
+        return _silver_once(spark, out, id_col, cleanse, warn, clean, repeats)
     both = good.unionByName(held, allowMissingColumns=True).withColumn("_part", F.when(F.col("_held").isNull(), "silver").otherwise("quarantine"))
     shapes = {"silver": good.schema.json(), "quarantine": held.schema.json()}
 
@@ -72,6 +81,38 @@ def silver(spark: SparkSession, out: str, id_col: str, cleanse: Callable[[DataFr
     both.writeStream.foreachBatch(batch).option("checkpointLocation", f"{out}/_state_silver").trigger(availableNow=True).start().awaitTermination()
 
 
+def _silver_once(spark: SparkSession, out: str, id_col: str, cleanse: Callable[[DataFrame], DataFrame], warn: dict[str, str], clean: DataFrame, repeats: str) -> None:
+    """``silver`` with repeated IDs kept out: first rows by the state store, all rows beside them, matched batch by batch."""
+    log = commits.CommitLog(spark, f"{out}/_commits")
+    valid = clean.where("_id_problem IS NULL")
+    first = valid.select(id_col, "_ingested_at", ROW_ID).withWatermark("_ingested_at", repeats).dropDuplicatesWithinWatermark([id_col])
+    whole = clean.select(F.struct("*").alias("_held"))
+    both = whole.unionByName(first.select(F.col(ROW_ID).alias("_first")), allowMissingColumns=True)
+
+    def batch(rows: DataFrame, number: int) -> None:
+        if log.has(number):
+            return
+        folder, staged = f"batch={number}-{uuid.uuid4().hex}", f"{out}/_staged/{number}-{uuid.uuid4().hex}"
+        rows.write.parquet(staged)  # a batch of a stream with state is run once
+        kept = spark.read.schema(rows.schema).parquet(staged)
+        firsts = kept.where("_first IS NOT NULL").select(F.col("_first").alias(ROW_ID))
+        there = kept.where("_held IS NOT NULL").select("_held.*")
+        once = there.where("_id_problem IS NULL").join(firsts, ROW_ID, "left_semi")
+        again = there.where("_id_problem IS NULL").join(firsts, ROW_ID, "left_anti").withColumn("_id_problem", F.lit("repeated"))
+        good, seen = cleanse(once.drop("_id_problem")), Observation()
+        held = there.where("_id_problem IS NOT NULL").unionByName(again).select(F.struct(*there.columns).alias("_held"))
+        shapes = {"silver": good.schema.json(), "quarantine": held.schema.json()}
+        every = good.unionByName(held, allowMissingColumns=True).withColumn("_part", F.when(F.col("_held").isNull(), "silver").otherwise("quarantine"))
+        is_good = F.col("_held").isNull()
+        failures = [F.count_if(is_good & ~F.expr(r)).alias(n) for n, r in warn.items()]
+        every.observe(seen, F.count_if(is_good).alias("_good"), F.count_if(~is_good).alias("_held"), *failures).write.partitionBy("_part").parquet(f"{out}/batches/{folder}")
+        found = seen.get
+        log.commit(number, folder=folder, rows={"silver": found["_good"], "quarantine": found["_held"]}, failing={n: found[n] for n in warn}, shapes=shapes)
+        Files(spark, staged).delete()
+
+    both.writeStream.foreachBatch(batch).option("checkpointLocation", f"{out}/_state_silver").trigger(availableNow=True).start().awaitTermination()
+
+
 _RULES = "check_name string, failing_records long, records long"
 
 
@@ -135,8 +176,8 @@ def gold_state(spark: SparkSession, out: str, name: str) -> DataFrame:
 
 def full_refresh(spark: SparkSession, out: str) -> None:
     """Forget silver, quarantine and rules, so that the next ``silver`` reads all of bronze again, as after a changed crosswalk."""
-    for part in ("gold_state", "_commits", "_state_silver", "batches"):
-        commits.Files(spark, f"{out}/{part}").delete()
+    for part in ("gold_state", "_commits", "_state_silver", "batches", "_staged"):
+        Files(spark, f"{out}/{part}").delete()
 
 
 def review(spark: SparkSession, out: str, rows: DataFrame) -> None:

@@ -96,7 +96,7 @@ def bronze_rescued(spark: SparkSession, landing: str, out: str, columns: list[st
         headers = spark.createDataFrame([(p, f, n) for p, (f, n) in noted.items()], "path string, first string, names array<string>")
         source = spark.readStream.schema("value string").option("maxFilesPerTrigger", files_per_batch).text(landing)
         lines = source.select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), F.col("_metadata.file_name").alias("_source_file"), F.current_timestamp().alias("_ingested_at"))
-        rows = by_own_header(lines, headers, sorted({len(n) for _, n in noted.values()} - {0}), columns)
+        rows = by_own_header(lines, headers, sorted({len(n) for _, n in noted.values()} - {0}), columns).withColumn("_row_id", F.expr("uuid()"))
         try:
             rows.writeStream.format("parquet").option("checkpointLocation", f"{out}/_state_bronze").trigger(availableNow=True).start(f"{out}/bronze").awaitTermination()
             if noted:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from sieveline.functions import convert
 from sieveline.operators import govern, quality
 from sieveline.sources import tables
+from sieveline.sources.shared import Files
 from sieveline.streaming import commits, events, pipeline, rescue
 
 WARN = {"value present": "value IS NOT NULL"}
@@ -250,3 +251,20 @@ def test_gold_grows_by_deliveries(spark, tmp_path):
         whole = pipeline.read(spark, out, "silver").groupBy("value").agg(F.count("*").alias("records"), F.count_distinct("id").alias("people"))
         assert sorted(map(tuple, view.collect())) == sorted(map(tuple, whole.collect()))
     assert len(commits.CommitLog(spark, f"{out}/gold_state/v/_commits").entries()) == 3
+
+
+def test_repeated_ids_go_to_quarantine(spark, tmp_path):
+    """Within a delivery, across deliveries, and beside rows that have no ID; a batch that ran before counts once."""
+    out = f"file://{tmp_path}"
+    to = lambda: pipeline.silver(spark, out, "id", lambda d: d.withColumn("id", convert.to_id(F.col("id"))), WARN, FAIL, repeats="30 days")
+    deliver(spark, out, "one", ["id,value", "00000001,a", "00000002,b", "00000002,c", ",x"])
+    to()
+    deliver(spark, out, "two", ["id,value", "00000001,d", "00000003,e", "3,y"])
+    to()
+    to()
+    silver = {r["id"]: r["value"] for r in pipeline.read(spark, out, "silver").collect()}
+    assert silver[1] == "a" and silver[2] in "bc" and silver[3] == "e" and len(silver) == 3 == pipeline.read(spark, out, "silver").count()
+    held = sorted((r["id"] or "", r["_id_problem"]) for r in pipeline.read(spark, out, "quarantine").collect())
+    assert held == [("", "missing"), ("00000001", "repeated"), ("00000002", "repeated"), ("3", "not 8 digits")]
+    assert pipeline.validate(spark, out, "id", {}, raises=False).where("check_name IN ('conservation', 'repeated ids') AND status = 'PASS'").count() == 2
+    assert Files(spark, f"{out}/_staged").names() == []
