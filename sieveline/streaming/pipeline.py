@@ -94,7 +94,8 @@ def _silver_once(spark: SparkSession, out: str, id_col: str, cleanse: Callable[[
             return
         folder, staged = f"batch={number}-{uuid.uuid4().hex}", f"{out}/_staged/{number}-{uuid.uuid4().hex}"
         rows.write.parquet(staged)  # a batch of a stream with state is run once
-        kept = spark.read.schema(rows.schema).parquet(staged)
+        # in the stream's own session: one that has observed something can no longer ship the models that refer to it
+        kept = rows.sparkSession.read.schema(rows.schema).parquet(staged)
         firsts = kept.where("_first IS NOT NULL").select(F.col("_first").alias(ROW_ID))
         there = kept.where("_held IS NOT NULL").select("_held.*")
         once = there.where("_id_problem IS NULL").join(firsts, ROW_ID, "left_semi")
