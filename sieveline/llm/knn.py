@@ -25,8 +25,10 @@ DEGREE = 32
 LEAF, TREES = 2000, 6
 #: Members of a common neighbour that meet at once; more are dealt into groups, anew in each round.
 MEETING = 96
-#: A walk also follows the edges by which a vector is among so many best of another.
-BACKWARD = 8
+#: A walk also follows the edges by which a vector is among so many best of another, the best of these edges of each.
+BACKWARD, MOST_BACKWARD = 8, 32
+#: Candidates whose 32-bit score is this near the k-th best are compared exactly, however many; others that follow it: so many.
+ROUNDING, FURTHER = 1e-5, 11
 #: Rounds and steps after which a warning says that the descent or the walk had not settled.
 MOST_ROUNDS, MOST_STEPS = 30, 60
 #: Vectors from which the mean is taken that hyperplanes pass through.
@@ -64,24 +66,24 @@ def _flat(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     return a, *(t[c].combine_chunks().flatten().to_numpy(zero_copy_only=False) for c in ("b", "s", "fresh"))
 
 
-def _half(keys: list[bytes]) -> np.ndarray:
-    return np.frombuffer(b"".join(keys), np.float16).reshape(len(keys), -1).astype(np.float32)
+def _floats(keys: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(keys), np.float32).reshape(len(keys), -1)
 
 
 def neighbour_graph(nodes: DataFrame, scratch: Scratch, total: int, degree: int = DEGREE) -> DataFrame:
     """(a, vec, b, s, fresh): lists of about the ``degree`` nearest b of each node a by cosine s, best first.
 
-    ``nodes``: (id, vec: unit, 16-bit floats). Rounds go on until a round changes at most 1 % of the entries.
+    ``nodes``: (id, vec: unit, 32-bit floats). Rounds go on until a round changes at most 1 % of the entries.
     """
     bits = max(0, math.ceil(math.log2(max(1, total / LEAF))))
     few = nodes.where((F.xxhash64("id", F.lit(5)).cast("double") / 2.0**64) + 0.5 < min(1.0, SAMPLE / max(1, total))).select("vec").collect()
-    mean = _half([r["vec"] for r in few]).mean(axis=0) if few else np.float32(0)
+    mean = _floats([r["vec"] for r in few]).mean(axis=0) if few else np.float32(0)
 
     def leaves(batches):
         for batch in batches:
             if not len(batch):
                 continue
-            v = _half(batch.column(1).to_pylist()) - mean
+            v = _floats(batch.column(1).to_pylist()) - mean
             for t in range(TREES if bits else 1):
                 planes = np.random.default_rng(100 + t).standard_normal((v.shape[1], bits)).astype(np.float32)
                 side = (v @ planes >= 0).astype(np.int64) @ (1 << np.arange(bits, dtype=np.int64))
@@ -93,7 +95,7 @@ def neighbour_graph(nodes: DataFrame, scratch: Scratch, total: int, degree: int
     placed = placed.join(small(sizes), "bucket", "left").withColumn("part", part)
 
     def first(t: pa.Table, g: np.ndarray) -> pa.Table | None:
-        ids, v, out = t["id"].to_numpy(), _half(t["vec"].to_pylist()), []
+        ids, v, out = t["id"].to_numpy(), _floats(t["vec"].to_pylist()), []
         edges = np.append(np.flatnonzero(np.diff(g, prepend=g[0] - 1)), len(g))
         for s, e in zip(edges[:-1], edges[1:]):
             k = min(degree, e - s - 1)
@@ -137,7 +139,7 @@ def neighbour_graph(nodes: DataFrame, scratch: Scratch, total: int, degree: int
 
     def meet(t: pa.Table, g: np.ndarray) -> pa.Table | None:
         ids, fresh, worst = t["id"].to_numpy(), t["fresh"].to_numpy(), t["worst"].to_numpy()
-        v = _half(t["vec"].to_pylist())
+        v = _floats(t["vec"].to_pylist())
         edges, out = np.append(np.flatnonzero(np.diff(g, prepend=g[0] - 1)), len(g)), []
         for s, e in zip(edges[:-1].tolist(), edges[1:].tolist()):
             if not fresh[s:e].any():
@@ -177,7 +179,7 @@ def neighbour_graph(nodes: DataFrame, scratch: Scratch, total: int, degree: int
 
 
 def walk(graph: DataFrame, asked: DataFrame, scratch: Scratch, total: int, beam: int) -> DataFrame:
-    """(node, id, s): the ``beam`` best nodes that the walk from each asked node (node, qvec) found, by 16-bit vectors."""
+    """(node, id, s): the ``beam`` best nodes that the walk from each asked node (node, qvec) found, by 32-bit vectors."""
     spark, name = scratch.spark, f"walk_{uuid.uuid4().hex}"
     n = max(4, math.ceil(total / 500_000))
 
@@ -185,34 +187,37 @@ def walk(graph: DataFrame, asked: DataFrame, scratch: Scratch, total: int, beam:
         df.repartition(n, key).write.bucketBy(n, key).sortBy(key).option("path", f"{scratch.base}/{what}").saveAsTable(f"{name}_{what}")
         return spark.table(f"{name}_{what}")
 
-    edge = graph.select("a", F.posexplode("b").alias("rank", "b"))
-    back = edge.where(F.col("rank") < BACKWARD).select(F.col("b").alias("a"), F.col("a").alias("b"))
-    edges = bucketed(edge.select("a", "b").union(back).distinct(), "edges", "a")
-    vectors = bucketed(graph.select(F.col("a").alias("id"), "vec"), "vectors", "id")
-
+    edge = graph.select("a", F.posexplode(F.arrays_zip("b", "s")).alias("rank", "x")).select("a", "rank", "x.b", "x.s")
+    # a hub is among the best of very many: each task keeps its best few edges before they are dealt by hub
+    best = Window.partitionBy("b").orderBy(F.desc("s"), "a")
+    back = edge.where(F.col("rank") < BACKWARD).withColumn("place", F.row_number().over(best)).where(F.col("place") <= MOST_BACKWARD).select(F.col("b").alias("a"), F.col("a").alias("b"))
     def scored(batches):
         for b in batches:
             if len(b):
-                s = np.einsum("ij,ij->i", _half(b.column(2).to_pylist()), _half(b.column(3).to_pylist()))
+                s = np.einsum("ij,ij->i", _floats(b.column(2).to_pylist()), _floats(b.column(3).to_pylist()))
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s)], names=["node", "id", "s"])
 
     top = Window.partitionBy("node").orderBy(F.desc("s"), "id")
     start = asked.select("node", F.col("node").alias("id"), F.lit(1.0).cast("float").alias("s"), F.lit(0).alias("open"))
     own = graph.join(asked.select(F.col("node").alias("a")), "a").select(F.col("a").alias("node"), F.explode(F.arrays_zip("b", "s")).alias("x"))
     state = scratch.write(start.unionByName(own.select("node", F.col("x.b").alias("id"), "x.s", F.lit(1).alias("open"))), "walk0")
-    for step in range(1, MOST_STEPS + 1):
-        opened = state.where("open = 1").select("node", F.col("id").alias("a")).join(edges, "a").select("node", F.col("b").alias("id")).distinct()
-        new = opened.join(state.select("node", "id"), ["node", "id"], "left_anti").join(vectors, "id").join(asked, "node")
-        new = new.select("node", "id", "vec", "qvec").mapInArrow(scored, "node long, id long, s float")
-        merged = state.withColumn("open", F.lit(0)).unionByName(new.withColumn("open", F.lit(1)))
-        state = scratch.write(merged.withColumn("r", F.row_number().over(top)).where(F.col("r") <= beam).drop("r"), f"walk{step}")
-        scratch.drop(f"walk{step - 1}")
-        if not state.where("open = 1").limit(1).count():
-            break
-    else:
-        warnings.warn(f"some walks had not ended after {MOST_STEPS} steps", stacklevel=2)
-    for what in ("edges", "vectors"):
-        spark.sql(f"DROP TABLE {name}_{what}")
+    try:
+        edges = bucketed(edge.select("a", "b").union(back).distinct(), "edges", "a")
+        vectors = bucketed(graph.select(F.col("a").alias("id"), "vec"), "vectors", "id")
+        for step in range(1, MOST_STEPS + 1):
+            opened = state.where("open = 1").select("node", F.col("id").alias("a")).join(edges, "a").select("node", F.col("b").alias("id")).distinct()
+            new = opened.join(state.select("node", "id"), ["node", "id"], "left_anti").join(vectors, "id").join(asked, "node")
+            new = new.select("node", "id", "vec", "qvec").mapInArrow(scored, "node long, id long, s float")
+            merged = state.withColumn("open", F.lit(0)).unionByName(new.withColumn("open", F.lit(1)))
+            state = scratch.write(merged.withColumn("r", F.row_number().over(top)).where(F.col("r") <= beam).drop("r"), f"walk{step}")
+            scratch.drop(f"walk{step - 1}")
+            if not state.where("open = 1").limit(1).count():
+                break
+        else:
+            warnings.warn(f"some walks had not ended after {MOST_STEPS} steps", stacklevel=2)
+    finally:
+        for what in ("edges", "vectors"):
+            spark.sql(f"DROP TABLE IF EXISTS {name}_{what}")
     return state.select("node", "id", "s")
 
 
@@ -225,7 +230,7 @@ def every_pair(asked: DataFrame, nodes: DataFrame, total: int, most: int, block:
     right = nodes.select("id", "vec", F.lit(False).alias("asks"), deal("id", ns).alias("j")).withColumn("i", every(nb))
 
     def work(t: pa.Table, g: np.ndarray) -> pa.Table | None:
-        ids, asks, v, out = t["id"].to_numpy(), t["asks"].to_numpy(), _half(t["vec"].to_pylist()), []
+        ids, asks, v, out = t["id"].to_numpy(), t["asks"].to_numpy(), _floats(t["vec"].to_pylist()), []
         edges = np.append(np.flatnonzero(np.diff(g, prepend=g[0] - 1)), len(g))
         for s, e in zip(edges[:-1], edges[1:]):
             x, y = s + np.flatnonzero(asks[s:e]), s + np.flatnonzero(~asks[s:e])
@@ -266,14 +271,14 @@ def nearest(rows: DataFrame, is_query: F.Column, k: int = 5, id_col: str = "vec_
     def units(batches):
         for b in batches:
             if len(b):
-                v = unit(matrix(b.column(1).to_pylist())).astype(np.float16)
+                v = unit(matrix(b.column(1).to_pylist())).astype(np.float32)
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.tobytes() for x in v], pa.binary())], names=["id", "vec"])
 
     nodes = scratch.write(classes.select(F.col("node").alias("id"), "key").mapInArrow(units, "id long, vec binary"), "nodes")
     graph = neighbour_graph(nodes, scratch, total)
     asked = queries.select("node").distinct().join(graph.select(F.col("a").alias("node"), F.col("vec").alias("qvec")), "node")
     asked = scratch.write(asked, "asked")
-    state = walk(graph, asked, scratch, total, max(beam or beam_for(total), k + 11))
+    state = walk(graph, asked, scratch, total, max(beam or beam_for(total), k + FURTHER))
 
     def exact(batches):
         for b in batches:
@@ -283,7 +288,8 @@ def nearest(rows: DataFrame, is_query: F.Column, k: int = 5, id_col: str = "vec_
 
     def ranked(found: DataFrame) -> DataFrame:
         top = Window.partitionBy("node").orderBy(F.desc("s"), "id")
-        near = found.withColumn("r", F.row_number().over(top)).where(F.col("r") <= k + 11).select("node", F.col("id").alias("hit"))
+        near = found.withColumns({"r": F.row_number().over(top), "last": F.nth_value("s", k).over(top.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))})
+        near = near.where((F.col("r") <= k + FURTHER) | (F.col("s") >= F.col("last") - ROUNDING)).select("node", F.col("id").alias("hit"))
         pairs = queries.join(near, "node").join(classes.select(F.col("node").alias("hit"), "key"), "hit").select("query", "hit", "qkey", "key")
         hits = pairs.mapInArrow(exact, "query long, node long, score double").join(some, "node").where("id <> query")
         hits = hits.groupBy("query", "id").agg(F.max("score").alias("score"))
@@ -296,7 +302,7 @@ def nearest(rows: DataFrame, is_query: F.Column, k: int = 5, id_col: str = "vec_
     short = scratch.write(short.select("query", "node"), "short")
     if total < 2 or not short.limit(1).count():
         return found
-    more = ranked(every_pair(asked.join(short.select("node").distinct(), "node"), nodes, total, k + 11))
+    more = ranked(every_pair(asked.join(short.select("node").distinct(), "node"), nodes, total, max(beam_for(total), k + FURTHER)))
     again = short.select(F.col("query").alias("query_id")).distinct()
     return found.join(again, "query_id", "left_anti").unionByName(more.join(again, "query_id", "left_semi"))
 

@@ -414,13 +414,54 @@ def test_every_pair_equals_brute_force(spark):
     r = np.random.default_rng(5)
     v = r.standard_normal((230, 12))
     v /= np.linalg.norm(v, axis=1, keepdims=True)
-    rows = [(k, bytearray(x.astype(np.float16).tobytes())) for k, x in enumerate(v)]
+    rows = [(k, bytearray(x.astype(np.float32).tobytes())) for k, x in enumerate(v)]
     nodes = spark.createDataFrame(rows, "id long, vec binary")
     asked = nodes.where("id < 50").withColumnsRenamed({"id": "node", "vec": "qvec"})
     got = {}
     for x in knn.every_pair(asked, nodes, 230, 6, block=40).collect():
         got.setdefault(x["node"], []).append((-x["s"], x["id"]))
-    h = v.astype(np.float16).astype(np.float32)
+    h = v.astype(np.float32)
     for q in range(50):
         want = set(np.argsort(-(h @ h[q]), kind="stable")[:6].tolist())
         assert {i for _, i in sorted(got[q])[:6]} == want
+
+
+@pytest.mark.parametrize("cosine", [0.999, 0.9999, 0.99999, 0.999999])
+def test_nearest_among_near_copies(spark, cosine):
+    """Clusters whose members are this alike: the nearest are told apart by exact scores."""
+    r = np.random.default_rng(8)
+    middle = r.standard_normal((6, 32))
+    middle /= np.linalg.norm(middle, axis=1, keepdims=True)
+    off = r.standard_normal((6, 150, 32))
+    off -= (off * middle[:, None]).sum(axis=2, keepdims=True) * middle[:, None]
+    off /= np.linalg.norm(off, axis=2, keepdims=True)
+    v = (np.sqrt(cosine) * middle[:, None] + np.sqrt(1 - cosine) * off).reshape(900, 32)
+    df = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(v)], "vec_id long, embedding array<double>")
+    got = {}
+    for x in knn.nearest(df, F.col("vec_id") % 50 == 0).collect():
+        got.setdefault(x["query_id"], set()).add(x["id"])
+    s = v @ v.T
+    np.fill_diagonal(s, -2)
+    hits = [len(got[q] & set(np.argsort(-s[q])[:5].tolist())) for q in range(0, 900, 50)]
+    assert sum(hits) >= 0.95 * 5 * len(hits)
+
+
+def test_hub_has_bounded_edges_and_tables_go(spark, monkeypatch):
+    """A mean of all is among the best of each; its edges are bounded, its neighbours found; a failed walk leaves no table."""
+    r = np.random.default_rng(6)
+    v = np.concatenate([np.ones((1, 16)), np.ones((400, 16)) + 0.8 * r.standard_normal((400, 16))])
+    df = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(v)], "vec_id long, embedding array<double>")
+    monkeypatch.setattr(knn, "MOST_BACKWARD", 4)
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    s = u @ u.T
+    np.fill_diagonal(s, -2)
+    got = {}
+    for x in knn.nearest(df, F.col("vec_id") % 50 == 0).collect():
+        got.setdefault(x["query_id"], set()).add(x["id"])
+    assert sum(len(got[q] & set(np.argsort(-s[q])[:5].tolist())) for q in range(0, 401, 50)) >= 0.95 * 5 * 9
+    scratch = knn.Scratch(spark, "t")
+    write = scratch.write
+    monkeypatch.setattr(scratch, "write", lambda df, name: 1 / 0 if name == "walk1" else write(df, name))
+    with pytest.raises(ZeroDivisionError):
+        knn.walk(spark.createDataFrame([(1, b"0", [2], [1.0], [False])], "a long, vec binary, b array<long>, s array<float>, fresh array<boolean>"), spark.createDataFrame([(1, b"0")], "node long, qvec binary"), scratch, 2, 4)
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("walk_")]
