@@ -1,10 +1,10 @@
 """Embedding near-duplicates by iterative quantisation.
 
-A rotation of the principal components is learned so that their signs are balanced binary codes. Codes are cut
-into substrings, one hash table each (multi-index Hamming tables), and a vector stands in each table under its
-substring and under all that differ from it in one bit: so two vectors meet where their substrings differ in at most
-two bits, and any pair does that differs in fewer than three bits a table. Substrings grow with the logarithm of the
-rows, so a bucket does not; where few of them fit a code, more rotations give more codes.
+Rotations of the principal components are learned so that their signs are balanced binary codes, four of 64 bits. The
+bits are cut into substrings, one hash table each (multi-index Hamming tables), and shuffled and cut again until a pair at
+the threshold meets in some table with the chance asked for. A vector stands once in each table. Substrings grow with
+the logarithm of the rows, so a bucket stays of about a thousand vectors and the tables of a vector grow slowly: 12 for ten
+thousand rows of a label, 17 for a million, 96 for a thousand million.
 
 The tables hold ids and codes only. Pairs within a Hamming radius are candidates; the vectors of candidates alone are
 joined to their buckets and compared by cosine. A pair that meets in several buckets counts in one of them only, so
@@ -24,9 +24,12 @@ from .common import Scratch, by_whole_groups, connected_components, forest, in_b
 from .vectors import common_length, matrix, unit, vector_keys
 
 COSINE = 0.93
-BITS = 64
-#: Differing bits of the first code up to which a pair is compared: 7.7 on average at the threshold, 32 for unlike vectors.
-RADIUS = 22
+#: Bits of a code, and rotations.
+BITS, TURNS = 64, 4
+#: Differing bits of all codes up to which a pair is compared: 31 on average at the threshold, 128 for unlike vectors.
+RADIUS = 72
+#: A bucket of unlike vectors holds about 2^BUCKET of them, and a substring has this many bits at least.
+BUCKET, LEAST_WIDTH = 10, 8
 SAMPLE = 20_000
 #: The chance to meet that the tables are made for, at the threshold.
 RECALL = 0.99
@@ -57,15 +60,32 @@ def codes(x: np.ndarray, mean: np.ndarray, projection: np.ndarray) -> np.ndarray
 
 
 def substrings(most: int, cosine: float = COSINE) -> tuple[int, int]:
-    """(bits of a substring, rotations) for the ``most`` vectors of one label.
+    """(bits of a substring, tables) for the ``most`` vectors of one label.
 
-    A bit differs with probability arccos(cosine) / pi. Rotations are added until a pair at the threshold meets with
-    probability RECALL, were substrings independent.
+    A bit differs with probability arccos(cosine) / pi. A table misses a pair unless none of its bits is among those
+    that differ; there are as many tables as bring the chance that all miss it, over the numbers of bits that may
+    differ, to 1 - RECALL.
     """
-    width = min(32, max(8, math.ceil(math.log2(max(2, most)))))
-    p = math.acos(cosine) / math.pi
-    miss = 1 - sum(math.comb(width, d) * p**d * (1 - p) ** (width - d) for d in range(3))
-    return width, max(1, math.ceil(math.log(1 - RECALL) / math.log(miss) / (BITS // width)))
+    width = min(32, max(LEAST_WIDTH, math.ceil(math.log2(max(2, most))) - BUCKET))
+    bits, p = BITS * TURNS, math.acos(cosine) / math.pi
+    odd = np.arange(bits + 1)
+    weight = np.array([math.comb(bits, d) * p**d * (1 - p) ** (bits - d) for d in odd.tolist()])
+    meet = np.array([math.comb(bits - d, width) / math.comb(bits, width) for d in odd.tolist()])
+    tables = 1
+    while (weight * (1 - meet) ** tables).sum() > 1 - RECALL:
+        tables += 1
+    return width, tables
+
+
+def table_masks(width: int, tables: int, seed: int = 17) -> np.ndarray:
+    """(tables, TURNS) words: the bits of each table's substring, cut from shuffles of all bits."""
+    r, out, per = np.random.default_rng(seed), np.zeros((tables, TURNS), np.uint64), BITS * TURNS // width
+    for k in range(tables):
+        if k % per == 0:
+            order = r.permutation(BITS * TURNS)
+        for bit in order[k % per * width : (k % per + 1) * width].tolist():
+            out[k, bit // BITS] |= np.uint64(1 << bit % BITS)
+    return out
 
 
 def linked_vectors(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str | None = "label", cosine: float = COSINE, sample: int = SAMPLE, block: int = 512) -> DataFrame:
@@ -76,8 +96,7 @@ def linked_vectors(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "embe
     uncommon length, and rows with a null label or id, link with nothing: n_links is 0, the component their own
     id. Rows that repeat an id are vectors of their own. An empty table gives an empty result; other columns are not
     looked at. The rotations are learned from about ``sample`` classes; every vector is in the tables. Pairs that meet
-    in no table are lost, so this is approximate: for all links, surely, compare each label's blocks with
-    ``every_pair`` of the nearest-neighbour module.
+    in no table are lost, so this is approximate.
     """
     scratch = Scratch(rows.sparkSession, "itq")
     label = F.lit(0) if label_col is None else F.col(label_col)
@@ -94,10 +113,8 @@ def linked_vectors(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "embe
     taken = [bytes(r["key"]) for r in few.collect()]
     if not taken:
         taken = [bytes(r["key"]) for r in classes.select("key").limit(1).collect()]
-    width, turns = substrings(most, cosine)
-    per = BITS // width
-    low = np.uint64((1 << width) - 1)
-    models = [learn_rotation(unit(matrix(taken)), seed=2 + k) if taken else (np.zeros(1), np.zeros((1, BITS))) for k in range(turns)]
+    masks = table_masks(*substrings(most, cosine))
+    models = [learn_rotation(unit(matrix(taken)), seed=2 + k) if taken else (np.zeros(1), np.zeros((1, BITS))) for k in range(TURNS)]
     shared = rows.sparkSession.sparkContext.broadcast(models)
 
     def coded(keys: list[bytes]) -> np.ndarray:
@@ -105,47 +122,37 @@ def linked_vectors(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "embe
         v = unit(matrix(keys))
         return np.stack([codes(v, *m) for m in shared.value], axis=1)
 
-    def pieces(c: np.ndarray) -> np.ndarray:
-        """Substrings (..., tables) of codes (..., rotations)."""
-        shifts = np.arange(per, dtype=np.uint64) * np.uint64(width)
-        return (c[..., None] >> shifts & low).reshape(*c.shape[:-1], turns * per)
-
     def spread(batches):
-        flips = np.concatenate([[0], 1 << np.arange(width)]).astype(np.uint64)
+        mix = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
         for b in (x.slice(at, 2000) for x in batches for at in range(0, len(x), 2000)):
             c = coded(b.column(2).to_pylist())
-            key = (pieces(c)[..., None] ^ flips).reshape(len(b), -1)  # a row for each table and flip
-            table = np.repeat(np.arange(turns * per), len(flips))
-            many = np.repeat(np.arange(len(b)), key.shape[1])
-            parts = {"id": b.column(0).to_numpy()[many], "lab": b.column(1).to_numpy()[many], "slot": (key | table.astype(np.uint64) << np.uint64(32)).reshape(-1).view(np.int64)}
-            yield pa.RecordBatch.from_pydict(parts | {f"c{k}": c[many, k].view(np.int64) for k in range(turns)})
+            key = c[:, None, :] & masks  # a row for each table
+            key ^= key >> np.uint64(31)
+            key = (key * mix).sum(axis=2, dtype=np.uint64)
+            many, table = np.repeat(np.arange(len(b)), len(masks)), np.tile(np.arange(len(masks), dtype=np.int32), len(b))
+            parts = {"id": b.column(0).to_numpy()[many], "lab": b.column(1).to_numpy()[many], "slot": table, "part": key.reshape(-1).view(np.int64)}
+            yield pa.RecordBatch.from_pydict(parts | {f"c{k}": c[many, k].view(np.int64) for k in range(TURNS)})
 
-    names = [f"c{k}" for k in range(turns)]
-    kinds = ", ".join(f"{c} long" for c in ["lab", "slot", *names])
-    dealt = classes.select(F.col("cls").alias("id"), "lab", "key").mapInArrow(spread, f"id long, {kinds}").withColumn("bucket", F.xxhash64("lab", "slot"))
+    names = [f"c{k}" for k in range(TURNS)]
+    kinds = "lab long, slot int, " + ", ".join(f"{c} long" for c in names)
+    dealt = classes.select(F.col("cls").alias("id"), "lab", "key").mapInArrow(spread, f"id long, {kinds.replace('slot int', 'slot int, part long')}").withColumn("bucket", F.xxhash64("lab", "slot", "part")).drop("part")
 
     def here(c: np.ndarray, a: np.ndarray, b: np.ndarray, slot: np.ndarray, lab: np.ndarray) -> np.ndarray:
-        """Whether this bucket is the one in which the pair a, b counts: the first table, there the least substring they share."""
-        x, y = pieces(c[a]), pieces(c[b])
-        near = np.bitwise_count(x ^ y) <= 2
-        first = np.argmax(near, axis=1)
-        at = np.arange(len(a))
-        x, y = x[at, first], y[at, first]
-        both = np.minimum(x, y)
-        odd = x ^ y
-        # two bits apart, they share the two substrings between them: with either bit where one of them has both bits, else with both or none
-        two, alone = np.bitwise_count(odd) == 2, odd & (~odd + np.uint64(1))
-        both = np.where(two, (x & ~odd) | np.where(np.bitwise_count(x & odd) == 1, np.uint64(0), alone), both)
-        return near[at, first] & (both | first.astype(np.uint64) << np.uint64(32) == slot[a]) & (slot[a] == slot[b]) & (lab[a] == lab[b])
+        """Whether this bucket is that of the first table in which the pair a, b meets."""
+        odd, out = c[a] ^ c[b], (slot[a] == slot[b]) & (lab[a] == lab[b])
+        for at in range(0, len(a), 50_000):
+            near = ((odd[at : at + 50_000, None, :] & masks) == 0).all(axis=2)
+            out[at : at + 50_000] &= near.any(axis=1) & (np.argmax(near, axis=1) == slot[a[at : at + 50_000]])
+        return out
 
     def columns(t: pa.Table):
-        return np.stack([t[k].to_numpy().view(np.uint64) for k in names], axis=1), t["slot"].to_numpy().view(np.uint64), t["lab"].to_numpy()
+        return np.stack([t[k].to_numpy().view(np.uint64) for k in names], axis=1), t["slot"].to_numpy(), t["lab"].to_numpy()
 
     def candidates(t: pa.Table, g: np.ndarray) -> pa.Table | None:
         (c, slot, lab), (own, i, j) = columns(t), (t[k].to_numpy() for k in ("own", "i", "j"))
         found = [np.empty(0, np.int64)]
         for a, b in pairs_in_groups(g, own, i, j):
-            near = np.bitwise_count(c[a, 0] ^ c[b, 0]) <= RADIUS
+            near = np.bitwise_count(c[a] ^ c[b]).sum(axis=1) <= RADIUS
             a, b = a[near], b[near]
             ok = here(c, a, b, slot, lab)
             found += [a[ok], b[ok]]
@@ -164,7 +171,7 @@ def linked_vectors(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "embe
         for s, e in zip(edges[:-1], edges[1:]):
             a, b = (x + s for x in np.nonzero(np.triu(v[s:e] @ v[s:e].T >= cosine, 1)))
             ok = (i[s] == j[s]) | (own[a] != own[b])
-            ok &= np.bitwise_count(c[a, 0] ^ c[b, 0]) <= RADIUS
+            ok &= np.bitwise_count(c[a] ^ c[b]).sum(axis=1) <= RADIUS
             a, b = a[ok], b[ok]
             ok = here(c, a, b, slot, lab)
             a, b = a[ok], b[ok]
