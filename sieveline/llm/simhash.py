@@ -27,6 +27,9 @@ SEED = 42
 STAGE_WORDS = 5
 SIMILARITY = 0.8
 STAGE_RADIUS = 34
+#: Before candidates are joined they must agree in this share of LEAST one-byte least hashes: pairs of similarity 0.8
+#: agree in 0.8 of them with a deviation of 0.07, so in 0.4 but for one in 10^8, and unlike texts in one of 255.
+LEAST, LEAST_SHARE = 32, 0.4
 _SHIFTS = np.arange(64, dtype=np.uint64)
 
 
@@ -105,7 +108,8 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     component_id is the smallest id that links of at most ``radius`` differing bits reach, the row's own
     included. Rows with a null id take part and get the component's smallest id, null where it has none;
-    repeated rows stay repeated. An empty table gives an empty result. Other columns are not looked at.
+    repeated rows stay repeated. Texts of any length count whole. An empty table gives an empty result. Other columns
+    are not looked at.
     """
     scratch = Scratch(docs.sparkSession, "simhash")
     marked = scratch.write(fingerprints(docs, id_col, text_col, words), "fingerprints")
@@ -163,6 +167,21 @@ def banding(total: int, seed: int = 11) -> np.ndarray:
     return np.array(masks, np.uint64)
 
 
+def least_hashes(own: np.ndarray) -> bytes:
+    """A byte for each of LEAST classes of hashes, from the smallest hash of a class in the sorted set; 0 for an empty class."""
+    out = np.zeros(LEAST, np.uint8)
+    falling = own[::-1]  # of one class the last one written is the smallest
+    out[(falling % np.uint64(LEAST)).astype(np.int64)] = 1 + (falling >> np.uint64(8)) % np.uint64(255)
+    return out.tobytes()
+
+
+def _share(least: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether the least hashes of the rows a and b agree in a share of LEAST_SHARE of the classes that either has, or have none."""
+    x, y = least[a], least[b]
+    either = ((x | y) > 0).sum(axis=1)
+    return ((x == y) & (x > 0)).sum(axis=1) >= LEAST_SHARE * either
+
+
 def _alike(f0, f1, n, a, b) -> tuple[np.ndarray, np.ndarray]:
     """(whether fingerprints and sizes of the rows a and b allow the similarity, differing bits)."""
     d = np.bitwise_count(f0[a] ^ f0[b]) + np.bitwise_count(f1[a] ^ f1[b])
@@ -170,18 +189,24 @@ def _alike(f0, f1, n, a, b) -> tuple[np.ndarray, np.ndarray]:
 
 
 def candidate_links(nodes: DataFrame, scratch: Scratch, block: int = 1024) -> DataFrame:
-    """Links (a, b) over classes (cls, f0, f1, n) that join what pairs in reach, met in a table, join; no shingles are needed."""
+    """Links (a, b) over classes (cls, f0, f1, n, least_hashes) that join what pairs in reach, met in a table, join; no shingles are needed.
+
+    Of many texts some that have nothing in common meet and are in reach by chance, and they would run together to ever
+    larger components; their least hashes tell them apart, so components hold texts that share a part of their shingles.
+    """
     masks = banding(nodes.count())
     keys = F.array(*[F.struct(F.lit(k).alias("t"), F.col("f0").bitwiseAND(F.lit(_signed(int(x)))).alias("x"), F.col("f1").bitwiseAND(F.lit(_signed(int(y)))).alias("y")) for k, (x, y) in enumerate(masks)])
-    rows = nodes.select("cls", "f0", "f1", "n", F.explode(keys).alias("k"))
-    rows = rows.select(F.xxhash64("k.t", "k.x", "k.y").alias("bucket"), F.col("cls").alias("id"), "f0", "f1", "n")
+    rows = nodes.select("cls", "f0", "f1", "n", "least_hashes", F.explode(keys).alias("k"))
+    rows = rows.select(F.xxhash64("k.t", "k.x", "k.y").alias("bucket"), F.col("cls").alias("id"), "f0", "f1", "n", "least_hashes")
 
     def work(t: pa.Table, g: np.ndarray) -> pa.Table | None:
         f0, f1 = (t[c].to_numpy().view(np.uint64) for c in ("f0", "f1"))
         own, i, j, n, ids = (t[c].to_numpy() for c in ("own", "i", "j", "n", "id"))
-        found = []
+        least, found = np.frombuffer(b"".join(t["least_hashes"].to_pylist()), np.uint8).reshape(-1, LEAST), []
         for a, b in pairs_in_groups(g, own, i, j):
             ok, _ = _alike(f0, f1, n, a, b)
+            a, b = a[ok], b[ok]
+            ok = _share(least, a, b)
             if ok.any():
                 found.append((a[ok], b[ok]))
         if not found:
@@ -190,7 +215,7 @@ def candidate_links(nodes: DataFrame, scratch: Scratch, block: int = 1024) -> Da
         at = np.flatnonzero(label != np.arange(len(t)))
         return pa.table({"a": ids[at], "b": ids[label[at]]})
 
-    dealt = in_blocks(rows, scratch, "bands", block).select("bucket", "i", "j", "own", "id", "f0", "f1", "n")
+    dealt = in_blocks(rows, scratch, "bands", block).select("bucket", "i", "j", "own", "id", "f0", "f1", "n", "least_hashes")
     return dealt.mapInArrow(lambda it: by_whole_groups(it, ["bucket", "i", "j"], work), "a long, b long")
 
 
@@ -297,15 +322,17 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             cls = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s, _ in found], np.uint64).view(np.int64)
             f = np.frombuffer(b"".join(x for _, x in found), np.int64).reshape(-1, 2)
             n = np.array([len(s) for s, _ in found], np.int32)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(np.ascontiguousarray(x)) for x in (cls, f[:, 0], f[:, 1], n))], names=["id", "dig", "cls", "f0", "f1", "n"])
+            least = pa.array([least_hashes(s) for s, _ in found], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(np.ascontiguousarray(x)) for x in (cls, f[:, 0], f[:, 1], n)), least], names=["id", "dig", "cls", "f0", "f1", "n", "least_hashes"])
 
-    marked = scratch.write(keyed.mapInArrow(run, "id long, dig long, cls long, f0 long, f1 long, n int"), "marked")
+    marked = scratch.write(keyed.mapInArrow(run, "id long, dig long, cls long, f0 long, f1 long, n int, least_hashes binary"), "marked")
     row = F.struct(F.col("id").isNull().alias("none"), "id", "dig")
-    nodes = marked.groupBy("cls").agg(F.first("f0").alias("f0"), F.first("f1").alias("f1"), F.first("n").alias("n"), F.min(row).alias("least"))
+    # the fingerprints follow from the class, so as keys they cost nothing and keep the aggregation in hash tables
+    nodes = marked.groupBy("cls", "f0", "f1", "n", "least_hashes").agg(F.min(row).alias("least"))
     nodes = scratch.write(nodes, "nodes")
     near = scratch.write(candidate_links(nodes, scratch).distinct(), "near")
     near = connected_components(near, Scratch(docs.sparkSession, "near")).select(F.col("node").alias("cls"), F.col("root").alias("bucket"))
-    wanted = scratch.write(nodes.join(near, "cls"), "wanted")
+    wanted = scratch.write(nodes.drop("least_hashes").join(near, "cls"), "wanted")
     asked = wanted.select("cls", F.coalesce("least.id", F.lit(0)).alias("own"), F.col("least.dig").alias("dig")).hint("merge")
     texts = keyed.withColumn("own", F.coalesce("id", F.lit(0))).join(asked, ["own", "dig"]).select("cls", "text").dropDuplicates(["cls"])
 
