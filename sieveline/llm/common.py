@@ -9,6 +9,7 @@ from __future__ import annotations
 import gc
 import re
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -56,6 +57,25 @@ class Scratch:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def clear_scratch(spark: SparkSession, hours: float) -> list[str]:
+    """Remove the folders of scratches in the shared folder that nothing was written to for so many hours; returns their names.
+
+    A result may still read its operator's tables, so they stay until someone says that no result of that age is in use.
+    """
+    jvm, root = spark._jvm, shared_root(spark)
+    at = jvm.org.apache.hadoop.fs.Path(root)
+    files, gone = at.getFileSystem(spark._jsc.hadoopConfiguration()), []
+    before = time.time() * 1000 - hours * 3_600_000
+    for status in files.listStatus(at) if files.exists(at) else []:
+        name = status.getPath().getName()
+        if re.fullmatch(r"[a-z-]+-[0-9a-f]{32}", name) and status.getModificationTime() <= before:
+            inner = [s.getModificationTime() for s in files.listStatus(status.getPath())]
+            if max(inner, default=0) <= before:
+                files.delete(status.getPath(), True)
+                gone.append(name)
+    return gone
+
+
 def free_names(df: DataFrame, *wanted: str) -> list[str]:
     """The wanted names, each with underscores added until ``df`` has no column of that name in any case."""
     taken = {c.lower() for c in df.columns}

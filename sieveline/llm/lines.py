@@ -48,7 +48,7 @@ def drop_boilerplate(rows: DataFrame, host: Column, text: Column, ratio: float =
     Columns of ``rows`` with these four names are replaced; all others stay as they are, whatever their names.
     Lines are trimmed and blank ones are no lines. A line goes from all pages of a host when more than
     ``ratio`` of the host's pages have it and at least ``min_pages`` do. Null hosts are one host (''), null texts
-    have no lines; a page left without lines stays with the text ''. Repeated rows are pages of their own, the
+    have no lines; a page left without lines stays with the text ''. Very long texts and lines count whole. Repeated rows are pages of their own, the
     order of lines stays, an empty table gives an empty result. ``more_rules`` are further (ratio, least pages) by
     which a line goes. With ``copies_once``, pages of a host with the same lines count as one page of it, so that a
     text does not become boilerplate by its copies; lines go from all rows all the same.

@@ -141,7 +141,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     less than a step, or by more where over STEPS steps lie between the true end and the nearest cut; a step of other
     bytes passes with a chance of 1 in 65,536. Spans of a text do not overlap. Null and empty texts and texts
     without a repeat give no row; rows with a null id come first in order, rows of one id by a digest of their text;
-    a row that repeats both an id and its text gives no span of its own. An empty table gives no rows.
+    a row that repeats both an id and its text gives no span of its own. Texts of any length count whole, their repeats
+    within themselves too. An empty table gives no rows; other columns are not read, whatever their names.
     """
     scratch = Scratch(docs.sparkSession, "substrings")
     chunks = scratch.write(chunk_table(docs, id_col, text_col), "chunks")

@@ -465,3 +465,30 @@ def test_hub_has_bounded_edges_and_tables_go(spark, monkeypatch):
     with pytest.raises(ZeroDivisionError):
         knn.walk(spark.createDataFrame([(1, b"0", [2], [1.0], [False])], "a long, vec binary, b array<long>, s array<float>, fresh array<boolean>"), spark.createDataFrame([(1, b"0")], "node long, qvec binary"), scratch, 2, 4)
     assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("walk_")]
+
+
+def test_unlike_texts_in_reach_are_not_joined(spark):
+    """Classes of one fingerprint and no common shingle, as large tables have by chance: no candidate link; near copies keep theirs."""
+    r = np.random.default_rng(12)
+    rows, family = [], r.integers(0, 1 << 63, 60).astype(np.uint64)
+    for k in range(300):
+        own = np.unique(np.concatenate([family[: 57 + k % 4], r.integers(0, 1 << 63, 3).astype(np.uint64)]) if k < 40 else r.integers(0, 1 << 63, 60).astype(np.uint64))
+        rows.append((k, 5, 9, 60, bytearray(simhash.least_hashes(own))))
+    nodes = spark.createDataFrame(rows, "cls long, f0 long, f1 long, n int, least_hashes binary")
+    links = simhash.candidate_links(nodes, simhash.Scratch(spark, "t")).distinct()
+    got = {x["node"]: x["root"] for x in simhash.connected_components(links, simhash.Scratch(spark, "t")).collect()}
+    assert got == {k: 0 for k in range(40)}
+
+
+def test_least_hashes_keep_pairs_of_the_threshold():
+    """Of 3,000 pairs of similarity 0.8, small and large, none is told apart; of unlike ones nearly all."""
+    r, kept, unlike = np.random.default_rng(13), 0, 0
+    for k in range(3000):
+        n = int(r.choice([20, 50, 200, 1000]))
+        pool = r.integers(0, 1 << 63, 2 * n).astype(np.uint64)
+        both, odd = pool[: int(n * 0.8)], pool[int(n * 0.8) : n]
+        least = np.frombuffer(b"".join(simhash.least_hashes(np.unique(x)) for x in (np.concatenate([both, odd[::2]]), np.concatenate([both, odd[1::2]]), pool[n:])), np.uint8).reshape(3, -1)
+        at = lambda *i: np.array(i)
+        kept += bool(simhash._share(least, at(0), at(1))[0])
+        unlike += bool(simhash._share(least, at(0), at(2))[0])
+    assert kept == 3000 and unlike == 0

@@ -113,3 +113,12 @@ def test_shared_folder_is_asked_for(spark, monkeypatch):
 
     with pytest.raises(RuntimeError):
         common.shared_root(Cluster)
+
+
+def test_scratch_is_cleared_by_age(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(common, "shared_root", lambda _: f"file://{tmp_path}")
+    scratch = common.Scratch(spark, "some-test")
+    scratch.write(spark.range(3), "t")
+    (tmp_path / "else").mkdir()
+    assert common.clear_scratch(spark, 1) == [] and common.clear_scratch(spark, -1) == [scratch.base.rsplit("/", 1)[1]]
+    assert [p.name for p in tmp_path.iterdir()] == ["else"]
