@@ -5,7 +5,9 @@ length) keeps the positions whose vector has an odd inner product with v. Up to
 never span the whole space, so some v is orthogonal to all of them: every pair within the radius agrees on all
 the bits of that table. With radius 3 there are 15 tables, each on about 34 of the 64 bits.
 
-Only distinct fingerprints are compared. A bucket is never expanded into its pairs: groups of at most two
+The pipeline's stage, whose radius is larger, deals its bits into parts with a covering each (``stage_masks``).
+
+Only distinct fingerprints are compared. In op3 a bucket is never expanded into its pairs: groups of at most two
 blocks of it are tested in numpy and only a spanning forest of their links leaves the task.
 """
 
@@ -20,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, by_whole_groups, connected_components, forest, free_names, in_blocks, pairs_in_groups
+from .common import Scratch, by_whole_groups, connected_components, cut_blocks, forest, free_names, in_blocks, pairs_in_groups
 
 SEED = 42
 #: The stage of the pipeline: words a shingle, least Jaccard similarity, most differing bits of 128 (19 on average at 0.8).
@@ -30,7 +32,8 @@ STAGE_RADIUS = 34
 #: Before candidates are joined they must agree in this share of LEAST one-byte least hashes: pairs of similarity 0.8
 #: agree in 0.8 of them with a deviation of 0.07, so in 0.4 but for one in 10^8, and unlike texts in one of 255.
 LEAST, LEAST_SHARE = 32, 0.4
-_SHIFTS = np.arange(64, dtype=np.uint64)
+#: A row of a table is taken to cost as much as this many rows in its bucket; rows compared side by side.
+ROW_COST, TILE = 2**17, 32
 
 
 def fingerprint(text: str | None, words: int = 3) -> int:
@@ -150,20 +153,29 @@ def shingle_set(text: str | None, words: int = STAGE_WORDS) -> tuple[np.ndarray,
     return own, np.packbits(2 * ones > len(at)).tobytes()
 
 
-def banding(total: int, seed: int = 11) -> np.ndarray:
-    """Masks (tables, 2) over 128 bits: more bits a table with the rows, and as many tables as keep the chance of a meeting.
+def stage_masks(total: int, radius: int = STAGE_RADIUS, seed: int = 11) -> np.ndarray:
+    """Covering masks (tables, 2) over 128 bits: any two words within the radius agree on all the bits of one of them.
 
-    A bucket of unlike texts holds about 128. A pair of similarity 0.8 agrees on a bit with probability 0.848; were the
-    tables independent, the chance that none of them has it would be 0.05 at every size. They share 128 bits, so with
-    many tables somewhat more is missed.
+    One covering of the whole radius would take 2^(radius + 1) - 1 tables, so the bits are dealt into parts. Their radii
+    and one more for each part add up to radius + 1, so in some part the two words differ in no more than its radius, and
+    its own covering has a table on which they agree. Fewer and larger parts take more tables, on more bits each: of the
+    plans, all of them certain, the one is taken whose rows and comparisons for ``total`` words cost least.
     """
-    bits = max(6, math.ceil(math.log2(max(1, total) / 128)))
-    cosine = 2 * SIMILARITY / (1 + SIMILARITY)
-    meet = (1 - math.acos(cosine) / math.pi) ** bits
-    r, masks = np.random.default_rng(seed), []
-    for _ in range(math.ceil(math.log(0.05) / math.log1p(-meet))):
-        own = r.choice(128, bits, replace=False)
-        masks.append([sum(1 << int(k % 64) for k in own if k // 64 == half) for half in (0, 1)])
+
+    def cost(r: int) -> float:
+        parts, tables = math.ceil((radius + 1) / (r + 1)), 2 ** (r + 1) - 1
+        return parts * tables * (1 + total / 2 ** (128 / parts * 2**r / tables) / ROW_COST)
+
+    most = min(range(min(radius, 11) + 1), key=cost)
+    parts = math.ceil((radius + 1) / (most + 1))
+    random, masks = np.random.default_rng(seed), []
+    for k, own in enumerate(np.array_split(random.permutation(128), parts)):
+        tables = 2 ** (most + (k >= parts * (most + 1) - radius - 1)) - 1
+        # of some draws of the vectors that which leaves no table with few bits
+        draws = [np.resize(1 + random.permutation(tables), len(own)) for _ in range(50)]
+        odd = [(np.bitwise_count(vectors & np.arange(1, tables + 1)[:, None]) & 1) == 1 for vectors in draws]
+        for row in min(odd, key=lambda x: (0.5 ** x.sum(axis=1)).sum()):
+            masks.append([sum(1 << int(x % 64) for x in own[row] if x // 64 == half) for half in (0, 1)])
     return np.array(masks, np.uint64)
 
 
@@ -188,35 +200,57 @@ def _alike(f0, f1, n, a, b) -> tuple[np.ndarray, np.ndarray]:
     return (d <= STAGE_RADIUS) & (np.minimum(n[a], n[b]) >= SIMILARITY * np.maximum(n[a], n[b])), d
 
 
-def candidate_links(nodes: DataFrame, scratch: Scratch, block: int = 1024) -> DataFrame:
-    """Links (a, b) over classes (cls, f0, f1, n, least_hashes) that join what pairs in reach, met in a table, join; no shingles are needed.
+def _in_reach(t: pa.Table, g: np.ndarray) -> pa.Table | None:
+    """Links of a forest that joins what pairs in reach join, within each group, whose rows are sorted by n.
 
-    Of many texts some that have nothing in common meet and are in reach by chance, and they would run together to ever
-    larger components; their least hashes tell them apart, so components hold texts that share a part of their shingles.
+    A row meets the following ones up to the size that the similarity allows, so a group costs less than all its pairs;
+    links are merged as they come, so a group of copies does not hold its pairs.
     """
-    masks = banding(nodes.count())
-    keys = F.array(*[F.struct(F.lit(k).alias("t"), F.col("f0").bitwiseAND(F.lit(_signed(int(x)))).alias("x"), F.col("f1").bitwiseAND(F.lit(_signed(int(y)))).alias("y")) for k, (x, y) in enumerate(masks)])
-    rows = nodes.select("cls", "f0", "f1", "n", "least_hashes", F.explode(keys).alias("k"))
-    rows = rows.select(F.xxhash64("k.t", "k.x", "k.y").alias("bucket"), F.col("cls").alias("id"), "f0", "f1", "n", "least_hashes")
-
-    def work(t: pa.Table, g: np.ndarray) -> pa.Table | None:
-        f0, f1 = (t[c].to_numpy().view(np.uint64) for c in ("f0", "f1"))
-        own, i, j, n, ids = (t[c].to_numpy() for c in ("own", "i", "j", "n", "id"))
-        least, found = np.frombuffer(b"".join(t["least_hashes"].to_pylist()), np.uint8).reshape(-1, LEAST), []
-        for a, b in pairs_in_groups(g, own, i, j):
+    f0, f1 = (t[c].to_numpy().view(np.uint64) for c in ("f0", "f1"))
+    own, i, j, n, ids = (t[c].to_numpy() for c in ("own", "i", "j", "n", "id"))
+    least, out = np.frombuffer(b"".join(t["least_hashes"].to_pylist()), np.uint8).reshape(-1, LEAST), []
+    edges = np.append(np.flatnonzero(np.diff(g, prepend=-1)), len(g)).tolist()
+    for s, e in zip(edges[:-1], edges[1:]):
+        label = np.arange(e - s)
+        upto = s + np.searchsorted(SIMILARITY * n[s:e], n[s:e], side="right")
+        for x in range(s, e, TILE):
+            y = min(x + TILE, e)
+            z = int(upto[y - 1 - s])
+            d = np.bitwise_count(f0[x:y, None] ^ f0[x:z]) + np.bitwise_count(f1[x:y, None] ^ f1[x:z])
+            a, b = (v + x for v in np.nonzero(d <= STAGE_RADIUS))
+            ok = (a < b) & (label[a - s] != label[b - s])
+            if i[s] != j[s]:
+                ok &= own[a] != own[b]
+            a, b = a[ok], b[ok]
             ok, _ = _alike(f0, f1, n, a, b)
             a, b = a[ok], b[ok]
             ok = _share(least, a, b)
             if ok.any():
-                found.append((a[ok], b[ok]))
-        if not found:
-            return None
-        label = forest(len(t), np.concatenate([a for a, _ in found]), np.concatenate([b for _, b in found]))
-        at = np.flatnonzero(label != np.arange(len(t)))
-        return pa.table({"a": ids[at], "b": ids[label[at]]})
+                label = forest(e - s, label[a[ok] - s], label[b[ok] - s])[label]
+        at = np.flatnonzero(label != np.arange(e - s))
+        if len(at):
+            out.append(pa.table({"a": ids[s + at], "b": ids[s + label[at]]}))
+    return pa.concat_tables(out) if out else None
 
-    dealt = in_blocks(rows, scratch, "bands", block).select("bucket", "i", "j", "own", "id", "f0", "f1", "n", "least_hashes")
-    return dealt.mapInArrow(lambda it: by_whole_groups(it, ["bucket", "i", "j"], work), "a long, b long")
+
+def candidate_links(nodes: DataFrame, scratch: Scratch, block: int = 65_536) -> DataFrame:
+    """Links (a, b) over classes (cls, f0, f1, n, least_hashes) that join exactly what all pairs in reach join; no shingles are needed.
+
+    In reach are fingerprints within STAGE_RADIUS, each pair of which meets in a covering table, of sizes that allow the
+    similarity. A table is cut by size, too: a class stands in the range of its own size and, where that is another
+    one, of the least size that a partner may have. Of many texts some that have nothing in common are in reach by chance,
+    and they would run together to ever larger components; their least hashes tell them apart, so components hold
+    texts that share a part of their shingles.
+    """
+    masks = [F.struct(F.lit(k).alias("t"), F.lit(_signed(int(x))).alias("x"), F.lit(_signed(int(y))).alias("y")) for k, (x, y) in enumerate(stage_masks(nodes.count()))]
+    within = lambda n: F.floor(F.log(F.greatest(n, F.lit(0.5))) / math.log(SIMILARITY**-4))
+    sizes = F.array_distinct(F.array(within(F.col("n").cast("double")), within(F.col("n") * (SIMILARITY - 1e-9))))
+    rows = nodes.select("cls", "f0", "f1", "n", "least_hashes", F.explode(sizes).alias("size")).withColumn("k", F.explode(F.array(*masks)))
+    bucket = F.xxhash64("size", "k.t", F.col("f0").bitwiseAND(F.col("k.x")), F.col("f1").bitwiseAND(F.col("k.y")))
+    rows = rows.select(bucket.alias("bucket"), F.col("cls").alias("id"), "f0", "f1", "n", "least_hashes")
+    dealt = cut_blocks(rows, scratch, "tables", block).select("bucket", "i", "j", "own", "id", "f0", "f1", "n", "least_hashes")
+    dealt = dealt.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "n")
+    return dealt.mapInArrow(lambda it: by_whole_groups(it, ["bucket", "i", "j"], _in_reach), "a long, b long")
 
 
 def _confirmed(t: pa.Table, g: np.ndarray) -> pa.Table | None:
@@ -304,8 +338,8 @@ def confirmed_links(members: DataFrame, scratch: Scratch, block: int = 512) -> D
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each group of near-duplicates: that of the smallest id, null ids last, ties by a digest of the text.
 
-    Texts link when their sets of five-word shingles have a Jaccard similarity of 0.8 or more; candidates come from
-    tables on bits of a SimHash, so a few pairs near the threshold are not met (see the README). Rows are told
+    Texts link when their sets of five-word shingles have a Jaccard similarity of 0.8 or more; candidates are
+    all pairs of SimHashes within STAGE_RADIUS bits, by covering tables; few similar pairs differ in more (see the README). Rows are told
     apart by id and text, so null and repeated ids hide no other text; of rows that repeat both, one stays. Texts
     without words, null ones too, are one group. Columns stay as they are, whatever their names; very long texts count
     whole; an empty table gives an empty result. Ids are whole numbers.

@@ -492,3 +492,36 @@ def test_least_hashes_keep_pairs_of_the_threshold():
         kept += bool(simhash._share(least, at(0), at(1))[0])
         unlike += bool(simhash._share(least, at(0), at(2))[0])
     assert kept == 3000 and unlike == 0
+
+
+def test_stage_tables_cover_the_radius():
+    """At every size two fingerprints 34 bits apart agree on all bits of a table; tables of many texts have more bits."""
+    r, before = np.random.default_rng(14), 0
+    for total in (0, 10**4, 10**6, 10**7, 10**8, 10**9, 10**10):
+        masks = simhash.stage_masks(total)
+        for _ in range(300):
+            bits = r.choice(128, simhash.STAGE_RADIUS, replace=False)
+            apart = np.array([sum(1 << int(k % 64) for k in bits if k // 64 == half) for half in (0, 1)], np.uint64)
+            assert ((masks & apart) == 0).all(axis=1).any()
+        width = np.bitwise_count(masks).sum(axis=1)
+        assert width.min() >= 3 and width.mean() >= before
+        before = width.mean()
+
+
+@pytest.mark.parametrize("block", [40, 65_536])
+def test_every_pair_in_reach_is_a_candidate(spark, block):
+    """Pairs 30 to 34 bits apart, of sizes as unlike as the similarity allows, are joined; pairs of 35 bits or unlike sizes are not."""
+    r, rows, want = np.random.default_rng(15), [], {}
+    signed = lambda x: x - 2**64 if x >> 63 else x
+    for k in range(500):
+        f, bits = [int(x) for x in r.integers(0, 2**64, 2, dtype=np.uint64)], r.choice(128, 30 + k % 6, replace=False)
+        other = [f[half] ^ sum(1 << int(b % 64) for b in bits if b // 64 == half) for half in (0, 1)]
+        n, least = int(r.choice([1, 5, 10, 40, 125, 3000])) * (1 + k % 2), bytearray(r.integers(1, 256, 32, dtype=np.uint8).tobytes())
+        partner = -(-4 * n // 5) - (k % 7 == 0)
+        rows += [(2 * k, signed(f[0]), signed(f[1]), n, least), (2 * k + 1, signed(other[0]), signed(other[1]), partner, least)]
+        if len(bits) <= simhash.STAGE_RADIUS and partner >= 0.8 * n:
+            want[2 * k] = want[2 * k + 1] = 2 * k
+    nodes = spark.createDataFrame(rows, "cls long, f0 long, f1 long, n int, least_hashes binary")
+    links = simhash.candidate_links(nodes, simhash.Scratch(spark, "t"), block).distinct()
+    got = {x["node"]: x["root"] for x in simhash.connected_components(links, simhash.Scratch(spark, "t")).collect()}
+    assert got == want and len(want) > 600
