@@ -22,8 +22,11 @@ def read_text(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFra
 
 
 def read_inferred(spark: SparkSession, path: str) -> DataFrame:
-    """Delivered CSV with guessed types, for comparison with ``read_text``: the guess loses leading zeros."""
-    return spark.read.option("header", True).option("inferSchema", True).option("escape", '"').csv(path)
+    """Delivered CSV with guessed types, for comparison with ``read_text``: the guess loses leading zeros.
+
+    White space around a value is dropped before types are guessed: a number with a tab behind it would else count as a double.
+    """
+    return spark.read.option("header", True).option("inferSchema", True).option("escape", '"').option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True).csv(path)
 
 
 def read_key(spark: SparkSession, path: str, columns: Sequence[str], id_col: str) -> DataFrame:

@@ -1,10 +1,14 @@
 """Logs, lookups, phrase search and the small classifiers."""
 
+import datetime
+
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from sieveline.operators import learning, search
+from sieveline.plans.registry import ORACLE_SQL, QUERIES
 from sieveline.sources import tables
 
 
@@ -73,3 +77,14 @@ def test_split_is_stable(spark):
     df = spark.range(10_000)
     first = {r.id for r in df.where(learning.in_share("id", 0.8)).collect()}
     assert 7_700 < len(first) < 8_300 and first == {r.id for r in df.repartition(7).where(learning.in_share("id", 0.8)).collect()}
+
+
+def test_inference_changes_only_ids_with_leading_zeros(spark, tmp_path):
+    """IDs of seven digits with and without leading zeros, one missing, the others of eight with a tab behind them."""
+    keys = [96, 999_002, 1_000_069, 8_999_950, 88, 41, 12_345_678]
+    rows = spark.createDataFrame([(k, 1, "O", 1.0, datetime.datetime(2020, 1, 2), "1-URGENT") for k in keys], "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp, o_orderpriority string")
+    rows.write.parquet(f"{tmp_path}/orders.parquet")
+    got = [tuple(r) for r in QUERIES["inferred_vs_text"](spark, str(tmp_path)).select("ids", "changed_by_inference").collect()]
+    duck = duckdb.connect()
+    duck.execute(f"create view orders as from '{tmp_path}/orders.parquet/*.parquet'")
+    assert got == duck.execute(ORACLE_SQL["inferred_vs_text"]).fetchall() == [(6, 3)]
