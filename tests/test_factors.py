@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sieveline.operators import factors, learning
+from sieveline.plans.registry import QUERIES
 from sieveline.sources.shared import folder
 
 
@@ -130,3 +131,16 @@ def test_vectors_leave_little_on_disk(spark):
     found = factors.LatentSemantics(df, "text", 20)
     assert found.fitted().where("vector[0] != 0").count() == 600
     assert stored(found.weights.work) < 3 * letters
+
+
+def left_by(spark, tmp_path, monkeypatch, name):
+    """(rows of a registered query over varied texts, bytes of its intermediate tables, letters of the texts)"""
+    letters, df = varied(spark)
+    df.write.parquet(f"{tmp_path}/in/documents.parquet")
+    monkeypatch.setattr(factors, "folder", lambda _: f"file://{tmp_path}/work")
+    return QUERIES[name](spark, f"{tmp_path}/in").collect(), stored(f"file:{tmp_path}/work"), letters
+
+
+def test_topics_leave_little_on_disk(spark, tmp_path, monkeypatch):
+    rows, left, letters = left_by(spark, tmp_path, monkeypatch, "topics")
+    assert sum(r["texts"] for r in rows) == 600 and left < 0.8 * letters
