@@ -149,3 +149,8 @@ def test_topics_leave_little_on_disk(spark, tmp_path, monkeypatch):
 def test_topic_words_leave_little_on_disk(spark, tmp_path, monkeypatch):
     rows, left, letters = left_by(spark, tmp_path, monkeypatch, "topic_words")
     assert sorted((r["topic"], r["place"]) for r in rows) == [(t, p) for t in range(1, 6) for p in range(1, 11)] and left < 0.8 * letters
+
+
+def test_topic_examples_leave_little_on_disk(spark, tmp_path, monkeypatch):
+    rows, left, letters = left_by(spark, tmp_path, monkeypatch, "topic_examples")
+    assert sorted((r["topic"], r["place"]) for r in rows) == [(t, p) for t in range(1, 6) for p in range(1, 4)] and left < 0.8 * letters
