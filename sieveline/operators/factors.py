@@ -674,7 +674,7 @@ class Weights:
             return _cell(f["part"].iloc[0], keys[kept], rows[kept], counts[kept], lambda x, _: scale[at(x)])
 
         known = self.matrix.cells.select("part", "keys", "scale").groupBy("part")
-        cells = [t.groupBy("part").cogroup(known).applyInPandas(pack, _CELLS) for t in self._codes(texts.withColumnRenamed(text, self.text))]
+        cells = [t.groupBy("part").cogroup(known).applyInPandas(pack, _CELLS) for t in self._codes(texts.select("_key", F.col(text).alias(self.text)))]
         return texts, Sparse.of_cells(cells, work, self.parts, texts.count(), self.log_counts)
 
 
